@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators.prefix import range_cuts, running_total
+from weftline.session import stage
 
 END_ID = 0
 UNKNOWN_ID = 1
@@ -21,7 +23,17 @@ RESERVED = 2
 VOCABULARY_SIZE = 50_277
 LARGEST_ID = 65_535
 
-Encoder = Callable[[DataFrame], DataFrame]
+
+@dataclass(frozen=True)
+class Encoder:
+    """A tokenizer: text column to id-array column, and the id that ends a document."""
+
+    ids: Callable[[Column], Column]
+    end_id: int = END_ID
+
+    def closed(self, text: Column) -> Column:
+        """Ids with the end marker appended, also where the text gave no ids at all."""
+        return F.concat(self.ids(text), F.array(F.lit(self.end_id)))
 
 
 def present_documents(documents: DataFrame) -> DataFrame:
@@ -63,7 +75,7 @@ def vocabulary(documents: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
 
 
 def native_encoder(vocab: DataFrame, size: int = VOCABULARY_SIZE) -> Encoder:
-    """Encoder over the native tokens: adds ``ids`` (end marker appended) to a frame with ``text``.
+    """Encoder over the native tokens.
 
     The vocabulary has at most ``size`` rows, so it travels with the function. Splitting stays in
     the JVM; the lookup is one vectorised hash lookup per Arrow batch.
@@ -82,22 +94,17 @@ def native_encoder(vocab: DataFrame, size: int = VOCABULARY_SIZE) -> Encoder:
         ends = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
         return pa.ListArray.from_arrays(ends, ids.cast(pa.int32()))
 
-    def encode(frame: DataFrame) -> DataFrame:
-        ids = lookup(T.words(F.col("text")))
-        return frame.withColumn("ids", F.concat(ids, F.array(F.lit(END_ID))))
-
-    return encode
+    return Encoder(lambda text: lookup(T.words(text)))
 
 
 def custom_encoder(tokenize: Callable[[str], Iterable[int]], end_id: int | None) -> Encoder:
     """Encoder over a caller's tokenizer; an absent end marker counts as id 0."""
-    marker = END_ID if end_id is None else end_id
 
     @F.pandas_udf("array<int>")
     def encode_batch(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: [*tokenize(text), marker])
+        return texts.map(lambda text: list(tokenize(text)))
 
-    return lambda frame: frame.withColumn("ids", encode_batch(F.col("text")))
+    return Encoder(encode_batch, END_ID if end_id is None else end_id)
 
 
 def decode(token_rows: DataFrame, vocab: DataFrame, group: str, order: str) -> DataFrame:
@@ -119,7 +126,7 @@ def token_spans(documents: DataFrame, encode: Encoder) -> DataFrame:
     The range totals need only token counts, so that branch reads text but never encodes it; the
     ids are shuffled once, by range.
     """
-    encoded = encode(counted_documents(documents)).select("doc_id", "n_tokens", "ids")
+    encoded = counted_documents(documents).select("doc_id", "n_tokens", encode.closed(F.col("text")).alias("ids"))
     return running_total(encoded, "doc_id", "n_tokens", "start", cuts=range_cuts(documents, "doc_id"))
 
 
@@ -129,10 +136,8 @@ def spans_of_sized(documents: DataFrame, encode: Encoder) -> DataFrame:
     The encoded documents are written once to the shared folder, so that the caller's tokenizer runs
     a single time and the totals read just the counts.
     """
-    from weftline.session import stage
-
-    encoded = encode(present_documents(documents)).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
-    kept = stage(encoded, "encoded")
+    encoded = present_documents(documents).select("doc_id", encode.closed(F.col("text")).alias("ids"))
+    kept = stage(encoded.withColumn("n_tokens", F.size("ids").cast("bigint")), "encoded")
     return running_total(kept, "doc_id", "n_tokens", "start", cuts=range_cuts(kept, "doc_id"))
 
 

@@ -10,11 +10,11 @@ from weftline.operators import corpus as C
 from weftline.operators import packing as P
 from weftline.operators import shards as S
 from weftline.plans.tables import ACCUMULATE, IDS_SQL, MICRO_BATCH, SEED, SEQ_LEN, SHARD_SIZE, TOKENS_SQL, table
-from weftline.session import fresh_path
+from weftline.session import fresh_path, spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def encoded_spans(docs: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def vocab_ids(spark, sf_dir):
 def encoded_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     encode = C.native_encoder(C.vocabulary(docs))
-    ids = encode(C.counted_documents(docs))
+    ids = C.counted_documents(docs).withColumn("ids", encode.closed(F.col("text")))
     return ids.select(
         "doc_id",
         "n_tokens",
