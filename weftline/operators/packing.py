@@ -37,10 +37,14 @@ def _join_pieces() -> Column:
     return F.flatten(F.transform(ordered, lambda p: p["piece"]))
 
 
+def windows(spans: DataFrame, stride: int, length: int) -> DataFrame:
+    """``(block_id, tokens)``, the short windows at the end of the stream included."""
+    return slices(spans, stride, length).groupBy("block_id").agg(_join_pieces().alias("tokens"))
+
+
 def _full_blocks(spans: DataFrame, stride: int, length: int) -> DataFrame:
     """Complete windows only, which is what drops the remainder at the end of the stream."""
-    blocks = slices(spans, stride, length).groupBy("block_id").agg(_join_pieces().alias("tokens"))
-    return blocks.where(F.size("tokens") == length)
+    return windows(spans, stride, length).where(F.size("tokens") == length)
 
 
 def overlapping_blocks(spans: DataFrame, seq_len: int, max_tokens: int | None = None) -> DataFrame:
