@@ -56,9 +56,9 @@ def first_batches(blocks: DataFrame, micro_batch: int, max_batches: int, num_blo
     return _in_order(blocks.where(F.col("block_id") < last), micro_batch, 0)
 
 
-def held_out_batches(blocks: DataFrame, micro_batch: int, num_blocks: int, held_out: float = 0.05) -> DataFrame:
-    """Whole batches of the last blocks of the stream, for a validation set disjoint from training."""
-    count = int(num_blocks * held_out) // micro_batch * micro_batch
+def held_out_batches(blocks: DataFrame, micro_batch: int, num_blocks: int, one_in: int = 20) -> DataFrame:
+    """Whole batches of the last blocks of the stream (one in ``one_in``), disjoint from the rest."""
+    count = num_blocks // one_in // micro_batch * micro_batch
     first = num_blocks - count
     return _in_order(blocks.where((F.col("block_id") >= first) & (F.col("block_id") < num_blocks)), micro_batch, first)
 

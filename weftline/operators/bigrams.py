@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.corpus import END_ID, VOCABULARY_SIZE, Encoder, present_documents
+from weftline.operators.corpus import END_ID, VOCABULARY_SIZE
 from weftline.session import stage
 
 HOT_SHARE = 1_000
@@ -23,9 +23,14 @@ class Bigrams:
     size: int = VOCABULARY_SIZE
 
 
-def fit_bigrams(documents: DataFrame, encode: Encoder) -> Bigrams:
+def open_ids(encoded: DataFrame) -> DataFrame:
+    """Encoded documents without their end markers, as ``(doc_id, ids)``."""
+    return encoded.select("doc_id", F.slice("ids", F.lit(1), F.col("n_tokens").cast("int") - 1).alias("ids"))
+
+
+def fit_bigrams(encoded: DataFrame) -> Bigrams:
     """Count neighbouring ids. Counts combine map-side and are written once; all uses read the table."""
-    ids = present_documents(documents).select(encode.ids(F.col("text")).alias("ids")).where(F.size("ids") > 1)
+    ids = open_ids(encoded).where(F.size("ids") > 1)
     neighbours = F.arrays_zip(
         F.slice("ids", F.lit(1), F.size("ids") - 1).alias("prev"), F.slice("ids", F.lit(2), F.size("ids") - 1).alias("token")
     )

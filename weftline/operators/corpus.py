@@ -57,6 +57,11 @@ def total_tokens(documents: DataFrame) -> int:
     return corpus_totals(documents).first()["n_tokens"]
 
 
+def tokens_in(sized: DataFrame) -> int:
+    """Total of a frame that already has ``n_tokens``."""
+    return sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()["t"]
+
+
 def vocabulary(documents: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(token, token_id, n)``: the most frequent tokens, ties in token order.
 
@@ -115,30 +120,31 @@ def decode(token_rows: DataFrame, vocab: DataFrame, group: str, order: str) -> D
 
 
 def token_offsets(documents: DataFrame) -> DataFrame:
-    """``(doc_id, start, n_tokens)``: where each document begins in the global token stream."""
-    counted = counted_documents(documents).select("doc_id", "n_tokens")
-    return running_total(counted, "doc_id", "n_tokens", "start", cuts=range_cuts(documents, "doc_id"))
+    """``(doc_id, start, n_tokens)``: where each document begins in the global token stream.
+
+    The counts are written once (two numbers per document), so the text is read a single time
+    although totals and positions both need them.
+    """
+    counted = stage(counted_documents(documents).select("doc_id", "n_tokens"), "sizes")
+    return running_total(counted, "doc_id", "n_tokens", "start", cuts=range_cuts(counted, "doc_id"))
 
 
-def token_spans(documents: DataFrame, encode: Encoder) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` in global positions.
+def encoded_corpus(documents: DataFrame, encode: Encoder) -> DataFrame:
+    """``(doc_id, n_tokens, ids)`` with end markers, written once to the shared folder.
 
-    The range totals need only token counts, so that branch reads text but never encodes it; the
-    ids are shuffled once, by range.
+    Everything after this reads ids: text is split and looked up a single time, and steps that need
+    only counts do not read the ids either.
     """
-    encoded = counted_documents(documents).select("doc_id", "n_tokens", encode.closed(F.col("text")).alias("ids"))
-    return running_total(encoded, "doc_id", "n_tokens", "start", cuts=range_cuts(documents, "doc_id"))
+    ids = present_documents(documents).select("doc_id", encode.closed(F.col("text")).alias("ids"))
+    return stage(ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids"), "encoded")
 
 
-def spans_of_sized(documents: DataFrame, encode: Encoder) -> DataFrame:
-    """As :func:`token_spans` for an encoder whose token counts are known only after encoding.
+def token_spans(encoded: DataFrame) -> DataFrame:
+    """Add ``start``, the global position of each encoded document's first token.
 
-    The encoded documents are written once to the shared folder, so that the caller's tokenizer runs
-    a single time and the totals read just the counts.
+    Range totals read only the counts; the ids are shuffled once, by range.
     """
-    encoded = present_documents(documents).select("doc_id", encode.closed(F.col("text")).alias("ids"))
-    kept = stage(encoded.withColumn("n_tokens", F.size("ids").cast("bigint")), "encoded")
-    return running_total(kept, "doc_id", "n_tokens", "start", cuts=range_cuts(kept, "doc_id"))
+    return running_total(encoded, "doc_id", "n_tokens", "start", cuts=range_cuts(encoded, "doc_id"))
 
 
 def cut_at(spans: DataFrame, kept: int) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.math import half_life, is_finite, softplus
@@ -31,18 +31,30 @@ def layer_scale_summary(raw: DataFrame) -> DataFrame:
     return summary.withColumn("std", F.when(F.col("is_constant"), F.lit(0.0)).otherwise(F.col("_std"))).drop("_std")
 
 
-def softmax(values) -> object:
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, with ``value`` computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def softmax(values: Column) -> Column:
     """Array of scores to probabilities, shifted by the largest score."""
-    shifted = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    return _bound(
+        F.array_max(values),
+        lambda top: _bound(
+            F.transform(values, lambda x: F.exp(x - top)),
+            lambda weights: _bound(_total(weights), lambda total: F.transform(weights, lambda w: w / total)),
+        ),
+    )
 
 
 def attention_entropy(rows: DataFrame) -> DataFrame:
     """``(layer, probs)`` to the mean entropy of each layer; a zero probability adds nothing."""
     terms = F.transform("probs", lambda p: F.when(p > 0, -p * F.log(p)).otherwise(F.lit(0.0)))
-    entropy = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    return rows.select("layer", entropy.alias("h")).groupBy("layer").agg(
+    return rows.select("layer", _total(terms).alias("h")).groupBy("layer").agg(
         F.avg("h").alias("entropy"), F.count(F.lit(1)).alias("n_rows")
     )
 

@@ -1,8 +1,8 @@
 """Running totals and ranks over data of any size.
 
-A plain ``Window.orderBy`` without a partition pulls the whole table into one task, and a window
-partitioned by a run pulls a hot run into one task. Here every partition is cut further into ranges
-of the order key:
+A ``Window.orderBy`` without a partition pulls the whole table into one task, and a window
+partitioned by a run pulls a hot run into one task. Where a group is too large for one task, it is
+cut further into ranges of the order key:
 
 1. per-range totals, combined map-side (one small row per range);
 2. a running sum over those rows alone;
@@ -27,6 +27,7 @@ from weftline.functions.draws import DRAW_RANGE
 RANGE = "_range"
 ROWS_PER_RANGE = 200_000
 SAMPLES_PER_RANGE = 200
+MOST_HOT_GROUPS = 10_000
 
 
 def _even_parts(df: DataFrame, rows: int) -> int:
@@ -62,6 +63,23 @@ def with_hash_range(df: DataFrame, hex_key: str, ranges: int) -> DataFrame:
     return df.withColumn(RANGE, F.expr(f"int({ranges} * bigint(conv(substring({hex_key}, 1, 8), 16, 10)) div {DRAW_RANGE})"))
 
 
+def _with_hot_ranges(df: DataFrame, order: str, by: Sequence[str]) -> DataFrame | None:
+    """Range numbers for the rows of oversized groups, 0 for all others; None if no group is oversized.
+
+    An oversized group holds more than 1/10,000 of all rows, so there are under 10,000 of them and
+    their keys can be broadcast.
+    """
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
+    limit = max(ROWS_PER_RANGE, (total or 0) // MOST_HOT_GROUPS)
+    if (largest or 0) <= limit:
+        return None
+    hot = sizes.where(F.col("_rows") > limit).select(*by, F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(hot), list(by), "left")
+    ranged = with_range(marked, order, range_cuts(df, order))
+    return ranged.withColumn(RANGE, F.when(F.col("_hot"), F.col(RANGE)).otherwise(0)).drop("_hot")
+
+
 def running_total(
     df: DataFrame,
     order: str,
@@ -77,12 +95,22 @@ def running_total(
     value on the group's first row is to be carried to every row. Pass ``cuts`` to reuse known cut
     points; a frame that already carries a range column keeps it.
     """
-    if RANGE not in df.columns:
-        df = with_range(df, order, range_cuts(df, order) if cuts is None else cuts)
     first = first or {}
-    part = [*by, RANGE]
+    if RANGE in df.columns:
+        ranged = df
+    elif by:
+        ranged = _with_hot_ranges(df, order, by)
+    else:
+        ranged = with_range(df, order, range_cuts(df, order) if cuts is None else cuts)
+    if ranged is None:
+        group = W.partitionBy(*by).orderBy(order)
+        earlier = F.sum(value).over(group.rowsBetween(W.unboundedPreceding, -1))
+        return df.withColumns(
+            {into: F.coalesce(earlier, F.lit(0)), **{name: F.first(source).over(group) for name, source in first.items()}}
+        )
 
-    totals = df.groupBy(*part).agg(
+    part = [*by, RANGE]
+    totals = ranged.groupBy(*part).agg(
         F.sum(value).alias("_total"),
         *[F.min_by(source, order).alias(name) for name, source in first.items()],
     )
@@ -97,7 +125,7 @@ def running_total(
         bases = F.broadcast(bases)
 
     inside = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    local = df.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (
         local.join(bases, part)
         .withColumn(into, F.col("_base") + F.col("_local"))

@@ -17,8 +17,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def encoded(docs: DataFrame) -> DataFrame:
+    return C.encoded_corpus(docs, C.native_encoder(C.vocabulary(docs)))
+
+
 def encoded_spans(docs: DataFrame) -> DataFrame:
-    return C.token_spans(docs, C.native_encoder(C.vocabulary(docs)))
+    return C.token_spans(encoded(docs))
 
 
 def _digest(ids: str):
@@ -50,10 +54,7 @@ def vocab_ids(spark, sf_dir):
 
 
 def encoded_documents(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    encode = C.native_encoder(C.vocabulary(docs))
-    ids = C.counted_documents(docs).withColumn("ids", encode.closed(F.col("text")))
-    return ids.select(
+    return encoded(documents(spark, sf_dir)).select(
         "doc_id",
         "n_tokens",
         _digest("ids").alias("ids_md5"),
@@ -61,14 +62,13 @@ def encoded_documents(spark, sf_dir):
     )
 
 
-def _half_budget(docs: DataFrame) -> int:
-    total = C.total_tokens(docs)
+def _half_budget(total: int) -> int:
     return S.kept_tokens(total, SHARD_SIZE, total // 2 + 1)
 
 
 def shard_assignment(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    return S.shard_assignment(C.token_offsets(docs), SHARD_SIZE, _half_budget(docs))
+    offsets = C.token_offsets(documents(spark, sf_dir))
+    return S.shard_assignment(offsets, SHARD_SIZE, _half_budget(C.tokens_in(offsets)))
 
 
 def shard_manifest(spark, sf_dir):
@@ -78,8 +78,8 @@ def shard_manifest(spark, sf_dir):
 
 
 def manifest_facts(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    sizes = S.shard_sizes(S.shard_assignment(C.token_offsets(docs), SHARD_SIZE, _half_budget(docs)))
+    offsets = C.token_offsets(documents(spark, sf_dir))
+    sizes = S.shard_sizes(S.shard_assignment(offsets, SHARD_SIZE, _half_budget(C.tokens_in(offsets))))
     facts = {"vocab_size": C.VOCABULARY_SIZE, "eos_id": C.END_ID, "dataset": "documents", "tokenizer": "native"}
     return S.manifest_row(sizes, **facts).select(
         *[F.col(c).cast("bigint") for c in ("total_tokens", "num_shards", "vocab_size", "eos_id")],
@@ -96,26 +96,26 @@ def pack_blocks_streaming(spark, sf_dir):
 
 
 def pack_blocks_capped(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    cap = C.total_tokens(docs) // 2
-    return describe_blocks(P.overlapping_blocks(encoded_spans(docs), SEQ_LEN, cap))
+    ids = encoded(documents(spark, sf_dir))
+    cap = C.tokens_in(ids) // 2
+    return describe_blocks(P.overlapping_blocks(C.token_spans(ids), SEQ_LEN, cap))
 
 
 def range_read(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    total = C.total_tokens(docs)
-    return S.read_range(encoded_spans(docs), total // 3, total // 10).select("pos", F.col("token").cast("bigint").alias("token"))
+    ids = encoded(documents(spark, sf_dir))
+    total = C.tokens_in(ids)
+    return S.read_range(C.token_spans(ids), total // 3, total // 10).select("pos", F.col("token").cast("bigint").alias("token"))
 
 
 def position_shards(spark, sf_dir):
     """Which shard holds each document's first token, for shards of uneven size (one per source)."""
     docs = documents(spark, sf_dir)
-    sized = C.counted_documents(docs).select("doc_id", "n_tokens")
-    by_source = sized.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
+    offsets = C.token_offsets(docs)
+    by_source = offsets.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
     manifest = S.shard_offsets(
         by_source.select(F.substring("source", 4, 10).cast("bigint").alias("shard_id"), "n_tokens")
     )
-    positions = C.token_offsets(docs).select("doc_id", F.col("start").alias("pos"))
+    positions = offsets.select("doc_id", F.col("start").alias("pos"))
     return S.locate_positions(positions, manifest).select("doc_id", "pos", "shard_id", "local_pos")
 
 
@@ -147,19 +147,19 @@ def shard_blocks(spark, sf_dir):
     return describe_blocks(read_shard_blocks(spark, path, SEQ_LEN))
 
 
-def _num_blocks(docs: DataFrame) -> int:
-    return P.num_overlapping_blocks(C.total_tokens(docs), SEQ_LEN)
+def _num_blocks(total: int) -> int:
+    return P.num_overlapping_blocks(total, SEQ_LEN)
 
 
 def epoch_batches(spark, sf_dir):
-    blocks = _num_blocks(documents(spark, sf_dir))
+    blocks = _num_blocks(C.total_tokens(documents(spark, sf_dir)))
     plan = B.batches(B.shuffled_epochs(spark, blocks, 2, SEED), blocks, MICRO_BATCH)
     return plan.select(*[F.col(c).cast("bigint") for c in ("epoch", "batch_id", "slot", "block_id")])
 
 
 def epoch_repeat(spark, sf_dir):
     total = C.total_tokens(documents(spark, sf_dir))
-    blocks = P.num_overlapping_blocks(total, SEQ_LEN)
+    blocks = _num_blocks(total)
     plan = B.training_schedule(spark, blocks, SEQ_LEN, MICRO_BATCH, ACCUMULATE, total * 5 // 2, SEED)
     columns = ("epoch", "batch_id", "slot", "block_id", "micro_step", "step")
     return plan.select(*[F.col(c).cast("bigint") for c in columns])
@@ -172,15 +172,15 @@ def _described_batches(blocks: DataFrame) -> DataFrame:
 
 
 def validation_batches_head(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    blocks = P.overlapping_blocks(encoded_spans(docs), SEQ_LEN, max_tokens=50 * MICRO_BATCH * SEQ_LEN + 1)
-    return _described_batches(B.first_batches(blocks, MICRO_BATCH, 50, _num_blocks(docs)))
+    ids = encoded(documents(spark, sf_dir))
+    blocks = P.overlapping_blocks(C.token_spans(ids), SEQ_LEN, max_tokens=50 * MICRO_BATCH * SEQ_LEN + 1)
+    return _described_batches(B.first_batches(blocks, MICRO_BATCH, 50, _num_blocks(C.tokens_in(ids))))
 
 
 def validation_batches_tail(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    blocks = P.overlapping_blocks(encoded_spans(docs), SEQ_LEN)
-    return _described_batches(B.held_out_batches(blocks, MICRO_BATCH, _num_blocks(docs)))
+    ids = encoded(documents(spark, sf_dir))
+    blocks = P.overlapping_blocks(C.token_spans(ids), SEQ_LEN)
+    return _described_batches(B.held_out_batches(blocks, MICRO_BATCH, _num_blocks(C.tokens_in(ids))))
 
 
 QUERIES = {
@@ -309,7 +309,7 @@ FROM blocks, total
 WHERE block_id // {MICRO_BATCH} < least(50, ((t - 1) // {SEQ_LEN}) // {MICRO_BATCH})""",
     "validation_batches_tail": f"""WITH {IDS_SQL}, {_LOCAL_BLOCKS},
 held AS (
-    SELECT nb - ((nb * 0.05)::DOUBLE::DECIMAL(38, 9) // 1)::BIGINT // {MICRO_BATCH} * {MICRO_BATCH} AS f
+    SELECT nb - nb // 20 // {MICRO_BATCH} * {MICRO_BATCH} AS f
     FROM (SELECT (t - 1) // {SEQ_LEN} AS nb FROM total)
 )
 SELECT (block_id - f) // {MICRO_BATCH} AS batch_id, (block_id - f) % {MICRO_BATCH} AS slot, block_id,

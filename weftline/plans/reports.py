@@ -222,16 +222,16 @@ def log_metrics(spark, sf_dir):
 
 
 def train_log_metrics(spark, sf_dir):
-    """Training log lines of the step metrics, rendered, written and parsed back."""
+    """Training log lines of the step metrics, rendered into eight log folders and parsed back."""
     path = fresh_path(spark, "trainlogs")
     steps = run_steps(spark, sf_dir)
     loss = F.round(F.col("loss") * 800) / 1000  # three decimals at most, so that rendering is exact
     line = L.render_step_line(F.col("step"), F.lit(9536), loss, F.least(F.col("ppl"), F.lit(1e6)), loss / 10, F.col("lr_factor"), F.col("step") * 1.0)
     checked = F.concat(line, F.when(F.col("step") % 2 == 0, F.format_string("\n  >>> val_loss=%.4f  val_ppl=%.1f", loss, loss)).otherwise(""))
-    steps.select("run", checked.alias("value")).write.partitionBy("run").text(path)
+    steps.select((F.col("run") % 8).alias("lane"), checked.alias("value")).write.partitionBy("lane").text(path)
     parsed = L.read_training_logs(spark, f"{path}/*")
-    run = F.regexp_extract("file", r"run=(\d+)", 1).cast("bigint").alias("run")
-    return parsed.select(run, "step", "total_steps", "loss", "lr", "val_loss")
+    lane = F.regexp_extract("file", r"lane=(\d+)", 1).cast("bigint").alias("lane")
+    return parsed.select(lane, "step", "total_steps", "loss", "lr", "val_loss")
 
 
 def checkpoint_manifest(spark, sf_dir):
@@ -414,7 +414,7 @@ FROM answers GROUP BY phase, 2, model""",
     "log_metrics": f"""WITH {_ANSWERS_SQL}
 SELECT phase, model || '_' || step AS tag, task, round(score::DECIMAL(38, 15), 4)::DOUBLE AS score, total AS seconds FROM scores""",
     "train_log_metrics": f"""WITH {_STEPS_SQL}
-SELECT run, step, 9536::BIGINT AS total_steps, round(loss * 800) / 1000 AS loss,
+SELECT run % 8 AS lane, step, 9536::BIGINT AS total_steps, round(loss * 800) / 1000 AS loss,
        format('{{:.2e}}', lr_factor)::DOUBLE AS lr, CASE WHEN step % 2 = 0 THEN round(loss * 800) / 1000 END AS val_loss
 FROM metrics""",
     "checkpoint_manifest": f"""WITH {_ANSWERS_SQL}

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import text as T
-from weftline.functions.draws import draw
 from weftline.operators import corpus as C
 from weftline.operators import requests as R
 from weftline.operators import scoring as X
-from weftline.operators.bigrams import Bigrams, bigram_scores, fit_bigrams
-from weftline.plans.corpus import documents
+from weftline.operators.bigrams import Bigrams, bigram_scores, fit_bigrams, open_ids
+from weftline.plans.corpus import documents, encoded
 from weftline.plans.tables import IDS_SQL, SEED, table
 
 DISTRACTORS = 3
@@ -23,7 +21,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scorer(docs: DataFrame) -> tuple[C.Encoder, Bigrams]:
     encode = C.native_encoder(C.vocabulary(docs))
-    return encode, fit_bigrams(docs, encode)
+    return encode, fit_bigrams(C.encoded_corpus(docs, encode))
 
 
 def _rounded(*names: str):
@@ -118,9 +116,9 @@ def turn_loglikelihood(spark, sf_dir):
 
 
 def _rolling(spark, sf_dir, max_length):
-    docs = documents(spark, sf_dir)
-    encode, model = scorer(docs)
-    texts = C.present_documents(docs).select(F.col("doc_id").alias("request_id"), encode.ids(F.col("text")).alias("ids"))
+    ids = encoded(documents(spark, sf_dir))
+    model = fit_bigrams(ids)
+    texts = open_ids(ids).withColumnRenamed("doc_id", "request_id")
     scores = X.perplexity_of(X.request_scores(bigram_scores(X.rolling_targets(texts, max_length), model)))
     return scores.select(F.col("request_id").alias("doc_id"), "n_scored", *_rounded("ll", "perplexity"))
 

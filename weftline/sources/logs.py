@@ -6,25 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The line formats.
-BENCH_HEADER = r"(?m)^=====\s*"
-BENCH_TAG = r"^(.+?) =====[ \t]*(?:\n|$)"
+BENCH_BREAK = "\n====="
+BENCH_TAG = r"^(?:=====)?\s*(.+?) =====[ \t]*(?:\n|$)"
 BENCH_LINE = r"(?m)^\s+([a-z0-9_]+): ([0-9.]+)(?:\s+\((\d+)s\))?[ \t]*$"
-STEP_START = r"(?m)^(?=\s*step\s+\d+/)"
-STEP_LINE = (
-    r"step\s+(\d+)/(\d+) \| loss (\S+) \| ppl (\S+) \| grad (\S+) \| lr (\S+) \| tok/s (\S+)"
-)
+STEP_BREAK = "\n  step "
+STEP_LINE = r"^\s*(?:step)?\s*(\d+)/(\d+) \| loss (\S+) \| ppl (\S+) \| grad (\S+) \| lr (\S+) \| tok/s (\S+)"
 VALIDATION_LINE = r">>> val_loss=(\S+)\s+val_ppl=(\S+)"
 
 
-def parse_bench_logs(files: DataFrame) -> DataFrame:
-    """``(file, value)``, one whole log per row, to ``(file, tag, task, score, seconds)``.
+def _records(reader, path: str, separator: str) -> DataFrame:
+    """A log cut at ``separator`` instead of at each line: a record is a header with all that follows it.
 
-    A log is split at its headers, so that each metric line stays with the tag above it and files
-    need no order among their lines after the split.
+    Files still split into byte ranges, and no order among lines has to be restored.
     """
-    sections = files.select("file", F.explode(F.split("value", BENCH_HEADER)).alias("section"))
-    tagged = sections.select("file", F.regexp_extract("section", BENCH_TAG, 1).alias("tag"), "section").where("tag <> ''")
-    lines = tagged.select("file", "tag", F.explode(F.regexp_extract_all("section", F.lit(BENCH_LINE), F.lit(0))).alias("line"))
+    return reader.option("lineSep", separator).text(path).select(F.input_file_name().alias("file"), "value")
+
+
+def parse_bench_records(records: DataFrame) -> DataFrame:
+    """``(file, value)`` to ``(file, tag, task, score, seconds)``."""
+    tagged = records.select("file", F.regexp_extract("value", BENCH_TAG, 1).alias("tag"), "value").where("tag <> ''")
+    lines = tagged.select("file", "tag", F.explode(F.regexp_extract_all("value", F.lit(BENCH_LINE), F.lit(0))).alias("line"))
     seconds = F.regexp_extract("line", BENCH_LINE, 3)
     return lines.select(
         "file",
@@ -36,14 +37,24 @@ def parse_bench_logs(files: DataFrame) -> DataFrame:
 
 
 def read_bench_logs(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return parse_bench_logs(files)
+    return parse_bench_records(_records(spark.read, path, BENCH_BREAK))
+
+
+def stream_bench_logs(spark: SparkSession, path: str) -> DataFrame:
+    return parse_bench_records(_records(spark.readStream, path, BENCH_BREAK))
 
 
-def parse_training_logs(files: DataFrame) -> DataFrame:
+def parse_step_records(records: DataFrame) -> DataFrame:
     """``(file, value)`` to one row per logged step, with the validation line that follows it, if any."""
-    parts = files.select("file", F.explode(F.split("value", STEP_START)).alias("part")).where(F.col("part").rlike(STEP_LINE))
-    return parts.select("file", *step_columns("part"))
+    return records.where(F.col("value").rlike(STEP_LINE)).select("file", *step_columns("value"))
+
+
+def read_training_logs(spark: SparkSession, path: str) -> DataFrame:
+    return parse_step_records(_records(spark.read, path, STEP_BREAK))
+
+
+def stream_training_logs(spark: SparkSession, path: str) -> DataFrame:
+    return parse_step_records(_records(spark.readStream, path, STEP_BREAK))
 
 
 def step_columns(text: str):
@@ -63,17 +74,6 @@ def step_columns(text: str):
     ]
 
 
-def read_training_logs(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return parse_training_logs(files)
-
-
-def stream_training_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows from a growing folder of logs; each line is its own row."""
-    lines = spark.readStream.text(path).select(F.input_file_name().alias("file"), "value")
-    return lines.where(F.col("value").rlike(STEP_LINE)).select("file", *step_columns("value"))
-
-
 def render_bench_log(tag, tasks) -> object:
     """Column of a whole log: header, then one line per ``(task, score, seconds)`` of the array ``tasks``."""
     line = F.transform(

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from weftline.operators.corpus import Encoder, token_spans
+from weftline.operators.corpus import Encoder, encoded_corpus, token_spans
 from weftline.operators.packing import windows
+from weftline.session import spread
 
 CARRY_SCHEMA = "batch long, next_block long, ids array<int>"
 
@@ -48,7 +49,7 @@ def pack_batch(
         return  # the budget is used up: nothing more is produced
     held = carried.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
 
-    spans = token_spans(documents, encode).withColumn("start", F.col("start") + held)
+    spans = token_spans(encoded_corpus(spread(documents, "doc_id"), encode)).withColumn("start", F.col("start") + held)
     packed = windows(spans.unionByName(carried), length, length)
     numbered = packed.withColumn("block_id", F.col("block_id") + next_block)
     target = f"{out}/windows/batch={batch_id}"
