@@ -27,9 +27,9 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_manifest(row: DataFrame, folder: str) -> None:
-    """Write a one-row frame as ``key=value`` lines (a Spark text folder)."""
+    """Write a one-row frame as ``key=value`` lines where :func:`read_manifest` looks for them."""
     lines = [F.concat(F.lit(f"{key}="), F.col(key).cast("string")) for key in KEYS if key in row.columns]
-    row.select(F.concat_ws("\n", *lines).alias("value")).coalesce(1).write.text(folder)
+    row.select(F.concat_ws("\n", *lines).alias("value")).coalesce(1).write.text(f"{folder}/{MANIFEST}")
 
 
 def has_manifest(folder: str) -> bool:
@@ -38,7 +38,7 @@ def has_manifest(folder: str) -> bool:
     from weftline.sources.token_shards import open_folder
 
     files, root = open_folder(folder)
-    return files.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File
+    return files.get_file_info(f"{root}/{MANIFEST}").type != pafs.FileType.NotFound
 
 
 def open_training_source(spark: SparkSession, folder: str, documents: str) -> tuple[str, DataFrame]:
