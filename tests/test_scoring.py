@@ -4,9 +4,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from weftline.operators import bigrams as G
+from weftline.operators import generators as A
 from weftline.operators import corpus as C
 from weftline.operators import requests as R
 from weftline.operators import scoring as X
+from weftline.operators import tasks as K
 
 
 def test_last_word_split(spark):
@@ -128,10 +130,30 @@ def test_accuracy_of_absent_tasks_is_zero(spark):
 
 
 def test_generated_text_is_searched(spark):
-    cases = spark.createDataFrame([(1, "42"), (2, "42"), (3, "42")], "case_id long, answer string")
-    texts = spark.createDataFrame([(1, "it is 42 ."), (2, "4 2")], "case_id long, text string")
-    got = {r.case_id: r.correct for r in X.generated_match(cases, texts).collect()}
-    assert got == {1: True, 2: False, 3: False}
+    cases = spark.createDataFrame([(1, 9, "42"), (2, 9, "42"), (3, 9, "42")], "case_id long, context_len int, answer string")
+    texts = spark.createDataFrame([(1, 9, "it is 42 ."), (2, 9, "4 2")], "case_id long, context_len int, text string")
+    assert A.answer_found(cases, texts).first().asDict() == {"context_len": 9, "total": 3, "n_correct": 1, "accuracy": 1 / 3}
+
+
+def test_all_five_tasks(spark):
+    """A scorer that knows one sentence solves the items made from it."""
+    docs = spark.createDataFrame([(0, "the cat saw a dog . the code is ALPHA .")], "doc_id long, text string")
+    encode = C.native_encoder(C.vocabulary(docs))
+    model = G.fit_bigrams(C.encoded_corpus(docs, encode))
+    case = "case_id long, context_len int, prompt array<string>, answer string"
+    inputs = {
+        "lambada": spark.createDataFrame([(1, "saw a dog"), (2, "saw a cat"), (3, "dog")], "item_id long, text string"),
+        "niah": spark.createDataFrame([(1, 9, ["code", "is"], "ALPHA beta")], case),
+        "hellaswag": spark.createDataFrame([(1, "the cat", [" saw", " dog"], "0")], "item_id long, ctx string, endings array<string>, label string"),
+        "arc_easy": spark.createDataFrame([(1, "saw a", (["cat", "dog"],), "B"), (2, "saw", (["a"],), "E")], "item_id long, question string, choices struct<text: array<string>>, answerKey string"),
+        "winogrande": spark.createDataFrame([(1, "the cat saw a _", "dog", "cat", "1")], "item_id long, sentence string, option1 string, option2 string, answer string"),
+    }
+    rows = K.evaluate(inputs, encode, lambda targets: G.bigram_scores(targets, model)).collect()
+    assert {r.task: (r.total, r.accuracy) for r in rows} == {
+        "lambada": (2, 0.5), "niah": (1, 1.0), "hellaswag": (1, 1.0), "arc_easy": (1, 1.0), "winogrande": (1, 1.0),
+    }
+    few = K.evaluate(inputs, encode, lambda targets: G.bigram_scores(targets, model), ["niah", "piqa"]).collect()
+    assert {r.task: r.total for r in few} == {"niah": 1, "piqa": 0}
 
 
 def test_top_token_ties(spark):

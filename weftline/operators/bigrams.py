@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.corpus import END_ID, VOCABULARY_SIZE
+from weftline.operators.corpus import END_ID, LARGEST_ID, VOCABULARY_SIZE
 from weftline.session import stage
 
 HOT_SHARE = 1_000
@@ -47,9 +47,10 @@ def bigram_scores(targets: DataFrame, model: Bigrams) -> DataFrame:
       remaining join.
     """
     pairs, known = model.pairs, F.col("token").isNotNull()
-    totals = pairs.groupBy("prev").agg(
-        F.sum("n").alias("n_prev"), F.min_by("token", F.struct(-F.col("n"), F.col("token"))).alias("argmax_token")
-    )
+    # Count and id packed into one number: its maximum is a hash aggregate, a maximum of structs is a sort.
+    packed = F.shiftleft("n", 16) + (LARGEST_ID - F.col("token"))
+    best_id = (LARGEST_ID - F.max(packed).bitwiseAND(F.lit(LARGEST_ID))).cast("int")
+    totals = pairs.groupBy("prev").agg(F.sum("n").alias("n_prev"), best_id.alias("argmax_token"))
     limit = (pairs.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
     hot = pairs.where(F.col("n") > limit).select("prev", "token", F.col("n").alias("n_hot"))
     cold = pairs.where(F.col("n") <= limit).withColumn("salt", F.lit(0))

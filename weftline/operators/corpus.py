@@ -114,7 +114,7 @@ def custom_encoder(tokenize: Callable[[str], Iterable[int]], end_id: int | None)
 
 def decode(token_rows: DataFrame, vocab: DataFrame, group: str, order: str) -> DataFrame:
     """Ids back to text, one row per ``group``: tokens joined by a space in ``order``."""
-    named = token_rows.join(F.broadcast(vocab.select("token", "token_id")), "token_id", "left")
+    named = token_rows.join(vocab.select("token", "token_id"), "token_id", "left")
     pieces = F.sort_array(F.collect_list(F.struct(order, "token")))
     return named.groupBy(group).agg(F.array_join(F.transform(pieces, lambda p: p["token"]), " ", "?").alias("text"))
 
@@ -144,7 +144,7 @@ def token_spans(encoded: DataFrame) -> DataFrame:
 
     Range totals read only the counts; the ids are shuffled once, by range.
     """
-    return running_total(encoded, "doc_id", "n_tokens", "start", cuts=range_cuts(encoded, "doc_id"))
+    return running_total(encoded, "doc_id", "n_tokens", "start", cuts=range_cuts(encoded, "doc_id", weight="n_tokens"))
 
 
 def cut_at(spans: DataFrame, kept: int) -> DataFrame:

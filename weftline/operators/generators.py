@@ -159,3 +159,22 @@ def first_word_accuracy(cases: DataFrame, said: DataFrame) -> DataFrame:
     judged = cases.select("case_id", "context_len", "answer").join(said, ["case_id", "context_len"], "left")
     right = F.coalesce(F.col("said") == F.get(words(F.col("answer")), F.lit(0)), F.lit(False))
     return accuracy(judged.withColumn("correct", right), ["context_len"])
+
+
+def copied_words(cases: DataFrame, count: int) -> DataFrame:
+    """The ``count`` words that followed the latest earlier use of the prompt's last word.
+
+    Stands in for greedy generation in checks; gives ``(case_id, context_len, text)``.
+    """
+    n = F.size("prompt")
+    places = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    latest = F.array_max(F.filter(places, lambda i: F.get("prompt", i) == F.element_at("prompt", -1)))
+    said = F.slice("prompt", F.coalesce(latest, n - 1) + 2, F.lit(count))
+    return cases.select("case_id", "context_len", F.array_join(said, " ").alias("text"))
+
+
+def answer_found(cases: DataFrame, generated: DataFrame) -> DataFrame:
+    """By context length: the answer must occur somewhere in the generated text."""
+    judged = cases.select("case_id", "context_len", "answer").join(generated, ["case_id", "context_len"], "left")
+    found = F.contains(F.coalesce("text", F.lit("")), F.col("answer"))
+    return accuracy(judged.withColumn("correct", found), ["context_len"])

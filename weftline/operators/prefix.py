@@ -26,6 +26,7 @@ from weftline.functions.draws import DRAW_RANGE
 
 RANGE = "_range"
 ROWS_PER_RANGE = 200_000
+WEIGHT_PER_RANGE = 50_000_000
 SAMPLES_PER_RANGE = 200
 MOST_HOT_GROUPS = 10_000
 
@@ -35,11 +36,16 @@ def _even_parts(df: DataFrame, rows: int) -> int:
     return max(min(shuffle, rows), math.ceil(rows / ROWS_PER_RANGE))
 
 
-def range_cuts(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
-    """Ascending cut points that split ``key`` into ranges of about equal row count."""
+def range_cuts(df: DataFrame, key: str, ranges: int | None = None, weight: str | None = None) -> list[float]:
+    """Ascending cut points that split ``key`` into ranges of about equal row count.
+
+    ``weight`` names a size per row (tokens of a document, say): heavy rows then get more ranges, so
+    that a range stays small enough to sort in one task.
+    """
+    heaviness = F.sum(weight) if weight else F.lit(0)
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(heaviness, F.lit(0))).first()
+    ranges = ranges or max(_even_parts(df, rows), math.ceil(total / WEIGHT_PER_RANGE))
     keys = df.select(F.col(key).cast("double").alias(key))
-    rows = keys.count()
-    ranges = ranges or _even_parts(df, rows)
     if rows == 0 or ranges < 2:
         return []
     wanted = ranges * SAMPLES_PER_RANGE

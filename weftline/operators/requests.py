@@ -6,7 +6,7 @@ A request is ``(request_id, context, continuation)``; a choice request also carr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
@@ -47,10 +47,16 @@ def ending_requests(items: DataFrame) -> DataFrame:
     return _per_choice(shaped, "ctx", lambda choice: choice)
 
 
+def with_valid_label(keyed: DataFrame, n_choices: Column) -> DataFrame:
+    """Add ``label`` from ``answerKey``; rows whose key is unknown or names no choice are left out."""
+    return keyed.withColumn("label", T.answer_index(F.col("answerKey"))).where(
+        F.col("label").between(F.lit(0), n_choices - 1)
+    )
+
+
 def labelled_questions(items: DataFrame) -> DataFrame:
     """``(item_id, question, choices, label)``: items whose answer key names an existing choice."""
-    keyed = items.withColumn("label", T.answer_index(F.col("answerKey")))
-    return keyed.where(F.col("label").between(F.lit(0), F.size("choices.text") - 1)).select(
+    return with_valid_label(items, F.size("choices.text")).select(
         "item_id", "question", F.col("choices.text").alias("choices"), "label"
     )
 

@@ -95,8 +95,11 @@ def per_token(scores: DataFrame, extra: int = 0) -> DataFrame:
 
 
 def chosen(scores: DataFrame) -> DataFrame:
-    """The best choice of each item, the first of equals: ``(item_id, label, picked, correct)``."""
-    picked = F.max_by("choice_idx", F.struct("score", -F.col("choice_idx")))
+    """The best choice of each item, the first of equals: ``(item_id, label, picked, correct)``.
+
+    Scores are compared to nine places: sums of the same terms in another order must stay equal.
+    """
+    picked = F.max_by("choice_idx", F.struct(F.round("score", 9), -F.col("choice_idx")))
     return scores.groupBy("item_id", "label").agg(picked.alias("picked")).withColumn(
         "correct", F.col("picked") == F.col("label")
     )
@@ -121,13 +124,6 @@ def perplexity_of(scores: DataFrame) -> DataFrame:
     return scores.withColumn("perplexity", F.when(F.col("n_scored") > 0, F.exp(-F.col("ll") / F.col("n_scored"))))
 
 
-def generated_match(cases: DataFrame, generated: DataFrame) -> DataFrame:
-    """A case counts as solved when its answer occurs anywhere in the generated text."""
-    return cases.join(generated, "case_id", "left").withColumn(
-        "correct", F.contains(F.coalesce("text", F.lit("")), F.col("answer"))
-    )
-
-
 def preferred_metric(metrics: str = "metrics", names: Iterable[str] = ("acc,none", "acc_norm,none")) -> Column:
     """The first of the named metrics that a task reports."""
     return F.coalesce(*[F.try_element_at(metrics, F.lit(name)) for name in names])

@@ -76,6 +76,15 @@ def niah_accuracy(spark, sf_dir):
     )
 
 
+def niah_generated(spark, sf_dir):
+    """The passkey must occur in six words copied from the prompt."""
+    cases = _passkeys(spark, sf_dir)
+    found = G.answer_found(cases, G.copied_words(cases, 6))
+    return found.select(
+        F.col("context_len").cast("bigint").alias("context_len"), "total", "n_correct", F.round("accuracy", 6).alias("accuracy")
+    )
+
+
 QUERIES = {
     "parity_labels": parity_labels,
     "parity_accuracy": parity_accuracy,
@@ -83,6 +92,7 @@ QUERIES = {
     "niah_cases_b": niah_cases_b,
     "niah_constant_filler": niah_constant_filler,
     "niah_accuracy": niah_accuracy,
+    "niah_generated": niah_generated,
 }
 
 # --- the same answers in SQL -------------------------------------------------------------------
@@ -180,4 +190,11 @@ heard AS (
 SELECT context_len, count(*) AS total, coalesce(sum((said = answer)::INT), 0)::BIGINT AS n_correct,
        round(coalesce(sum((said = answer)::INT), 0) / count(*), 6)::DOUBLE AS accuracy
 FROM cases LEFT JOIN heard USING (case_id, context_len) GROUP BY context_len""",
+    "niah_generated": f"""WITH {_FILLER_SQL}, {_grid(LENGTHS)}, {_PASSKEY_SQL},
+copied AS (
+    SELECT *, coalesce(list_max(list_filter(range(1, len(prompt)), lambda i: prompt[i] = prompt[-1])), len(prompt)) AS at_ FROM cases
+)
+SELECT context_len, count(*) AS total, sum(contains(array_to_string(prompt[at_ + 1:at_ + 6], ' '), answer)::INT)::BIGINT AS n_correct,
+       round(avg(contains(array_to_string(prompt[at_ + 1:at_ + 6], ' '), answer)::INT), 6) AS accuracy
+FROM copied GROUP BY context_len""",
 }

@@ -9,6 +9,7 @@ from weftline.operators import corpus as C
 from weftline.operators import requests as R
 from weftline.operators import scoring as X
 from weftline.operators.bigrams import Bigrams, bigram_scores, fit_bigrams, open_ids
+from weftline.operators.tasks import evaluate
 from weftline.plans.corpus import documents, encoded
 from weftline.plans.tables import IDS_SQL, SEED, table
 
@@ -53,17 +54,19 @@ def _choices(spark, sf_dir):
     return listed.select("item_id", F.col("ctx").alias("question"), F.struct(F.col("choices").alias("text")).alias("choices"), "label")
 
 
+def _keyed_choices(spark, sf_dir):
+    return _choices(spark, sf_dir).withColumn("answerKey", (F.col("label") + 1).cast("string")).drop("label")
+
+
 def choice_requests(spark, sf_dir):
-    keyed = _choices(spark, sf_dir).withColumn("answerKey", (F.col("label") + 1).cast("string")).drop("label")
-    return R.question_requests(keyed).select(
+    return R.question_requests(_keyed_choices(spark, sf_dir)).select(
         "item_id", *[F.col(c).cast("bigint").alias(c) for c in ("choice_idx", "label")], "context", "continuation"
     )
 
 
 def _choice_scores(spark, sf_dir):
     encode, model = scorer(documents(spark, sf_dir))
-    keyed = _choices(spark, sf_dir).withColumn("answerKey", (F.col("label") + 1).cast("string")).drop("label")
-    requests = R.encode_requests(R.question_requests(keyed), encode)
+    requests = R.encode_requests(R.question_requests(_keyed_choices(spark, sf_dir)), encode)
     keep = ["item_id", "choice_idx", "label"]
     targets = X.continuation_targets(requests, keep=keep)
     return X.per_token(X.request_scores(bigram_scores(targets, model), keep))
@@ -73,25 +76,24 @@ def choice_scores(spark, sf_dir):
     return _choice_scores(spark, sf_dir).select("item_id", F.col("choice_idx").cast("bigint").alias("choice_idx"), *_rounded("ll", "score"))
 
 
-def _rounded_choice(scores: DataFrame) -> DataFrame:
-    """Round before comparing, so that equal scores are ties in every engine."""
-    return scores.withColumn("score", F.round("score", 9))
-
-
 def choice_accuracy(spark, sf_dir):
-    return X.accuracy(X.chosen(_rounded_choice(_choice_scores(spark, sf_dir)))).select("total", "n_correct", *_rounded("accuracy"))
+    return X.accuracy(X.chosen(_choice_scores(spark, sf_dir))).select("total", "n_correct", *_rounded("accuracy"))
 
 
-def _blank_scores(spark, sf_dir):
-    encode, model = scorer(documents(spark, sf_dir))
+def _blanks(spark, sf_dir):
     listed = R.with_distractors(items(spark, sf_dir), 1, SEED)
-    blanks = listed.select(
+    return listed.select(
         "item_id",
         F.concat("ctx", F.lit(" _")).alias("sentence"),
         F.get("choices", F.lit(0)).alias("option1"),
         F.get("choices", F.lit(1)).alias("option2"),
         (F.col("label") + 1).cast("string").alias("answer"),
     )
+
+
+def _blank_scores(spark, sf_dir):
+    encode, model = scorer(documents(spark, sf_dir))
+    blanks = _blanks(spark, sf_dir)
     keep = ["item_id", "choice_idx", "label"]
     texts = R.blank_requests(blanks).withColumn("ids", encode.ids(F.col("text"))).drop("text")
     targets = X.rolling_targets(texts, R.MAX_LENGTH, keep)
@@ -105,7 +107,7 @@ def fill_blank_scores(spark, sf_dir):
 
 
 def fill_blank_accuracy(spark, sf_dir):
-    return X.accuracy(X.chosen(_rounded_choice(_blank_scores(spark, sf_dir)))).select("total", "n_correct", *_rounded("accuracy"))
+    return X.accuracy(X.chosen(_blank_scores(spark, sf_dir))).select("total", "n_correct", *_rounded("accuracy"))
 
 
 def turn_loglikelihood(spark, sf_dir):
@@ -139,13 +141,12 @@ def label_validity(spark, sf_dir):
         .otherwise(F.when(F.col("toxic") == 1, "4").otherwise("3"))
         .alias("answerKey"),
     )
-    choices = C.present_documents(documents(spark, sf_dir)).select("doc_id", F.split("text", "[.] ").alias("parts"))
-    joined = rendered.join(choices, "doc_id").select(
-        F.col("doc_id").alias("item_id"), F.lit("").alias("question"), F.struct(F.col("parts").alias("text")).alias("choices"), "answerKey"
-    )
-    return R.labelled_questions(joined).select(
-        F.col("item_id").alias("doc_id"), F.col("label").cast("bigint").alias("label"), F.size("choices").cast("bigint").alias("n_choices")
+    # Sentences are counted before the join, so that no text is shuffled.
+    counts = C.present_documents(documents(spark, sf_dir)).select(
+        "doc_id", F.size(F.split("text", "[.] ")).cast("bigint").alias("n_choices")
     )
+    valid = R.with_valid_label(rendered.join(counts, "doc_id"), F.col("n_choices"))
+    return valid.select("doc_id", F.col("label").cast("bigint").alias("label"), "n_choices")
 
 
 def token_score_gather(spark, sf_dir):
@@ -169,11 +170,19 @@ def token_score_gather(spark, sf_dir):
 
 
 def task_accuracy(spark, sf_dir):
-    """Accuracy of a fixed task list; a task nobody answered reports 0."""
-    outcomes = _last_word_scores(spark, sf_dir).select(F.lit("lambada").alias("task"), F.col("is_greedy").alias("correct"))
-    picked = X.chosen(_rounded_choice(_choice_scores(spark, sf_dir))).select(F.lit("arc_easy").alias("task"), "correct")
-    both = outcomes.unionByName(picked)
-    return X.accuracy_of_tasks(both, ["lambada", "arc_easy", "piqa"]).select("task", "total", "n_correct", *_rounded("accuracy"))
+    """Several tasks in one go; a listed task without items reports 0."""
+    encode, model = scorer(documents(spark, sf_dir))
+    inputs = {"lambada": items(spark, sf_dir), "arc_easy": _keyed_choices(spark, sf_dir), "winogrande": _blanks(spark, sf_dir)}
+    rows = evaluate(inputs, encode, lambda targets: bigram_scores(targets, model), [*inputs, "piqa"])
+    return rows.select("task", "total", "n_correct", *_rounded("accuracy"))
+
+
+def decoded_documents(spark, sf_dir):
+    """Ids back to text through the vocabulary; unknown tokens show as ``?``."""
+    docs = documents(spark, sf_dir)
+    vocab = C.vocabulary(docs)
+    rows = open_ids(C.encoded_corpus(docs, C.native_encoder(vocab))).select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
+    return C.decode(rows, vocab, "doc_id", "pos").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 QUERIES = {
@@ -191,6 +200,7 @@ QUERIES = {
     "label_validity": label_validity,
     "token_score_gather": token_score_gather,
     "task_accuracy": task_accuracy,
+    "decoded_documents": decoded_documents,
 }
 
 # --- the same answers in SQL -------------------------------------------------------------------
@@ -208,46 +218,50 @@ bests AS (SELECT prev, token AS best FROM pairs QUALIFY row_number() OVER (PARTI
 _WORDS = r"'[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'"
 
 
-def _scored(cap: int | None) -> str:
-    """From ``reqs(request_id, ctx, cont)``: one row per scored position."""
+def _scored(cap: int | None, at: str = "") -> str:
+    """From ``reqs(request_id, ctx, cont)``: one row per scored position; ``at`` ends all names."""
     window = f"WHERE p > n_all - {cap}" if cap else ""
     return f"""
-parts AS (
-    SELECT request_id, 0 AS part, regexp_extract_all(ctx, {_WORDS}) AS words FROM reqs
-    UNION ALL SELECT request_id, 1, regexp_extract_all(cont, {_WORDS}) FROM reqs
+parts{at} AS (
+    SELECT request_id, 0 AS part, regexp_extract_all(ctx, {_WORDS}) AS words FROM reqs{at}
+    UNION ALL SELECT request_id, 1, regexp_extract_all(cont, {_WORDS}) FROM reqs{at}
 ),
-req_words AS (SELECT request_id, part, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM parts),
-req_ids AS (
+req_words{at} AS (SELECT request_id, part, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM parts{at}),
+req_ids{at} AS (
     SELECT request_id, part, i, coalesce(token_id, 1) AS id,
            row_number() OVER (PARTITION BY request_id ORDER BY part, i) AS p, count(*) OVER (PARTITION BY request_id) AS n_all
-    FROM req_words LEFT JOIN vocab USING (token)
+    FROM req_words{at} LEFT JOIN vocab USING (token)
 ),
-kept_ids AS (SELECT * FROM req_ids {window}),
-targets AS (SELECT request_id, part, i, id AS token, lag(id) OVER (PARTITION BY request_id ORDER BY p) AS prev FROM kept_ids),
-scored AS (
-    SELECT request_id, part, i - 1 AS pos, targets.prev, targets.token,
+kept_ids{at} AS (SELECT * FROM req_ids{at} {window}),
+targets{at} AS (SELECT request_id, part, i, id AS token, lag(id) OVER (PARTITION BY request_id ORDER BY p) AS prev FROM kept_ids{at}),
+scored{at} AS (
+    SELECT request_id, part, i - 1 AS pos, t.prev, t.token,
            ln((coalesce(n, 0) + 1) / (coalesce(n_prev, 0) + {C.VOCABULARY_SIZE})) AS logprob, coalesce(best, 0) AS best
-    FROM targets LEFT JOIN pairs ON pairs.prev = targets.prev AND pairs.token = targets.token
-    LEFT JOIN prevs ON prevs.prev = targets.prev LEFT JOIN bests ON bests.prev = targets.prev
-    WHERE targets.prev IS NOT NULL
+    FROM targets{at} t LEFT JOIN pairs ON pairs.prev = t.prev AND pairs.token = t.token
+    LEFT JOIN prevs ON prevs.prev = t.prev LEFT JOIN bests ON bests.prev = t.prev
+    WHERE t.prev IS NOT NULL
 )"""
 
 
-_FOLD = """
-folded AS (
-    SELECT reqs.request_id, coalesce(sum(logprob), 0) AS ll, coalesce(bool_and(best = token), true) AS is_greedy,
+def _fold(at: str = "") -> str:
+    return f"""
+folded{at} AS (
+    SELECT r.request_id, coalesce(sum(logprob), 0) AS ll, coalesce(bool_and(best = token), true) AS is_greedy,
            count(logprob) AS n_scored, any_value(ne) AS n_expected
-    FROM (SELECT request_id, len(regexp_extract_all(cont, %s))::BIGINT AS ne FROM reqs) reqs
-    LEFT JOIN (SELECT * FROM scored WHERE part = 1) s USING (request_id)
-    GROUP BY reqs.request_id
-)""" % _WORDS
-
-_ROLLED = """
-folded AS (
-    SELECT reqs.request_id, coalesce(sum(logprob), 0) AS ll, count(logprob) AS n_scored
-    FROM reqs LEFT JOIN scored USING (request_id) GROUP BY reqs.request_id
+    FROM (SELECT request_id, len(regexp_extract_all(cont, {_WORDS}))::BIGINT AS ne FROM reqs{at}) r
+    LEFT JOIN (SELECT * FROM scored{at} WHERE part = 1) s USING (request_id)
+    GROUP BY r.request_id
+)"""
+
+
+def _rolled(at: str = "") -> str:
+    return f"""
+folded{at} AS (
+    SELECT r.request_id, coalesce(sum(logprob), 0) AS ll, count(logprob) AS n_scored
+    FROM reqs{at} r LEFT JOIN scored{at} USING (request_id) GROUP BY r.request_id
 )"""
 
+
 _LAST_WORD = """
 lw AS (
     SELECT item_id, regexp_extract(text, '^(.*) [^ ]*$', 1, 's') AS ctx, regexp_extract(text, '([^ ]*)$', 1) AS word
@@ -259,31 +273,40 @@ def _hash(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
 
 
-def _choice_sql(count: int) -> str:
-    return f"""{_LAST_WORD},
-ranked AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM lw),
-slots AS (
+def _choice_sql(count: int, at: str = "") -> str:
+    return f"""
+slots{at} AS (
     SELECT item_id, ctx, place, n, {_hash(f"'{SEED}:' || item_id || ':label'")} % {count + 1} AS label, unnest(range({count + 1})) AS slot
     FROM ranked
 ),
-picks AS (
+picks{at} AS (
     SELECT *, CASE WHEN slot = label THEN place
               ELSE (place + 1 + {_hash(f"'{SEED}:' || item_id || ':' || slot")} % (n - 1)) % n END AS wanted
-    FROM slots
+    FROM slots{at}
 ),
-choices AS (
-    SELECT picks.item_id, picks.ctx, slot AS choice_idx, label, ranked.word FROM picks JOIN ranked ON ranked.place = wanted
-)"""
+choices{at} AS (SELECT p.item_id, p.ctx, slot AS choice_idx, label, ranked.word FROM picks{at} p JOIN ranked ON ranked.place = wanted)"""
 
 
-_REQS_LAST = f"{_LAST_WORD}, reqs AS (SELECT item_id AS request_id, ctx, ' ' || word AS cont FROM lw)"
-_REQS_CHOICE = f"""{_choice_sql(DISTRACTORS)},
-reqs AS (SELECT item_id || ':' || choice_idx AS request_id, item_id, choice_idx, label, ctx, ' ' || word AS cont FROM choices)"""
-_REQS_BLANK = f"""{_choice_sql(1)},
-reqs AS (
+_RANKED = f"{_LAST_WORD}, ranked AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM lw)"
+
+
+def _reqs_last(at: str = "") -> str:
+    return f"reqs{at} AS (SELECT item_id AS request_id, ctx, ' ' || word AS cont FROM lw)"
+
+
+def _reqs_choice(at: str = "") -> str:
+    return f"""{_choice_sql(DISTRACTORS, at)},
+reqs{at} AS (SELECT item_id || ':' || choice_idx AS request_id, item_id, choice_idx, label, ctx, ' ' || word AS cont FROM choices{at})"""
+
+
+def _reqs_blank(at: str = "") -> str:
+    return f"""{_choice_sql(1, at)},
+reqs{at} AS (
     SELECT item_id || ':' || choice_idx AS request_id, item_id, choice_idx, label, replace(ctx || ' _', '_', word) AS ctx, '' AS cont
-    FROM choices
+    FROM choices{at}
 )"""
+
+
 _REQS_DOCS = "reqs AS (SELECT doc_id AS request_id, text AS ctx, '' AS cont FROM documents WHERE text IS NOT NULL AND text <> '')"
 _REQS_TURNS = """
 reqs AS (
@@ -291,31 +314,30 @@ reqs AS (
     FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
     WHERE a.role = 'user' AND b.role = 'assistant'
 )"""
-_SCORE_LAST = f"WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_LAST}, {_scored(R.MAX_LENGTH)}, {_FOLD}"
-_CHOICE_FOLD = """
-scores AS (
-    SELECT item_id, choice_idx, label, ll, ll / greatest(n_expected, 1) AS score FROM folded JOIN reqs USING (request_id)
-),
-picked AS (
-    SELECT item_id, label, choice_idx AS picked FROM scores
-    QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, choice_idx) = 1
-)"""
-_SCORE_CHOICE = f"WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_CHOICE}, {_scored(R.MAX_LENGTH)}, {_FOLD}, {_CHOICE_FOLD}"
-_SCORE_BLANK = f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_BLANK}, {_scored(R.MAX_LENGTH)}, {_ROLLED},
-scores AS (
-    SELECT item_id, choice_idx, label, ll, n_scored, ll / greatest(n_scored + 1, 1) AS score FROM folded JOIN reqs USING (request_id)
-),
-picked AS (
-    SELECT item_id, label, choice_idx AS picked FROM scores
+_SCORE_LAST = f"WITH {IDS_SQL}, {_PAIRS_SQL}, {_LAST_WORD}, {_reqs_last()}, {_scored(R.MAX_LENGTH)}, {_fold()}"
+
+
+def _picked(score: str, at: str = "") -> str:
+    """Best choice per item from folded requests, with the score rule of the task."""
+    return f"""
+scores{at} AS (SELECT item_id, choice_idx, label, ll, n_scored, {score} AS score FROM folded{at} JOIN reqs{at} USING (request_id)),
+picked{at} AS (
+    SELECT item_id, label, choice_idx AS picked FROM scores{at}
     QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, choice_idx) = 1
 )"""
+
+
+_PER_TOKEN = "ll / greatest(n_expected, 1)"
+_PER_ID = "ll / greatest(n_scored + 1, 1)"
+_SCORE_CHOICE = f"WITH {IDS_SQL}, {_PAIRS_SQL}, {_RANKED}, {_reqs_choice()}, {_scored(R.MAX_LENGTH)}, {_fold()}, {_picked(_PER_TOKEN)}"
+_SCORE_BLANK = f"WITH {IDS_SQL}, {_PAIRS_SQL}, {_RANKED}, {_reqs_blank()}, {_scored(R.MAX_LENGTH)}, {_rolled()}, {_picked(_PER_ID)}"
 _ACCURACY = """
 SELECT count(*) AS total, coalesce(sum((picked = label)::INT), 0)::BIGINT AS n_correct,
        round(coalesce(sum((picked = label)::INT), 0) / greatest(count(*), 1), 6)::DOUBLE AS accuracy FROM picked"""
 
 
 def _rolling_sql(cap: int | None) -> str:
-    return f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_DOCS}, {_scored(cap)}, {_ROLLED}
+    return f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_DOCS}, {_scored(cap)}, {_rolled()}
 SELECT request_id AS doc_id, n_scored, round(ll, 6) AS ll,
        CASE WHEN n_scored > 0 THEN round(exp(-ll / n_scored), 6) END AS perplexity FROM folded"""
 
@@ -328,14 +350,14 @@ SELECT request_id, round(ll, 6) AS ll, is_greedy, n_expected, n_scored FROM fold
     "last_word_accuracy": f"""{_SCORE_LAST}
 SELECT count(*) AS total, coalesce(sum(is_greedy::INT), 0)::BIGINT AS n_correct,
        round(coalesce(sum(is_greedy::INT), 0) / greatest(count(*), 1), 6)::DOUBLE AS accuracy FROM folded""",
-    "choice_requests": f"""WITH {_REQS_CHOICE}
+    "choice_requests": f"""WITH {_RANKED}, {_reqs_choice()}
 SELECT item_id, choice_idx, label, ctx AS context, cont AS continuation FROM reqs""",
     "choice_scores": f"{_SCORE_CHOICE} SELECT item_id, choice_idx, round(ll, 6) AS ll, round(score, 6) AS score FROM scores",
     "choice_accuracy": f"{_SCORE_CHOICE} {_ACCURACY}",
     "fill_blank_scores": f"""{_SCORE_BLANK}
 SELECT item_id, choice_idx, label, n_scored, round(ll, 6) AS ll, round(score, 6) AS score FROM scores""",
     "fill_blank_accuracy": f"{_SCORE_BLANK} {_ACCURACY}",
-    "turn_loglikelihood": f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_TURNS}, {_scored(R.MAX_LENGTH)}, {_FOLD}
+    "turn_loglikelihood": f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_TURNS}, {_scored(R.MAX_LENGTH)}, {_fold()}
 SELECT request_id, round(ll, 6) AS ll, is_greedy, n_expected, n_scored FROM folded""",
     "rolling_perplexity": _rolling_sql(None),
     "rolling_tail_perplexity": _rolling_sql(R.MAX_LENGTH),
@@ -354,17 +376,19 @@ FROM (
     SELECT s.*, b.n AS n, t.n AS target_n FROM (SELECT * FROM scored WHERE part = 1) s
     LEFT JOIN pairs b ON b.prev = s.prev AND b.token = s.best LEFT JOIN pairs t ON t.prev = s.prev AND t.token = s.token
 )""",
-    "task_accuracy": f"""{_SCORE_CHOICE},
-last_reqs AS (SELECT item_id AS request_id, ctx, ' ' || word AS cont FROM lw),
-{_scored(R.MAX_LENGTH).replace("reqs", "last_reqs").replace("parts AS", "parts2 AS").replace("FROM parts", "FROM parts2")
- .replace("req_words", "req_words2").replace("req_ids", "req_ids2").replace("kept_ids", "kept_ids2")
- .replace("targets", "targets2").replace("scored AS", "scored2 AS")},
-greedy AS (
-    SELECT request_id, coalesce(bool_and(best = token), true) AS ok
-    FROM last_reqs LEFT JOIN (SELECT * FROM scored2 WHERE part = 1) USING (request_id) GROUP BY request_id
-),
-outcomes AS (SELECT 'lambada' AS task, ok FROM greedy UNION ALL SELECT 'arc_easy', picked = label FROM picked)
+    "task_accuracy": f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_RANKED},
+{_reqs_last("_l")}, {_scored(R.MAX_LENGTH, "_l")}, {_fold("_l")},
+{_reqs_choice("_c")}, {_scored(R.MAX_LENGTH, "_c")}, {_fold("_c")}, {_picked(_PER_TOKEN, "_c")},
+{_reqs_blank("_b")}, {_scored(R.MAX_LENGTH, "_b")}, {_rolled("_b")}, {_picked(_PER_ID, "_b")},
+outcomes AS (
+    SELECT 'lambada' AS task, is_greedy AS ok FROM folded_l
+    UNION ALL SELECT 'arc_easy', picked = label FROM picked_c
+    UNION ALL SELECT 'winogrande', picked = label FROM picked_b
+)
 SELECT task, count(ok) AS total, coalesce(sum(ok::INT), 0)::BIGINT AS n_correct,
        round(coalesce(sum(ok::INT), 0) / greatest(count(ok), 1), 6)::DOUBLE AS accuracy
-FROM (VALUES ('lambada'), ('arc_easy'), ('piqa')) AS listed(task) LEFT JOIN outcomes USING (task) GROUP BY task""",
+FROM (VALUES ('lambada'), ('arc_easy'), ('winogrande'), ('piqa')) AS listed(task) LEFT JOIN outcomes USING (task) GROUP BY task""",
+    "decoded_documents": f"""WITH {IDS_SQL}
+SELECT doc_id, md5(string_agg(coalesce(token, '?'), ' ' ORDER BY i)) AS text_md5
+FROM id_rows JOIN sized USING (doc_id) LEFT JOIN vocab ON id = token_id WHERE i < n_tokens - 1 GROUP BY doc_id""",
 }
