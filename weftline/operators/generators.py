@@ -70,13 +70,22 @@ def parity_accuracy(samples: DataFrame, predictions: DataFrame, seq_len: int) ->
 
 
 def _repeated(filler: Column, count: Column) -> Column:
-    """The first ``count`` words of ``filler`` said over and over."""
+    """The first ``count`` words of ``filler``, said over and over where it is shorter."""
     rounds = F.ceil(count / F.greatest(F.size(filler), F.lit(1))).cast("int")
-    return F.slice(F.flatten(F.array_repeat(filler, rounds)), F.lit(1), count.cast("int"))
+    whole = F.when(F.size(filler) >= count, filler).otherwise(F.flatten(F.array_repeat(filler, rounds)))
+    return F.slice(whole, F.lit(1), count.cast("int"))
 
 
 def _grid(cases: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    return cases.withColumn("context_len", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    """Every case at every length, with at most as many filler words as the context holds.
+
+    The words are cut inside the generator: it reads the filler once per case, not once per row.
+    """
+    each = F.transform(
+        F.array(*[F.lit(n) for n in lengths]),
+        lambda n: F.struct(n.alias("context_len"), F.slice("filler", F.lit(1), n).alias("filler")),
+    )
+    return cases.select(*[c for c in cases.columns if c != "filler"], F.inline(each))
 
 
 def _seeded(seed: int, salt: str) -> list:
@@ -86,13 +95,12 @@ def _seeded(seed: int, salt: str) -> list:
 def passkey_cases(cases: DataFrame, lengths: Sequence[int], seed: int) -> DataFrame:
     """A five-digit passkey hidden in the middle half of the filler.
 
-    ``cases`` holds ``(case_id, filler)``, the filler as an array of words; any length is served.
+    ``cases`` holds ``(case_id, filler)``, the filler as a non-empty array of words; any length is served.
     """
     passkey = draw_between(F.lit(10_000), F.lit(99_999), *_seeded(seed, "passkey")).cast("string")
     before, after = PASSKEY_NEEDLE
     shaped = (
         _grid(cases, lengths)
-        .where(F.size("filler") > 0)
         .withColumn("answer", passkey)
         .withColumn("needle", words(F.concat(F.lit(before), F.col("answer"), F.lit(after))))
         .withColumn("question", words(F.lit(PASSKEY_QUESTION)))
@@ -113,7 +121,6 @@ def code_word_cases(cases: DataFrame, lengths: Sequence[int], seed: int) -> Data
     pick = (draw(*_seeded(seed, "pair")) % len(CODE_WORDS)).cast("int")
     shaped = (
         _grid(cases, lengths)
-        .where(F.size("filler") > 0)
         .withColumn("pair", F.get(pairs, pick))
         .withColumn("needle", words(F.concat("pair.phrase", F.lit(" "), "pair.value", F.lit("."))))
         .withColumn("question", words(F.concat(F.lit(" "), "pair.phrase")))
@@ -134,8 +141,8 @@ def constant_filler(cases: DataFrame, text: str, repeats: int) -> DataFrame:
 
 
 def document_filler(documents: DataFrame) -> DataFrame:
-    """One case per document, hidden in its own words."""
-    return documents.select(F.col("doc_id").alias("case_id"), words(F.col("text")).alias("filler"))
+    """One case per document, hidden in its own words; a document of white space alone has none."""
+    return documents.where(F.col("text").rlike(r"\S")).select(F.col("doc_id").alias("case_id"), words(F.col("text")).alias("filler"))
 
 
 def recalled_words(cases: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def encoded_spans(docs: DataFrame) -> DataFrame:
 
 
 def _digest(ids: str):
-    return F.md5(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","))
+    """Digest of an id array by its text form, ``[1, 2, 3]``."""
+    return F.md5(F.col(ids).cast("string"))
 
 
 def describe_blocks(blocks: DataFrame) -> DataFrame:
@@ -240,7 +241,7 @@ blocks AS (
 
 _DESCRIBE_SQL = """
 SELECT block_id, (len(ids) - 1)::BIGINT AS n_tokens,
-       md5(array_to_string(ids[:-2], ',')) AS input_md5, md5(array_to_string(ids[2:], ',')) AS label_md5
+       md5(ids[:-2]::VARCHAR) AS input_md5, md5(ids[2:]::VARCHAR) AS label_md5
 FROM blocks"""
 
 _LOCAL_BLOCKS = _block_rows(SEQ_LEN, f"(t - 1) // {SEQ_LEN}")
@@ -268,7 +269,7 @@ SELECT count(*) AS n_docs, coalesce(sum(n_tokens), 0)::BIGINT AS n_tokens,
     "token_offsets": f"WITH {TOKENS_SQL} SELECT doc_id, start, n_tokens FROM offsets",
     "vocab_ids": f"WITH {IDS_SQL} SELECT token, token_id, n FROM vocab",
     "encoded_documents": f"""WITH {IDS_SQL}
-SELECT doc_id, count(*) AS n_tokens, md5(string_agg(id, ',' ORDER BY i)) AS ids_md5, count(*) FILTER (WHERE id = 1) AS n_unknown
+SELECT doc_id, count(*) AS n_tokens, md5(list(id ORDER BY i)::VARCHAR) AS ids_md5, count(*) FILTER (WHERE id = 1) AS n_unknown
 FROM id_rows GROUP BY doc_id""",
     "shard_assignment": f"WITH {TOKENS_SQL}, {_KEPT_SQL}, {_ASSIGN_SQL} SELECT * FROM assigned",
     "shard_manifest": f"""WITH {TOKENS_SQL}, kept AS (SELECT t AS k FROM total), {_ASSIGN_SQL},
@@ -304,7 +305,7 @@ SELECT epoch, batch_id, slot, block_id, epoch * per_epoch + batch_id AS micro_st
        (epoch * per_epoch + batch_id) // {ACCUMULATE} + 1 AS step
 FROM batched, target WHERE epoch * per_epoch + batch_id < micros""",
     "validation_batches_head": f"""WITH {IDS_SQL}, {_LOCAL_BLOCKS}
-SELECT block_id // {MICRO_BATCH} AS batch_id, block_id % {MICRO_BATCH} AS slot, block_id, md5(array_to_string(ids, ',')) AS block_md5
+SELECT block_id // {MICRO_BATCH} AS batch_id, block_id % {MICRO_BATCH} AS slot, block_id, md5(ids::VARCHAR) AS block_md5
 FROM blocks, total
 WHERE block_id // {MICRO_BATCH} < least(50, ((t - 1) // {SEQ_LEN}) // {MICRO_BATCH})""",
     "validation_batches_tail": f"""WITH {IDS_SQL}, {_LOCAL_BLOCKS},
@@ -313,6 +314,6 @@ held AS (
     FROM (SELECT (t - 1) // {SEQ_LEN} AS nb FROM total)
 )
 SELECT (block_id - f) // {MICRO_BATCH} AS batch_id, (block_id - f) % {MICRO_BATCH} AS slot, block_id,
-       md5(array_to_string(ids, ',')) AS block_md5
+       md5(ids::VARCHAR) AS block_md5
 FROM blocks, held WHERE block_id >= f""",
 }

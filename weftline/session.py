@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -62,3 +64,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Split a frame that reads as fewer tasks than there are cores; larger inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed for classes that workers load by name, wherever the session was started from.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='weftline-py-')}/weftline", "zip", root, "weftline")
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)

@@ -27,6 +27,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from weftline.session import ship_package
 from weftline.sources.manifest import MANIFEST, manifest_text
 
 FORMAT = "token_shards"
@@ -232,6 +233,7 @@ class TokenShards(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(TokenShards)
 
 
