@@ -175,14 +175,37 @@ def test_schedule_ends_after_a_whole_step(spark):
 
 
 def test_validation_splits(spark):
+    assert B.head_range(100, 4, 3) == (0, 12) and B.head_range(10, 4, 50) == (0, 8)
+    assert B.held_out_range(100, 2) == (96, 100)
     blocks = spark.range(100).select(F.col("id").alias("block_id"))
-    head = B.first_batches(blocks, 4, 3, 100).collect()
-    assert sorted(r.block_id for r in head) == list(range(12))
-    tail = B.held_out_batches(blocks, 2, 100).collect()
-    assert sorted(r.block_id for r in tail) == list(range(96, 100))
+    tail = B.in_stream_order(blocks, 96, 100, 2).collect()
     assert {(r.block_id, r.batch_id, r.slot) for r in tail} == {(96, 0, 0), (97, 0, 1), (98, 1, 0), (99, 1, 1)}
 
 
+@relaxed
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=15), st.integers(0, 70), st.integers(0, 40), st.sampled_from([1, 10**14]))
+def test_spans_within_a_range(spark, sizes, low, width, gap):
+    rows, at = [], 0
+    for i, n in enumerate(sizes):
+        rows.append((i * gap, n, list(range(at, at + n))))
+        at += n
+    encoded = spark.createDataFrame(rows, "doc_id long, n_tokens long, ids array<int>")
+    kept = X.WEIGHT_PER_RANGE
+    X.WEIGHT_PER_RANGE = 7
+    try:
+        got = sorted((r.doc_id, r.start) for r in C.spans_within(encoded, low, low + width).collect())
+    finally:
+        X.WEIGHT_PER_RANGE = kept
+    want = [(d, ids[0]) for d, n, ids in rows if ids[0] < low + width and ids[0] + n > low]
+    assert got == want
+
+
+def test_blocks_between(spark):
+    encoded = encoded_of(spark, [list(range(10)), list(range(10, 25)), list(range(25, 40))])
+    whole = tokens(P.overlapping_blocks(C.token_spans(encoded), 4))
+    assert tokens(P.blocks_between(encoded, 3, 7, 4)) == whole[3:7]
+
+
 def test_zero_padding_never_cuts(spark):
     got = spark.createDataFrame([(7,), (12345,)], "n long").select(T.zero_padded(F.col("n"), 4)).collect()
     assert [r[0] for r in got] == ["0007", "12345"]

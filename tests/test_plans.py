@@ -48,3 +48,11 @@ def test_large_groups_are_never_one_window_partition(spark, monkeypatch):
     assert "_range" in plan and "BroadcastHashJoin [g" in plan
     monkeypatch.setattr(X, "ROWS_PER_RANGE", 1000)
     assert "_range" not in plan_of(X.running_total(frame, "o", "v", "t", ["g"]))
+
+
+def test_a_short_range_prunes_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(X, "WEIGHT_PER_RANGE", 5_000)
+    docs = documents(spark, SF)
+    encoded = C.encoded_corpus(docs, C.native_encoder(C.vocabulary(docs)))
+    plan = plan_of(C.spans_within(encoded, 30_000, 31_000))
+    assert "GreaterThanOrEqual(doc_id" in plan and "LessThanOrEqual(doc_id" in plan

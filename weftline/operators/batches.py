@@ -50,21 +50,18 @@ def training_schedule(
     )
 
 
-def first_batches(blocks: DataFrame, micro_batch: int, max_batches: int, num_blocks: int) -> DataFrame:
-    """The first ``max_batches`` whole batches in stream order (these are also trained on)."""
-    last = min(max_batches, num_blocks // micro_batch) * micro_batch
-    return _in_order(blocks.where(F.col("block_id") < last), micro_batch, 0)
+def head_range(num_blocks: int, micro_batch: int, max_batches: int) -> tuple[int, int]:
+    """Blocks of the first ``max_batches`` whole batches in stream order (these are also trained on)."""
+    return 0, min(max_batches, num_blocks // micro_batch) * micro_batch
 
 
-def held_out_batches(blocks: DataFrame, micro_batch: int, num_blocks: int, one_in: int = 20) -> DataFrame:
-    """Whole batches of the last blocks of the stream (one in ``one_in``), disjoint from the rest."""
-    count = num_blocks // one_in // micro_batch * micro_batch
-    first = num_blocks - count
-    return _in_order(blocks.where((F.col("block_id") >= first) & (F.col("block_id") < num_blocks)), micro_batch, first)
+def held_out_range(num_blocks: int, micro_batch: int, one_in: int = 20) -> tuple[int, int]:
+    """Blocks of the whole batches in the last part (one in ``one_in``), disjoint from the rest."""
+    return num_blocks - num_blocks // one_in // micro_batch * micro_batch, num_blocks
 
 
-def _in_order(blocks: DataFrame, micro_batch: int, first: int) -> DataFrame:
-    place = F.col("block_id") - F.lit(first)
-    return blocks.withColumn("batch_id", F.expr(f"(block_id - {first}) div {micro_batch}")).withColumn(
-        "slot", place % micro_batch
-    )
+def in_stream_order(blocks: DataFrame, first: int, last: int, micro_batch: int) -> DataFrame:
+    """Add ``batch_id`` and ``slot`` to blocks ``first`` to ``last - 1``, unshuffled."""
+    return blocks.where((F.col("block_id") >= first) & (F.col("block_id") < last)).withColumn(
+        "batch_id", F.expr(f"(block_id - {first}) div {micro_batch}")
+    ).withColumn("slot", (F.col("block_id") - F.lit(first)) % micro_batch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.operators.prefix import range_cuts, running_total
+from weftline.operators.prefix import RANGE, range_cuts, running_total, with_range
 from weftline.session import stage
 
 END_ID = 0
@@ -147,6 +148,40 @@ def token_spans(encoded: DataFrame) -> DataFrame:
     return running_total(encoded, "doc_id", "n_tokens", "start", cuts=range_cuts(encoded, "doc_id", weight="n_tokens"))
 
 
+# Neighbouring doubles are at most this far apart for 64-bit ids.
+_DOUBLE_GAP = 2048
+
+
+def spans_within(encoded: DataFrame, low: int, high: int) -> DataFrame:
+    """The spans that overlap positions ``[low, high)``, reading and shuffling little else.
+
+    Token totals per id range (one row each) show which ranges matter; the others are left out by a
+    filter on ``doc_id`` that reaches the scan, before any ids are read.
+    """
+    cuts = range_cuts(encoded, "doc_id", weight="n_tokens")
+    ranged = with_range(encoded.select("doc_id", "n_tokens"), "doc_id", cuts)
+    sizes = dict(ranged.groupBy(RANGE).agg(F.sum("n_tokens")).collect())
+    passed, skipped, kept = 0, 0, []
+    for r in range(len(cuts) + 1):
+        if passed < high and passed + sizes.get(r, 0) > low:
+            kept.append(r)
+        elif not kept:
+            skipped = passed + sizes.get(r, 0)
+        passed += sizes.get(r, 0)
+    if not kept:
+        return running_total(encoded.limit(0), "doc_id", "n_tokens", "start", cuts=[])
+    part = encoded
+    if kept[0] > 0:
+        edge = cuts[kept[0] - 1]
+        part = part.where((F.col("doc_id") >= math.floor(edge) - _DOUBLE_GAP) & (F.col("doc_id").cast("double") >= edge))
+    if kept[-1] < len(cuts):
+        edge = cuts[kept[-1]]
+        part = part.where((F.col("doc_id") <= math.ceil(edge) + _DOUBLE_GAP) & (F.col("doc_id").cast("double") < edge))
+    inner = cuts[kept[0] : kept[-1]]
+    spans = running_total(part, "doc_id", "n_tokens", "start", cuts=inner).withColumn("start", F.col("start") + skipped)
+    return spans.where((F.col("start") < high) & (F.col("start") + F.col("n_tokens") > low))
+
+
 def cut_at(spans: DataFrame, kept: int) -> DataFrame:
     """Only the first ``kept`` tokens of the stream; the document on the border is shortened."""
     left = F.lit(kept) - F.col("start")

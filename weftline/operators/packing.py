@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.corpus import cut_at
+from weftline.operators.corpus import cut_at, spans_within
 
 
 def slices(spans: DataFrame, stride: int, length: int, name: str = "block_id") -> DataFrame:
@@ -67,6 +67,14 @@ def disjoint_blocks(spans: DataFrame, seq_len: int, max_tokens: int | None = Non
     return _full_blocks(spans, seq_len + 1, seq_len + 1)
 
 
+def blocks_between(encoded: DataFrame, first: int, last: int, seq_len: int) -> DataFrame:
+    """Overlapping blocks ``first`` to ``last - 1`` only, from the documents they touch."""
+    low, high = first * seq_len, last * seq_len + 1
+    return _full_blocks(spans_within(encoded, low, high), seq_len, seq_len + 1).where(
+        (F.col("block_id") >= first) & (F.col("block_id") < last)
+    )
+
+
 def num_overlapping_blocks(total: int, seq_len: int, max_tokens: int | None = None) -> int:
     served = min(max_tokens, total) if max_tokens else total
     return max(served - 1, 0) // seq_len

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.corpus import cut_at
 from weftline.operators.packing import slices
+from weftline.operators.prefix import RANGE, with_range
 
 # Fixed value: tokens per published shard.
 SHARD_TOKENS = 100_000_000
@@ -63,24 +64,18 @@ def shard_offsets(sizes: DataFrame) -> DataFrame:
 def locate_positions(positions: DataFrame, manifest: DataFrame, most_shards: int = 1_000_000) -> DataFrame:
     """Shard and local position of each ``pos`` for shards of any size.
 
-    Space is cut into cells as wide as the largest shard and each shard is listed in the cells it
-    reaches, so a position is compared only with shards of its own cell (an equi-join on the cell).
+    The manifest is small (its row count is checked), so its starts become the cut points of a binary
+    search per position; each position then meets exactly one shard.
     """
-    rows = manifest.count()
-    if rows > most_shards:
-        raise ValueError(f"{rows} shards; expected a manifest of at most {most_shards}")
-    width = max(1, manifest.agg(F.max("n_tokens")).first()[0] or 1)
-    opened = manifest.where("n_tokens > 0").select(
-        F.explode(F.expr(f"sequence(start div {width}, (start + n_tokens - 1) div {width})")).alias("cell"),
-        "shard_id",
-        F.col("start").alias("shard_start"),
-        F.col("n_tokens").alias("shard_tokens"),
-    )
-    found = positions.withColumn("cell", F.expr(f"pos div {width}")).join(F.broadcast(opened), "cell")
-    inside = (F.col("pos") >= F.col("shard_start")) & (F.col("pos") < F.col("shard_start") + F.col("shard_tokens"))
-    return found.where(inside).withColumn("local_pos", F.col("pos") - F.col("shard_start")).drop(
-        "cell", "shard_start", "shard_tokens"
-    )
+    shards = manifest.where("n_tokens > 0").select("shard_id", F.col("start").alias("shard_start"), "n_tokens")
+    ends = shards.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("shard_start") + F.col("n_tokens")).alias("total")).first()
+    if ends.n > most_shards:
+        raise ValueError(f"{ends.n} shards; expected a manifest of at most {most_shards}")
+    starts = [float(r.shard_start) for r in shards.select("shard_start").orderBy("shard_start").collect()]
+    numbered = shards.withColumn(RANGE, F.row_number().over(W.orderBy("shard_start")) - 1).drop("n_tokens")
+    inside = positions.where((F.col("pos") >= 0) & (F.col("pos") < (ends.total or 0)))
+    found = with_range(inside, "pos", starts[1:]).join(F.broadcast(numbered), RANGE)
+    return found.withColumn("local_pos", F.col("pos") - F.col("shard_start")).drop(RANGE, "shard_start")
 
 
 def manifest_row(sizes: DataFrame, **facts: object) -> DataFrame:

@@ -99,13 +99,14 @@ def pack_blocks_streaming(spark, sf_dir):
 def pack_blocks_capped(spark, sf_dir):
     ids = encoded(documents(spark, sf_dir))
     cap = C.tokens_in(ids) // 2
-    return describe_blocks(P.overlapping_blocks(C.token_spans(ids), SEQ_LEN, cap))
+    return describe_blocks(P.overlapping_blocks(C.spans_within(ids, 0, cap), SEQ_LEN, cap))
 
 
 def range_read(spark, sf_dir):
     ids = encoded(documents(spark, sf_dir))
     total = C.tokens_in(ids)
-    return S.read_range(C.token_spans(ids), total // 3, total // 10).select("pos", F.col("token").cast("bigint").alias("token"))
+    first, count = total // 3, total // 10
+    return S.read_range(C.spans_within(ids, first, first + count), first, count).select("pos", F.col("token").cast("bigint").alias("token"))
 
 
 def position_shards(spark, sf_dir):
@@ -172,16 +173,18 @@ def _described_batches(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _validation(ids: DataFrame, first: int, last: int) -> DataFrame:
+    return _described_batches(B.in_stream_order(P.blocks_between(ids, first, last, SEQ_LEN), first, last, MICRO_BATCH))
+
+
 def validation_batches_head(spark, sf_dir):
     ids = encoded(documents(spark, sf_dir))
-    blocks = P.overlapping_blocks(C.token_spans(ids), SEQ_LEN, max_tokens=50 * MICRO_BATCH * SEQ_LEN + 1)
-    return _described_batches(B.first_batches(blocks, MICRO_BATCH, 50, _num_blocks(C.tokens_in(ids))))
+    return _validation(ids, *B.head_range(_num_blocks(C.tokens_in(ids)), MICRO_BATCH, 50))
 
 
 def validation_batches_tail(spark, sf_dir):
     ids = encoded(documents(spark, sf_dir))
-    blocks = P.overlapping_blocks(C.token_spans(ids), SEQ_LEN)
-    return _described_batches(B.held_out_batches(blocks, MICRO_BATCH, _num_blocks(C.tokens_in(ids))))
+    return _validation(ids, *B.held_out_range(_num_blocks(C.tokens_in(ids)), MICRO_BATCH))
 
 
 QUERIES = {
