@@ -13,6 +13,7 @@ from weftline.operators import pending as N
 from weftline.operators import results as R
 from weftline.operators import shards as S
 from weftline.sources import checkpoints as CK
+from weftline.sources import items as I
 from weftline.sources import logs as L
 from weftline.sources import manifest as M
 from weftline.sources import results as J
@@ -202,3 +203,45 @@ def test_preferred_metric(spark):
     rows = [("a", {"acc,none": 0.5, "acc_norm,none": 0.6}), ("b", {"acc_norm,none": 0.7}), ("c", {"f1": 0.1})]
     frame = spark.createDataFrame(rows, "task string, metrics map<string, double>")
     assert {tuple(r) for r in J.bench_metrics(frame).collect()} == {("bench/a_acc", 0.5), ("bench/b_acc", 0.7)}
+
+
+def test_task_results_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("niah", 1.0), ("lambada", 0.25)], "task string, accuracy double")
+    J.write_task_results(rows, "run_a", str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ['{"run_a":{"lambada":0.25,"niah":1.0}}']
+    got = {tuple(r) for r in J.read_task_results(spark, str(tmp_path / "r")).collect()}
+    assert got == {("run_a", "niah", 1.0), ("run_a", "lambada", 0.25)}
+
+
+def test_item_and_document_readers(spark, tmp_path):
+    lines = {
+        "lambada": {"item_id": 1, "text": "a b", "other": 1},
+        "hellaswag": {"item_id": 1, "ctx": "c", "endings": ["x", "y"], "label": "1"},
+        "arc_easy": {"item_id": 1, "question": "q", "choices": {"text": ["a"], "label": ["A"]}, "answerKey": "A"},
+        "winogrande": {"item_id": 1, "sentence": "_", "option1": "x", "option2": "y", "answer": "2"},
+    }
+    for task, record in lines.items():
+        (tmp_path / f"{task}.json").write_text(json.dumps(record) + "\n")
+        assert I.read_items(spark, task, str(tmp_path / f"{task}.json")).count() == 1
+    assert I.read_items(spark, "arc_easy", str(tmp_path / "arc_easy.json")).first().choices.text == ["a"]
+    (tmp_path / "docs.json").write_text('{"doc_id": 1, "text": "a"}\n{"doc_id": 2}\n')
+    docs = I.read_documents(spark, str(tmp_path / "docs.json"), "json")
+    assert C.corpus_totals(docs).first().n_docs == 1
+    assert I.stream_documents(spark, str(tmp_path), "json").isStreaming
+    with pytest.raises(ValueError):
+        I.read_items(spark, "unknown", "x")
+
+
+def test_own_folder_without_a_setting(spark):
+    from weftline import session
+
+    class Unset:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    first = session.shared_dir(Unset)
+    assert os.path.isdir(first) and session.shared_dir(Unset) == first

@@ -59,7 +59,7 @@ def test_budget_stops_the_stream(spark, tmp_path):
     for i in range(6):
         SP.pack_batch(docs.where(f"doc_id div 10 = {i}"), i, encode, out, 6, max_tokens=50)
     whole = C.token_spans(C.encoded_corpus(docs, encode))
-    got = blocks(SP.packed_blocks(spark, out, 6, 50))
+    got = blocks(SP.packed_blocks(spark, out, 6))
     assert got == blocks(P.disjoint_blocks(whole, 6, 50)) and len(got) == 9
     written = spark.read.parquet(f"{out}/windows").select("batch").distinct().count()
     assert written < 6  # batches after the budget do no work

@@ -30,19 +30,23 @@ def local_session(app: str = "weftline", cpus: int | str = 8, **conf: str) -> Sp
     return spark
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master may go without the setting: it then gets a fresh temporary folder.
+    Only a local master may go without the setting: it then gets one temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="weftline-")
+    return _own_dirs[app]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

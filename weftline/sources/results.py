@@ -88,6 +88,18 @@ def write_results(rows: DataFrame, path: str, key: str = "key", fields: list[str
     json_lines(rows, key, fields).write.text(path)
 
 
+def write_task_results(rows: DataFrame, tag: str, path: str) -> None:
+    """``(task, accuracy)`` as one object ``{tag: {task: accuracy}}``; there is one row per task."""
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("task", "accuracy"))))
+    rows.agg(F.to_json(F.create_map(F.lit(tag), entries)).alias("value")).write.text(path)
+
+
+def read_task_results(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """``{tag: {task: accuracy}}`` to ``(tag, task, score)``."""
+    rows = _objects(spark, path, "map<string, double>", whole_files)
+    return rows.select(F.col("key").alias("tag"), F.explode("v").alias("task", "score"))
+
+
 def bench_metrics(task_results: DataFrame) -> DataFrame:
     """``(task, metrics map)`` to ``(metric, value)``: ``bench/<task>_acc``, tasks without accuracy left out."""
     from weftline.operators.scoring import preferred_metric

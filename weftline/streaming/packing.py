@@ -52,6 +52,8 @@ def pack_batch(
     spans = token_spans(encoded_corpus(spread(documents, "doc_id"), encode)).withColumn("start", F.col("start") + held)
     packed = windows(spans.unionByName(carried), length, length)
     numbered = packed.withColumn("block_id", F.col("block_id") + next_block)
+    if limit is not None:
+        numbered = numbered.where(F.col("block_id") < limit)
     target = f"{out}/windows/batch={batch_id}"
     numbered.write.mode("overwrite").parquet(target)
 
@@ -78,8 +80,7 @@ def start_packing(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def packed_blocks(spark: SparkSession, out: str, seq_len: int, max_tokens: int | None = None) -> DataFrame:
-    """``(block_id, tokens)`` of the whole blocks so far, up to the token budget."""
+def packed_blocks(spark: SparkSession, out: str, seq_len: int) -> DataFrame:
+    """``(block_id, tokens)`` of the whole blocks so far."""
     found = spark.read.schema("block_id long, tokens array<int>, batch long").option("basePath", f"{out}/windows").parquet(f"{out}/windows")
-    blocks = found.select("block_id", "tokens").where(F.size("tokens") == seq_len + 1)
-    return blocks.where(F.col("block_id") < -(-max_tokens // seq_len)) if max_tokens else blocks
+    return found.select("block_id", "tokens").where(F.size("tokens") == seq_len + 1)
