@@ -46,6 +46,15 @@ def test_unknown_tokens_and_vocabulary_cap(spark):
         C.native_encoder(C.vocabulary(docs), size=70_000)
 
 
+@pytest.mark.parametrize("size", [3, 4, 5, 6, 7, 50])
+def test_thinned_vocabulary_is_the_same(spark, monkeypatch, size):
+    docs = spark.createDataFrame([(1, "a a a b b c c d e")], "doc_id long, text string")
+    plain = C.vocabulary(docs, size).orderBy("token_id").collect()
+    monkeypatch.setattr(C, "MOST_MERGED_ROWS", 0)
+    assert C.vocabulary(docs, size).orderBy("token_id").collect() == plain
+    assert len(plain) == min(size - 2, 5)
+
+
 def test_custom_encoder_without_end_marker(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, "")], "doc_id long, text string")
     encode = C.custom_encoder(lambda text: [ord(c) for c in text], None)

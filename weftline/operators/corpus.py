@@ -23,6 +23,8 @@ RESERVED = 2
 # Fixed value: vocabulary size of the published token shards; ids must fit 16 bits.
 VOCABULARY_SIZE = 50_277
 LARGEST_ID = 65_535
+# A top-k sends up to k rows per task to the task that merges them; beyond this many, thin them first.
+MOST_MERGED_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -66,8 +68,7 @@ def tokens_in(sized: DataFrame) -> int:
 def vocabulary(documents: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
     """``(token, token_id, n)``: the most frequent tokens, ties in token order.
 
-    Counting combines map-side, so one frequent token is no hot key, and the cut to ``size`` is a
-    per-task top-k; only the capped list is numbered.
+    Counting combines map-side, so one frequent token is no hot key; only the capped list is numbered.
     """
     counts = (
         present_documents(documents)
@@ -75,11 +76,25 @@ def vocabulary(documents: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    kept = counts.orderBy(F.desc("n"), "token").limit(size - RESERVED)
+    kept = _most_frequent(counts, size - RESERVED)
     rank = F.row_number().over(W.orderBy(F.desc("n"), "token"))
     return kept.select("token", (rank + (RESERVED - 1)).cast("int").alias("token_id"), "n")
 
 
+def _most_frequent(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows with the highest ``n``, ties in token order."""
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks * k > MOST_MERGED_ROWS:
+        # Find the count at which k rows are reached and drop all rows below it. There are few
+        # different counts: at most the square root of twice the number of tokens.
+        counts = stage(counts, "token-counts")
+        per_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+        reached = F.sum("m").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+        least = per_count.withColumn("reached", reached).where(F.col("reached") >= k).agg(F.max("n")).first()[0]
+        counts = counts.where(F.col("n") >= (least or 0))
+    return counts.orderBy(F.desc("n"), "token").limit(k)
+
+
 def native_encoder(vocab: DataFrame, size: int = VOCABULARY_SIZE) -> Encoder:
     """Encoder over the native tokens.
 
