@@ -15,6 +15,7 @@ sample only sets where the cuts fall: the result is the same for any cuts.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -57,9 +58,8 @@ def range_cuts(df: DataFrame, key: str, ranges: int | None = None, weight: str |
 
 def with_range(df: DataFrame, key: str, cuts: Sequence[float]) -> DataFrame:
     """Add the range number of ``key`` (a binary search over the cuts, done in the JVM)."""
-    if not cuts:
-        return df.withColumn(RANGE, F.lit(0))
-    ends = [-math.inf, *cuts, math.inf]
+    # Without cuts all keys are in range 0; a cut above every key keeps the number a computed column.
+    ends = [-math.inf, *(cuts or [sys.float_info.max]), math.inf]
     finder = Bucketizer(splits=ends, inputCol=key, outputCol=RANGE)
     return finder.transform(df).withColumn(RANGE, F.col(RANGE).cast("int"))
 
