@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from weftline.llm.decontamination import OP7_SQL, op7_decontamination
+from weftline.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
 }
 SQL = {
+    "op1_substring_dedup": OP1_SQL,
     "op7_decontamination": OP7_SQL,
 }
