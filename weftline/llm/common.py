@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.session import ship_package, stage
 
-__all__ = ["ROW_KEY", "partitions", "ready", "row_key", "stage", "table"]
+__all__ = ["ROW_KEY", "partitions", "ready", "row_key", "semi_join", "stage", "table"]
 
 #: Name of the column that tells input rows apart; long and odd, so that it clashes with no column of the input.
 ROW_KEY = "__row_key"
@@ -30,3 +30,13 @@ def row_key(*columns: str) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Keys that a join may send to every task.
+BROADCAST_BYTES = 32_000_000
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: str, key_bytes: int) -> DataFrame:
+    """The rows whose ``on`` is among ``keys`` (distinct): sent to all tasks if they are few, else by a shuffle."""
+    few = keys.limit(BROADCAST_BYTES // key_bytes + 1).count() * key_bytes <= BROADCAST_BYTES
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
