@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from weftline.llm.decontamination import OP7_SQL, op7_decontamination
 from weftline.llm.minhash import OP8_SQL, op8_minhash_dedup
+from weftline.llm.quality import op2_quality
 from weftline.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality": op2_quality,
     "op7_decontamination": op7_decontamination,
     "op8_minhash_dedup": op8_minhash_dedup,
 }
