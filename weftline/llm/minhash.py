@@ -6,10 +6,11 @@ only when it has a point, so a shingle that occurs thousands of times costs what
 chance that a slot agrees is exactly the weighted Jaccard similarity of the two documents.
 
 Banding: ``SLOTS`` / ``ROWS`` bands of ``ROWS`` slots. At a similarity of 0.8 a pair misses every band with
-probability (1 - 0.8^4)^24 = 3e-6. Each bucket is linked through leaders: all its members are compared
-with one, and what does not join its component is compared again with other leaders, until every pair of a bucket is in
-one component or has been compared. Comparisons are exact, on multisets of shingles. Exact copies are one
-text, and stay one row.
+probability (1 - 0.8^4)^24 = 3e-6. Documents that share a bucket belong to a family (buckets become stars, their
+components the families). Within a family all members are compared exactly, on multisets of shingles, by matrix
+products inside tasks; a large family is dealt into blocks of about ``BLOCK`` members and a group of rows holds two of them.
+Tasks return only a spanning forest of the links found, so results stay linear in the number of
+documents. Exact copies are one member.
 
 Words are runs of characters other than ASCII white space. A text of fewer than five words is one shingle; null
 and word-less texts are alone. Rows that share a ``doc_id`` and a text are one document.
@@ -31,8 +32,8 @@ SLOTS = 96
 ROWS = 4
 #: Least similarity, as a fraction.
 SIMILAR = (4, 5)
-#: Pairs a node, in the mean, that a round may compare; more are left to further leaders.
-PAIRS_A_NODE = 4
+#: Members of a family that one group compares with each other, or with as many others.
+BLOCK = 1500
 
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xD1B54A32D192ED03)
@@ -148,22 +149,82 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(members, pa.binary())], ["node", "members"])
 
 
-def _compare(batches):
-    for batch in batches:
-        ok = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-            both = len(a) + len(b) - len(np.union1d(a, b))
-            ok.append(SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-
-def _verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, ok) of pairs (a, b), staged."""
-    left = members.select(F.col("node").alias("a"), F.col("members").alias("ma"))
-    right = members.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "ma", "mb")
-    return common.stage(whole.mapInArrow(_compare, "a binary, b binary, ok boolean"), "compared")
+def similar_pairs(rows: np.ndarray, keys: np.ndarray, n: int, split: int) -> np.ndarray:
+    """Which of ``n`` key sets, given as (row, key), are similar: an n x n matrix, only rows below ``split`` against the rest if it is set.
+
+    Intersections are a product of 0/1 matrices, a stretch of the shared keys at a time.
+    """
+    size = np.bincount(rows, minlength=n)
+    _, column, often = np.unique(keys, return_inverse=True, return_counts=True)
+    rank = np.cumsum(often > 1) - 1
+    shared = often[column] > 1
+    rows, column = rows[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    left, right = (split, n - split) if split else (n, n)
+    both = np.zeros((left, right), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, [start, start + 2048])
+        x = np.zeros((n, 2048), np.float32)
+        x[rows[lo:hi], column[lo:hi] - start] = 1
+        both += (x[:split] @ x[split:].T) if split else (x @ x.T)
+    union = (size[:left, None] + (size[None, split:] if split else size[None, :])) - both
+    return SIMILAR[1] * both >= SIMILAR[0] * union
+
+
+def joined(linked: np.ndarray, split: int) -> np.ndarray:
+    """The lowest row that each row reaches over links."""
+    n = sum(linked.shape) if split else len(linked)
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        if split:
+            label[:split] = np.minimum(label[:split], np.where(linked, label[None, split:], n).min(axis=1, initial=n))
+            label[split:] = np.minimum(label[split:], np.where(linked.T, label[None, :split], n).min(axis=1, initial=n))
+        else:
+            label = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1, initial=n))
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _link(part):
+    """Links that join what is similar within the families, or between the two blocks of a family, of one group."""
+    part = part.combine_chunks().sort_by([("family", "ascending"), ("side", "ascending")])
+    names, side = part["node"].combine_chunks(), part["side"].to_numpy()
+    family = part["family"].combine_chunks().dictionary_encode().indices.to_numpy()
+    members = part["members"].combine_chunks()
+    edge = np.append(np.flatnonzero(np.diff(family, prepend=-1)), len(family))
+    a, b = [], []
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        sets = [np.frombuffer(members[i].as_buffer(), np.uint64) for i in range(lo, hi)]
+        split = int((side[lo:hi] == 0).sum()) % (hi - lo)
+        rows = np.repeat(np.arange(hi - lo), [len(x) for x in sets])
+        label = joined(similar_pairs(rows, np.concatenate(sets), hi - lo, split), split)
+        tied = np.flatnonzero(label != np.arange(hi - lo))
+        a.append(lo + tied)
+        b.append(lo + label[tied])
+    a, b = (pa.array(np.concatenate(x)) for x in (a, b))
+    return pa.table({"a": names.take(a), "b": names.take(b)})
+
+
+def _links(members: DataFrame, families: DataFrame) -> DataFrame:
+    """(a, b): enough links to join all similar members of each family (node, family).
+
+    A family of more than ``BLOCK`` members is dealt into blocks, and each pair of blocks is one group; smaller
+    families share groups of about ``BLOCK`` members.
+    """
+    sizes = families.groupBy("family").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = members.join(families, "node").join(sizes, "family")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    small = F.pmod(F.xxhash64("family"), F.lit(-(-total // BLOCK) + 1))
+    pairs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    one = rows.where("blocks = 1").select(F.lit(None).cast("binary").alias("of"), small.alias("i"), F.lit(0).cast("long").alias("j"), "family", "node", "members", F.lit(0).cast("long").alias("side"))
+    many = rows.where("blocks > 1").withColumn("mine", mine).withColumn("other", pairs)
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    many = many.select(F.col("family").alias("of"), low.alias("i"), high.alias("j"), "family", "node", "members", (F.col("mine") > low).cast("long").alias("side"))
+    return one.unionByName(many).groupBy("of", "i", "j").applyInArrow(_link, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,48 +240,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = common.stage(buckets.select("node").distinct(), "nodes")
     texts = common.semi_join(named.select("node", "text"), wanted, "node", 16).dropDuplicates(["node"])
     members = common.stage(texts.mapInArrow(_members, "node binary, members binary"), "members")
-    n_nodes = max(1, wanted.count())
-
-    compared = spark.createDataFrame([], "a binary, b binary, ok boolean")
-    label = wanted.withColumn("component", F.col("node"))
-    turn = 0
-    while True:
-        # members of buckets that still join different components; a leader of an earlier turn is done with its bucket
-        open_rows = buckets.join(label, "node")
-        mixed = open_rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
-        open_rows = common.stage(open_rows.join(mixed, "band").select("band", "node", "component"), "open-buckets")
-        parts = open_rows.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band")
-        cross = parts.agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("c")).agg(F.sum("c")).first()[0] or 0
-        if not cross:
-            break
-        last = cross <= 2 * PAIRS_A_NODE * n_nodes
-        if last:
-            leaders = open_rows
-        else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")
-            leaders = open_rows.groupBy("band").agg(F.min(order).alias("l")).select("band", "l.node", "l.component")
-        leaders = leaders.select("band", F.col("node").alias("l"), F.col("component").alias("lc"))
-        pairs = open_rows.join(leaders, "band").where("component != lc" + (" and l < node" if last else ""))
-        pairs = pairs.select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
-        pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        compared = compared.unionByName(_verify(pairs, members))
-        links = compared.where("ok").select("a", "b")
-        label = _labels(wanted, links)
-        if last:
-            break
-        buckets = common.stage(buckets.join(leaders.select("band", F.col("l").alias("node")), ["band", "node"], "left_anti"), "buckets")
-        turn += 1
+    star = buckets.groupBy("band").agg(F.min("node").alias("b"))
+    families = components(buckets.join(star, "band").select(F.col("node").alias("a"), "b"))
+    families = common.stage(families.select("node", F.col("component").alias("family")), "families")
+    label = components(_links(members, families))
     placed = signed.join(label, "node", "left").select("doc_id", F.size("bands").alias("n"), F.coalesce("component", "node").alias("component"))
     lowest = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     grouped = placed.where("n > 0").join(lowest, "component").select("doc_id", "class_id")
     return grouped.unionByName(placed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
-def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return common.stage(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: that of the lowest id."""
     found = near_duplicates(docs, id_col, text_col)
