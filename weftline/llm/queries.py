@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from weftline.llm.decontamination import OP7_SQL, op7_decontamination
+from weftline.llm.html_text import op10_html_text
 from weftline.llm.minhash import OP8_SQL, op8_minhash_dedup
 from weftline.llm.mixing import op9_mixing
 from weftline.llm.quality import op2_quality
+from weftline.llm.secrets import op3_secrets
 from weftline.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from weftline.llm.token_counts import op6_token_counts
 from weftline.llm.token_files import op4_token_files
@@ -13,11 +15,13 @@ from weftline.llm.token_files import op4_token_files
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
     "op4_token_files": op4_token_files,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
+    "op10_html_text": op10_html_text,
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL,
