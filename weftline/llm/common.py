@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.session import ship_package, stage
 
-__all__ = ["ROW_KEY", "partitions", "ready", "row_key", "semi_join", "stage", "table"]
+__all__ = ["ROW_KEY", "anti_join", "partitions", "ready", "row_key", "semi_join", "sized", "stage", "table"]
 
 #: Name of the column that tells input rows apart; long and odd, so that it clashes with no column of the input.
 ROW_KEY = "__row_key"
@@ -36,7 +36,17 @@ def partitions(spark: SparkSession) -> int:
 BROADCAST_BYTES = 32_000_000
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, on: str, key_bytes: int) -> DataFrame:
-    """The rows whose ``on`` is among ``keys`` (distinct): sent to all tasks if they are few, else by a shuffle."""
+def sized(keys: DataFrame, key_bytes: int) -> DataFrame:
+    """``keys``, to be sent to all tasks of a join if they are few; else the join shuffles."""
     few = keys.limit(BROADCAST_BYTES // key_bytes + 1).count() * key_bytes <= BROADCAST_BYTES
-    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    return F.broadcast(keys) if few else keys
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, on: str, key_bytes: int = 8) -> DataFrame:
+    """The rows whose ``on`` is among ``keys`` (distinct)."""
+    return rows.join(sized(keys, key_bytes), on, "left_semi")
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, on: str, key_bytes: int = 8) -> DataFrame:
+    """The rows whose ``on`` is not among ``keys`` (distinct)."""
+    return rows.join(sized(keys, key_bytes), on, "left_anti")

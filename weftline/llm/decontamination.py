@@ -265,6 +265,14 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents of which less than a twentieth of the words are hit."""
+    keyed = docs.withColumn(common.ROW_KEY, common.row_key("doc_id", "text"))
+    found = digest(contamination(keyed.select(F.col(common.ROW_KEY).alias("doc_id"), "text"), items))
+    bad = common.stage(found.where("contaminated").select(F.col("doc_id").alias(common.ROW_KEY)).distinct(), "contaminated")
+    return common.anti_join(keyed, bad, common.ROW_KEY).drop(common.ROW_KEY)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")))
 

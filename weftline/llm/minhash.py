@@ -251,11 +251,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that of the lowest id."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(common.ROW_KEY)).distinct()
-    alone = docs.join(keep, F.col(id_col).eqNullSafe(F.col(common.ROW_KEY)), "left_semi")
-    return alone.dropDuplicates([id_col, text_col])
+    """One row of each group of near-duplicates: that of the lowest id, null ids last; of equal rows one stays."""
+    keyed = docs.withColumn(common.ROW_KEY, common.row_key(id_col, text_col))
+    name = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(common.ROW_KEY).alias("key"))
+    found = near_duplicates(keyed.select(name.alias("name"), F.col(text_col).alias("text")), "name", "text")
+    gone = common.stage(found.where("doc_id != class_id").select(F.col("doc_id.key").alias(common.ROW_KEY)).distinct(), "near-copies")
+    left = common.anti_join(keyed, gone, common.ROW_KEY)
+    if not left.groupBy(common.ROW_KEY).count().where("count > 1").isEmpty():
+        left = left.dropDuplicates([common.ROW_KEY])
+    return left.drop(common.ROW_KEY)
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,8 +205,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that ``classify`` does not reject."""
-    bad = classify(docs, labels).where("rejected").select(common.ROW_KEY).distinct()
-    return docs.withColumn(common.ROW_KEY, common.row_key("doc_id", "text", "lang")).join(bad, common.ROW_KEY, "left_anti").drop(common.ROW_KEY)
+    bad = common.stage(classify(docs, labels).where("rejected").select(common.ROW_KEY).distinct(), "rejected")
+    keyed = docs.withColumn(common.ROW_KEY, common.row_key("doc_id", "text", "lang"))
+    return common.anti_join(keyed, bad, common.ROW_KEY).drop(common.ROW_KEY)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.decontamination import OP7_SQL, op7_decontamination
+from weftline.llm.embedding_dedup import OP5_SQL, op5_embedding_dedup
 from weftline.llm.html_text import op10_html_text
 from weftline.llm.minhash import OP8_SQL, op8_minhash_dedup
 from weftline.llm.mixing import op9_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
     "op4_token_files": op4_token_files,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_minhash_dedup": op8_minhash_dedup,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op5_embedding_dedup": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_minhash_dedup": OP8_SQL,
 }
