@@ -37,7 +37,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), np.int64)
     for k in range(ORDER - 1, -1, -1):
         out <<= 8
-        out[k:] += np.where(place[k:] >= k, data[: len(data) - k], 0)
+        out[k:] += np.where(place[k:] >= k, data[: max(0, len(data) - k)], 0)
     return out
 
 
@@ -148,7 +148,7 @@ def _score(sent):
                     mine = sent.value.mine(keys)
                     keys, row = keys[mine], row[mine]
                 once, where = np.unique(keys, return_inverse=True)
-                total = np.bincount(row, sent.value.surprise(once)[where], hi - lo)
+                total = np.bincount(row, sent.value.surprise(once)[where], hi - lo).astype(np.float64)
                 n = np.bincount(row, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(total), pa.array(n)], [common.ROW_KEY, "total", "n"])
 

@@ -23,7 +23,7 @@ from weftline.llm.ragged import span_sums, text_slices
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Pre-tokens whose counts a task remembers at a time.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 @cache
@@ -163,6 +163,12 @@ class Merges:
         return out
 
 
+@cache
+def token_counter(path: str) -> Counter:
+    """One counter for each file and process, so tasks that follow each other share what it remembers."""
+    return Counter(path)
+
+
 class Counter:
     """Counts of a tokenizer file's tokens, with a memory of pre-tokens."""
 
@@ -171,7 +177,7 @@ class Counter:
         self.known, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def __reduce__(self):
-        return Counter, (self.path,)
+        return token_counter, (self.path,)
 
     def _of(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         once, first, where = np.unique(hashes, return_index=True, return_inverse=True)
@@ -230,7 +236,7 @@ class Counter:
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) of each row."""
     common.ready(docs.sparkSession)
-    counter = Counter(tokenizer)
+    counter = token_counter(tokenizer)
 
     def count(batches):
         for batch in batches:

@@ -20,7 +20,9 @@ still get the end id.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,60 +39,99 @@ END = 1
 LONGEST = 20
 STRIDE = 128
 BLOCK_TOKENS = 1 << 16
+#: A word of one id that stands between words encoded together, and how many those are.
+MARK, TOGETHER = "\0", 500
 #: Words whose ids a task remembers at a time.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Bytes of text encoded at a time; the tokenizer's own memory leaves less room than other operators have.
+ENCODED_BYTES = 1_500_000
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each file and process, so tasks that follow each other share what it remembers."""
+    return WordEncoder(path)
 
 
 class WordEncoder:
     """A tokenizer that drops white space and never joins words over it, applied to each different word once."""
 
     def __init__(self, path: str):
-        self.path, self.known, self.start, self.ids = path, np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-        self.tokenizer = None
+        self.path, self.tokenizer = path, None
+        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, first ids, ids
 
     def __reduce__(self):
-        return WordEncoder, (self.path,)
+        return word_encoder, (self.path,)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each word: many words a text, told apart by a mark that stands between them."""
         if self.tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a process on each core already
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        if len(self.known) > REMEMBERED:
-            self.known, self.start, self.ids = self.known[:0], self.start[:1], self.ids[:0]
-        n = np.concatenate([np.diff(self.start), [len(x) for x in found]]).astype(np.int64)
-        flat = np.concatenate([self.ids, *[np.array(x, np.int32) for x in found]])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known)
-        first = (np.cumsum(n) - n)[order]
-        self.ids = flat[ragged_index(first, n[order])]
-        self.start = np.append(0, np.cumsum(n[order]))
-        self.known = known[order]
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.known, hashes)
-        ok = at < len(self.known)
-        ok[ok] = self.known[at[ok]] == hashes[ok]
-        return np.where(ok, at, -1)
+            self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        plain = [i for i, w in enumerate(words) if MARK not in w] if len(self.mark) == 1 else []
+        ids, n = [], np.zeros(len(words), np.int64)
+        for i in range(0, len(plain), TOGETHER):
+            part = plain[i : i + TOGETHER]
+            found = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words[k] for k in part)], add_special_tokens=False)[0].ids, np.int32)
+            mark = found == self.mark[0]
+            n[part] = np.diff(np.concatenate([[-1], np.flatnonzero(mark), [len(found)]])) - 1
+            ids.append(found[~mark])
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        if len(plain) < len(words):
+            rest = sorted(set(range(len(words))) - set(plain))
+            own = [np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.int32) for k in rest]
+            n[rest] = [len(x) for x in own]
+            owner = np.concatenate([np.repeat(plain, n[plain]), np.repeat(rest, n[rest])]).astype(np.int64)
+            flat = np.concatenate([flat, *own])[np.argsort(owner, kind="stable")]
+        return flat, n
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Remember new words as one more table; sixteen tables become one, and a table that is too long is given up."""
+        flat, n = self._encode_words(words)
+        self.known.append((hashes, np.append(0, np.cumsum(n)), flat))
+        if len(self.known) > 16:
+            known = np.concatenate([k for k, _, _ in self.known])
+            n = np.concatenate([np.diff(start) for _, start, _ in self.known])
+            flat = np.concatenate([ids for _, _, ids in self.known])
+            order = np.argsort(known)
+            flat = flat[ragged_index((np.cumsum(n) - n)[order], n[order])]
+            self.known = [(known[order], np.append(0, np.cumsum(n[order])), flat)] if len(known) <= REMEMBERED else self.known[-1:]
+
+    def _recall(self, hashes: np.ndarray):
+        """(places among ``hashes``, their rows, first ids, ids) of what each table knows."""
+        for known, start, ids in self.known:
+            at = np.searchsorted(known, hashes)
+            ok = at < len(known)
+            ok[ok] = known[at[ok]] == hashes[ok]
+            yield np.flatnonzero(ok), at[ok], start, ids
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each text."""
         words = Words(data, offsets, NOT_SPACE)
         once, first, where = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = self._find(once)
-        new = np.flatnonzero(at < 0)
+        n, parts = np.full(len(once), -1, np.int64), []
+
+        def take(found) -> None:
+            for place, row, start, ids in found:
+                n[place] = start[row + 1] - start[row]
+                parts.append((place, ids[ragged_index(start[row], n[place])]))
+
+        take(self._recall(once))
+        new = np.flatnonzero(n < 0)
         if len(new):
             raw = data.tobytes()
-            if len(self.known) > REMEMBERED:  # what is remembered is given up: this slice needs all its words
-                new = np.arange(len(once))
             places = first[new]
             self._learn(once[new], [raw[a:b].decode() for a, b in zip(words.start[places].tolist(), words.end[places].tolist(), strict=True)])
-            at = self._find(once)
-        n = np.diff(self.start)[at][where] if len(words) else np.zeros(0, np.int64)
-        ids = self.ids[ragged_index(self.start[at][where], n)] if len(words) else self.ids[:0]
-        edge = np.append(0, np.cumsum(n))[words.first]
-        return ids, np.diff(edge)
+            take((new[place], row, start, ids) for place, row, start, ids in list(self._recall(once[new])))
+        start = np.cumsum(n) - n
+        flat = np.zeros(int(n.sum()), np.int32)
+        for place, ids in parts:
+            flat[ragged_index(start[place], n[place])] = ids
+        ids = flat[ragged_index(start[where], n[where])]
+        return ids, np.diff(np.append(0, np.cumsum(n[where]))[words.first])
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +151,7 @@ def encode_ranges(docs: DataFrame, encoder: WordEncoder, id_col: str = "doc_id",
     def encode(batches):
         part, off = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1)):
+            for lo, hi, data, offsets in text_slices(batch.column(1), ENCODED_BYTES):
                 ids, n = with_end(*encoder.encode(data, offsets))
                 starts = off + np.cumsum(n) - n
                 off += int(n.sum())
@@ -304,7 +345,7 @@ def _checksums(batches):
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encode, write, read back, and return each document's place and checksum."""
     path = fresh_path(docs.sparkSession, "token-files")
-    write_tokens(encode_ranges(docs, WordEncoder(tokenizer)), path)
+    write_tokens(encode_ranges(docs, word_encoder(tokenizer)), path)
     back = read_tokens(docs.sparkSession, path)
     kind = back.schema["doc_id"].dataType.simpleString()
     return back.mapInArrow(_checksums, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
