@@ -44,7 +44,7 @@ MARK, TOGETHER = "\0", 500
 #: Words whose ids a task remembers at a time.
 REMEMBERED = 1_000_000
 #: Bytes of text encoded at a time; the tokenizer's own memory leaves less room than other operators have.
-ENCODED_BYTES = 1_500_000
+ENCODED_BYTES = 1_000_000
 
 
 @cache
@@ -280,6 +280,7 @@ def write_tokens(encoded: DataFrame, path: str) -> None:
     schema = f"part int, off bigint, doc_ids array<{kind}>, n_tokens array<int>, n bigint, checkpoints binary, payload binary"
 
     def blocks(batches):
+        word_encoder.cache_clear()
         for batch in batches:
             part, off = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             flat, n = list_parts(batch.column(3))
@@ -317,6 +318,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches):
+        word_encoder.cache_clear()  # a process that has encoded before needs that memory no more
         for batch in batches:
             for row in range(batch.num_rows):
                 part, off, doc_ids, n_tokens, total, checkpoints, payload = (batch.column(i)[row] for i in range(7))
