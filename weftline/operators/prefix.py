@@ -61,7 +61,16 @@ def with_range(df: DataFrame, key: str, cuts: Sequence[float]) -> DataFrame:
     # Without cuts all keys are in range 0; a cut above every key keeps the number a computed column.
     ends = [-math.inf, *(cuts or [sys.float_info.max]), math.inf]
     finder = Bucketizer(splits=ends, inputCol=key, outputCol=RANGE)
-    return finder.transform(df).withColumn(RANGE, F.col(RANGE).cast("int"))
+    # A null key sorts first, so it belongs to the first range.
+    return finder.transform(df).withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), F.lit(0)))
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on ``keys`` where null equals null; ``right`` gives its other columns only."""
+    renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
+    # a range is never null; plain equality keeps the rows' partitioning by range
+    same = [F.col(key) == F.col(f"_r_{key}") if key == RANGE else F.col(key).eqNullSafe(F.col(f"_r_{key}")) for key in keys]
+    return left.join(renamed, same).drop(*[f"_r_{key}" for key in keys])
 
 
 def with_hash_range(df: DataFrame, hex_key: str, ranges: int) -> DataFrame:
@@ -81,6 +90,7 @@ def _with_hot_ranges(df: DataFrame, order: str, by: Sequence[str]) -> DataFrame
     if (largest or 0) <= limit:
         return None
     hot = sizes.where(F.col("_rows") > limit).select(*by, F.lit(True).alias("_hot"))
+    # a null group finds no mark and stays in one range
     marked = df.join(F.broadcast(hot), list(by), "left")
     ranged = with_range(marked, order, range_cuts(df, order))
     return ranged.withColumn(RANGE, F.when(F.col("_hot"), F.col(RANGE)).otherwise(0)).drop("_hot")
@@ -133,7 +143,7 @@ def running_total(
     inside = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return (
-        local.join(bases, part)
+        _join_null_safe(local, bases, part)
         .withColumn(into, F.col("_base") + F.col("_local"))
         .drop("_base", "_local", RANGE)
     )
