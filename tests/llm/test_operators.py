@@ -150,6 +150,21 @@ def test_token_files(spark, docs):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in token_files.token_files(docs, path).collect())
 
 
+def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(11)
+    parts = ["a", "The", " ", "'", "'s", "'LL", "\n", "1", "23", "é", "e\u0301", "\u0338", "=", "—", "日本", "!?", "<|endoftext|>", "<|", "|>", "\0", "Σ", "İ", "K", "½", "²", "_", ".", "\xa0", "\u200d", "🙂"]
+    rows = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(6000)] + [None, "", "x" * 5000, "1" * 5000]
+    library, encoder, got = Tokenizer.from_file(path), token_files.WordEncoder(path), []
+    for _, _, data, offsets in text_slices(pa.array(rows), 20_000):
+        ids, n = encoder.encode(data, offsets)
+        got += [part.tolist() for part in np.split(ids, np.cumsum(n)[:-1])]
+    for text, ids in zip(rows, got, strict=True):
+        assert ids == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
 def test_huffman_round_trip(n):
     rng = np.random.default_rng(n)

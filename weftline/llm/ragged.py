@@ -23,6 +23,9 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 LETTER_OR_DIGIT = np.zeros(256, bool)
 LETTER_OR_DIGIT[0x30:0x3A] = LETTER_OR_DIGIT[0x61:0x7B] = LETTER_OR_DIGIT[0x80:] = True
 
+#: A kind of byte (see `Words`) that is always a word of its own among bytes of a kind.
+SINGLE = 1
+
 #: A-Z to a-z
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -70,7 +73,8 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 class Words:
     """The words of some texts: ``first`` (by text, one more at the end), ``start``/``end`` in bytes, ``hash``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, allowed: np.ndarray, kinds: np.ndarray | None = None):
+        """``kinds`` (by byte) cuts words further, between bytes of two different kinds above 0 and between any two of ``SINGLE``."""
         inside = allowed[data]
         before = np.zeros(len(data) + 1, bool)
         before[1:] = inside
@@ -78,6 +82,12 @@ class Words:
         after = np.zeros(len(data) + 1, bool)
         after[:-1] = inside
         after[offsets] = False
+        if kinds is not None and len(data):
+            kind = kinds[data]
+            left, right = kind[:-1], kind[1:]
+            stay = (left == 0) | (right == 0) | ((left == right) & (left != SINGLE))
+            before[1:-1] &= stay
+            after[1:-1] &= stay
         self.start = np.flatnonzero(inside & ~before[:-1])
         self.end = np.flatnonzero(inside & ~after[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)

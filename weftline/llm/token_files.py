@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm import common
-from weftline.llm.ragged import NOT_SPACE, Words, list_parts, lists, ragged_index, text_slices
+from weftline.llm.ragged import NOT_SPACE, SINGLE, Words, list_parts, lists, ragged_index, text_slices
 from weftline.session import fresh_path
 
 END = 1
@@ -43,6 +43,12 @@ BLOCK_TOKENS = 1 << 16
 MARK, TOGETHER = "\0", 500
 #: Words whose ids a task remembers at a time.
 REMEMBERED = 1_000_000
+#: Pieces that are encoded alone: digits, runs of ASCII letters, runs of ASCII marks. The apostrophe (contractions), the bar (special
+#: strings) and all else stay with what stands next to them.
+PIECES = np.zeros(256, np.uint8)
+PIECES[0x21:0x7F], PIECES[0x30:0x3A] = 3, SINGLE
+PIECES[0x41:0x5B] = PIECES[0x61:0x7B] = 2
+PIECES[[0x27, 0x7C]] = 0
 #: Bytes of text encoded at a time; the tokenizer's own memory leaves less room than other operators have.
 ENCODED_BYTES = 1_000_000
 
@@ -54,7 +60,7 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """A tokenizer that drops white space and never joins words over it, applied to each different word once."""
+    """A tokenizer that drops white space, never joins words over it and parts ASCII letters, digits and marks, applied to each different piece once."""
 
     def __init__(self, path: str):
         self.path, self.tokenizer = path, None
@@ -110,7 +116,7 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each text."""
-        words = Words(data, offsets, NOT_SPACE)
+        words = Words(data, offsets, NOT_SPACE, PIECES)
         once, first, where = np.unique(words.hash, return_index=True, return_inverse=True)
         n, parts = np.full(len(once), -1, np.int64), []
 
