@@ -147,6 +147,22 @@ def lists(values: np.ndarray, lengths: np.ndarray, of: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, of))
 
 
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of ``lengths`` values each; the JVM moves it as it is, not value by value."""
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths * values.itemsize, out=offsets[1:])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(column: pa.Array, of: str) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and lengths of a `packed` column without nulls."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    size = np.dtype(of).itemsize
+    return data[offsets[0] : offsets[-1]].view(of), np.diff(offsets) // size
+
+
 def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values and lengths of a list column without nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,7 +1,7 @@
 """Token ids of a corpus in Huffman-coded blocks, written in document order and read back.
 
 Documents are dealt by ranges of their id and sorted; each range is encoded once and staged with its running
-offset. Ids are counted over all documents, the counts (one row an id of the vocabulary) give one canonical code
+offset and its counts of ids. The sums of these counts over all documents (one row an id of the vocabulary) give one canonical code
 of at most ``LONGEST`` bits, and every staged range is coded in blocks of whole documents. The file format is a folder
 of Parquet tables:
 
@@ -11,7 +11,7 @@ of Parquet tables:
   the range, ``payload`` the bits, most significant first, and ``checkpoints`` the bit offset of every
   ``STRIDE``-th id. A block can be decoded alone, and from any checkpoint.
 
-Decoding looks ``LONGEST`` bits up in one table and runs all stretches between checkpoints in step.
+Decoding looks as many bits as the longest code has up in one table and runs all stretches between checkpoints in step.
 
 Order: null ids first, then by id and, among equal ids, by text. Null and empty texts are encoded as empty and
 still get the end id.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm import common
-from weftline.llm.ragged import NOT_SPACE, SINGLE, Words, list_parts, lists, ragged_index, text_slices
+from weftline.llm.ragged import NOT_SPACE, SINGLE, Words, list_parts, lists, packed, ragged_index, text_slices, unpacked
 from weftline.session import fresh_path
 
 END = 1
 LONGEST = 20
+#: Bits that hold the length of a code.
+WIDTH = 5
 STRIDE = 128
 BLOCK_TOKENS = 1 << 16
 #: A word of one id that stands between words encoded together, and how many those are.
@@ -148,41 +151,58 @@ def with_end(ids: np.ndarray, n: np.ndarray, end: int = END) -> tuple[np.ndarray
 
 
 def encode_ranges(docs: DataFrame, encoder: WordEncoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The staged ids: (part, off, doc_id, ids), ranges of documents in order, ``off`` counting ids within a range."""
+    """The staged ids: (part, off, doc_id, low, high, used, counts), ranges of documents in order, ``off`` counting ids within a range.
+
+    ``low`` and ``high`` are the lower and upper 16 bits of each id, little-endian; the upper ones are mostly zero and compress away. The last row of a range is no document: ``off`` is the range's number of ids, ``used`` and ``counts`` are its
+    different ids and how often each occurs.
+    """
     spark = common.ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["part", "off", "doc_id", "low", "high", "used", "counts"]
 
     def encode(batches):
-        part, off = TaskContext.get().partitionId(), 0
+        part, off, doc_type = TaskContext.get().partitionId(), 0, None
+        total = np.zeros(0, np.int64)
         for batch in batches:
+            doc_type = batch.column(0).type
             for lo, hi, data, offsets in text_slices(batch.column(1), ENCODED_BYTES):
                 ids, n = with_end(*encoder.encode(data, offsets))
                 starts = off + np.cumsum(n) - n
                 off += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * (hi - lo), pa.int32()), pa.array(starts), batch.column(0).slice(lo, hi - lo), lists(ids, n, pa.int32())],
-                    ["part", "off", "doc_id", "ids"],
-                )
+                own = np.bincount(ids)
+                if len(own) > len(total):
+                    own, total = total, own
+                total[: len(own)] += own
+                columns = [pa.array([part] * (hi - lo), pa.int32()), pa.array(starts), batch.column(0).slice(lo, hi - lo)]
+                columns += [packed(ids.astype("<u2"), n), packed((ids >> 16).astype("<u2"), n)]
+                nothing = [pa.nulls(hi - lo, pa.list_(pa.int32())), pa.nulls(hi - lo, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, *nothing], names)
+        used = np.flatnonzero(total)
+        if len(used):
+            columns = [pa.array([part], pa.int32()), pa.array([off], pa.int64()), pa.nulls(1, doc_type), *[pa.nulls(1, pa.binary())] * 2]
+            columns += [lists(used.astype(np.int32), np.array([len(used)]), pa.int32()), lists(total[used], np.array([len(used)]), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return common.stage(rows.mapInArrow(encode, f"part int, off bigint, doc_id {kind}, ids array<int>"), "token-ids")
+    schema = f"part int, off bigint, doc_id {kind}, low binary, high binary, used array<int>, counts array<bigint>"
+    return common.stage(rows.mapInArrow(encode, schema), "token-ids")
 
 
 def id_counts(encoded: DataFrame) -> DataFrame:
-    """(id, n) over all documents, added up in each task first."""
+    """(id, n) over all documents, from what each range has counted, added up in each task first; the documents' ids are not read again."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(list_parts(batch.column(0))[0])
-            if len(own) > len(total):
-                own, total = total, own.astype(np.int64)
-            total[: len(own)] += own
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
+            used, n = list_parts(batch.column(0))[0], list_parts(batch.column(1))[0]
+            total = np.append(total, np.zeros(max(0, int(used.max(initial=-1)) + 1 - len(total)), np.int64))
+            np.add.at(total, used, n)
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["id", "n"])
 
-    return encoded.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = encoded.where("used IS NOT NULL").select("used", "counts")
+    return counted.mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -223,11 +243,12 @@ class Codebook:
         self.place[self.ids] = np.arange(len(self.ids))
         self._width = width
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
+    def table(self) -> np.ndarray:
+        """For every next ``deep`` bits the id that they begin with and, in the lowest ``WIDTH`` bits, the length of its code."""
         if not hasattr(self, "_table"):
             rows = np.repeat(np.arange(len(self.ids)), self._width)
             rows = np.append(rows, np.zeros((1 << self.deep) - len(rows), np.int64))
-            self._table = self.ids[rows].astype(np.int32), self.bits[rows].astype(np.int64)
+            self._table = (self.ids << WIDTH | self.bits)[rows]
         return self._table
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -250,23 +271,20 @@ class Codebook:
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` ids of a block; the stretches after the checkpoints are read in step."""
-        ids, bits = self.table()
-        data = np.frombuffer(payload + bytes(16), np.uint8).astype(np.uint64)
+        table = self.table()
+        # what runs on behind the last id of the block reads zeros, at most ``STRIDE`` codes of them
+        data = np.frombuffer(payload + bytes(STRIDE * LONGEST // 8 + 8), np.uint8).astype(np.uint32)
+        window = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
         lanes = len(checkpoints)
-        out = np.zeros((STRIDE, lanes), np.int32)
+        out = np.zeros((STRIDE, lanes), np.int64)
         at = checkpoints.astype(np.int64)
         left = n - STRIDE * (lanes - 1)
-        mask = np.uint64((1 << self.deep) - 1)
+        unused = np.uint32(32 - self.deep)
         for step in range(STRIDE if lanes > 1 else left):
-            byte = at >> 3
-            window = data[byte] << np.uint64(24)
-            window |= data[byte + 1] << np.uint64(16)
-            window |= data[byte + 2] << np.uint64(8)
-            window |= data[byte + 3]
-            key = (window >> (32 - self.deep - (at & 7)).astype(np.uint64)) & mask
-            out[step] = ids[key]
-            at = np.minimum(at + bits[key], 8 * len(payload))
-        return out.T.ravel()[:n]
+            found = table[window[at >> 3] << (at & 7).astype(np.uint32) >> unused]
+            out[step] = found
+            at += found & ((1 << WIDTH) - 1)
+        return (out.T.ravel()[:n] >> WIDTH).astype(np.int32)
 
 
 def write_tokens(encoded: DataFrame, path: str) -> None:
@@ -278,7 +296,7 @@ def write_tokens(encoded: DataFrame, path: str) -> None:
     ids, n = ids[order], n[order]
     bits = code_lengths(n)
     spark.createDataFrame(pa.table({"id": pa.array(ids.astype(np.int32)), "bits": pa.array(bits.astype(np.int32))})).coalesce(1).write.parquet(f"{path}/codebook")
-    parts = encoded.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))  # one row a range
+    parts = encoded.where("used IS NOT NULL").select("part", F.col("off").alias("n"))  # one row a range
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/ranges")
     book = spark.sparkContext.broadcast(Codebook(ids, bits))
@@ -289,8 +307,8 @@ def write_tokens(encoded: DataFrame, path: str) -> None:
         word_encoder.cache_clear()
         for batch in batches:
             part, off = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            flat, n = list_parts(batch.column(3))
-            n = n.astype(np.int64)
+            flat, n = unpacked(batch.column(3), "<u2")
+            flat = flat | unpacked(batch.column(4), "<u2")[0].astype(np.int32) << 16
             edge = np.append(0, np.cumsum(n))
             lo = 0
             while lo < batch.num_rows:
@@ -312,11 +330,16 @@ def write_tokens(encoded: DataFrame, path: str) -> None:
                 )
                 lo = hi
 
-    encoded.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+    documents = encoded.where("used IS NULL").select("part", "off", "doc_id", "low", "high")
+    documents.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+
 
+def read_tokens(spark: SparkSession, path: str, digest: tuple[str, str, Callable] | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the files; ``start`` counts the ids before it.
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; ``start`` counts the ids before it."""
+    ``digest`` = (name, type, function of flat ids and lengths) gives a column that is made where blocks are decoded, instead of ``ids``.
+    """
+    name, of, make = digest or ("ids", "array<int>", lambda ids, n: lists(ids, n, pa.int32()))
     common.ready(spark)
     book = spark.read.parquet(f"{path}/codebook").toArrow()
     sent = spark.sparkContext.broadcast(Codebook(book["id"].to_numpy(), book["bits"].to_numpy()))
@@ -332,31 +355,26 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 n = n_tokens.values.to_numpy().astype(np.int64)
                 starts = off.as_py() + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()] * len(n), pa.int32()), doc_ids.values, pa.array(starts), pa.array(n), lists(ids, n, pa.int32())],
-                    ["part", "doc_id", "off", "n_tokens", "ids"],
+                    [pa.array([part.as_py()] * len(n), pa.int32()), doc_ids.values, pa.array(starts), pa.array(n), make(ids, n)],
+                    ["part", "doc_id", "off", "n_tokens", name],
                 )
 
-    docs = blocks.mapInArrow(decode, f"part int, doc_id {kind}, off bigint, n_tokens bigint, ids array<int>")
+    docs = blocks.mapInArrow(decode, f"part int, doc_id {kind}, off bigint, n_tokens bigint, {name} {of}")
     bases = spark.read.parquet(f"{path}/ranges")  # one row a range, so as many as the writer's partitions
-    return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("off")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("off")).alias("start"), "n_tokens", name)
 
 
-def _checksums(batches):
-    for batch in batches:
-        flat, n = list_parts(batch.column(3))
-        edge = np.append(0, np.cumsum(n)).tolist()
-        raw = flat.astype("<u4").tobytes()
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+def _checksums(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    edge = np.append(0, np.cumsum(n)).tolist()
+    raw = ids.astype("<u4").tobytes()
+    return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.int64())
 
 
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encode, write, read back, and return each document's place and checksum."""
     path = fresh_path(docs.sparkSession, "token-files")
     write_tokens(encode_ranges(docs, word_encoder(tokenizer)), path)
-    back = read_tokens(docs.sparkSession, path)
-    kind = back.schema["doc_id"].dataType.simpleString()
-    return back.mapInArrow(_checksums, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read_tokens(docs.sparkSession, path, ("ids_crc32", "bigint", _checksums))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
