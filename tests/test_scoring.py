@@ -152,8 +152,13 @@ def test_all_five_tasks(spark):
     assert {r.task: (r.total, r.accuracy) for r in rows} == {
         "lambada": (2, 0.5), "niah": (1, 1.0), "hellaswag": (1, 1.0), "arc_easy": (1, 1.0), "winogrande": (1, 1.0),
     }
-    few = K.evaluate(inputs, encode, lambda targets: G.bigram_scores(targets, model), ["niah", "piqa"]).collect()
-    assert {r.task: r.total for r in few} == {"niah": 1, "piqa": 0}
+    few = K.evaluate(inputs, encode, lambda targets: G.bigram_scores(targets, model), ["niah"]).collect()
+    assert {r.task: r.total for r in few} == {"niah": 1}
+    one = {"niah": inputs["niah"]}
+    few = K.evaluate(one, encode, lambda targets: G.bigram_scores(targets, model), ["niah", "lambada"]).collect()
+    assert {r.task: r.total for r in few} == {"niah": 1, "lambada": 0}
+    with pytest.raises(ValueError, match="piqa"):
+        K.evaluate(inputs, encode, lambda targets: G.bigram_scores(targets, model), ["niah", "piqa"])
 
 
 def test_top_token_ties(spark):

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions.math import share
 from weftline.functions.text import keep_last
-from weftline.operators.requests import MAX_LENGTH
 
 SCORE_SCHEMA = "request_id string, pos int, token int, logprob double, argmax_token int"
 
@@ -43,8 +42,8 @@ def _targets(frame: DataFrame, ids: Column, n_targets: Column, keep: list[str])
     )
 
 
-def continuation_targets(requests: DataFrame, max_length: int | None = MAX_LENGTH, keep: Iterable[str] = ()) -> DataFrame:
-    """Positions of the continuation; an over-long request keeps its last ``max_length`` ids."""
+def continuation_targets(requests: DataFrame, max_length: int | None = None, keep: Iterable[str] = ()) -> DataFrame:
+    """Positions of the continuation; with ``max_length``, a longer request keeps its last ids."""
     joined = F.concat("ctx_ids", "cont_ids")
     ids = joined if max_length is None else keep_last(joined, max_length)
     return _targets(requests, ids, F.size("cont_ids"), list(keep))

@@ -18,12 +18,12 @@ CHOICE = ["item_id", "choice_idx", "label"]
 
 def last_word(items: DataFrame, encode: Encoder, score: Scorer) -> DataFrame:
     requests = R.encode_requests(R.last_word_requests(items), encode)
-    folded = X.request_scores(score(X.continuation_targets(requests)))
+    folded = X.request_scores(score(X.continuation_targets(requests, R.MAX_LENGTH)))
     return folded.select(F.col("is_greedy").alias("correct"))
 
 
 def _pick(requests: DataFrame, encode: Encoder, score: Scorer) -> DataFrame:
-    targets = X.continuation_targets(R.encode_requests(requests, encode), keep=CHOICE)
+    targets = X.continuation_targets(R.encode_requests(requests, encode), R.MAX_LENGTH, CHOICE)
     return X.chosen(X.per_token(X.request_scores(score(targets), CHOICE))).select("correct")
 
 
@@ -48,7 +48,7 @@ def needles(cases: DataFrame, encode: Encoder, score: Scorer) -> DataFrame:
         encode.ids(F.array_join("prompt", " ")).alias("ctx_ids"),
         F.slice(encode.ids(F.concat(F.lit(" "), "answer")), F.lit(1), F.lit(1)).alias("cont_ids"),
     )
-    folded = X.request_scores(score(X.continuation_targets(requests, max_length=None)))
+    folded = X.request_scores(score(X.continuation_targets(requests)))
     return folded.select(F.col("is_greedy").alias("correct"))
 
 
@@ -63,11 +63,16 @@ RUNNERS = {
 
 
 def evaluate(inputs: dict[str, DataFrame], encode: Encoder, score: Scorer, tasks: Iterable[str] | None = None) -> DataFrame:
-    """``(task, total, n_correct, accuracy)`` of the asked tasks, as one job over all of them."""
+    """``(task, total, n_correct, accuracy)`` of the asked tasks, as one job over all of them.
+
+    A task without items reports 0; a name that is no task is an error.
+    """
     tasks = list(tasks or RUNNERS)
+    if unknown := [task for task in tasks if task not in RUNNERS]:
+        raise ValueError(f"no such tasks: {unknown}")
     outcomes = None
     for task in tasks:
-        if task in RUNNERS and task in inputs:
+        if task in inputs:
             part = RUNNERS[task](inputs[task], encode, score).withColumn("task", F.lit(task))
             outcomes = part if outcomes is None else outcomes.unionByName(part)
     if outcomes is None:

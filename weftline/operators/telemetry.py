@@ -7,6 +7,7 @@ total: ranges of the order key, not whole runs, are the unit of work.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.math import perplexity, rate_factor
@@ -88,9 +89,13 @@ def validation_loss(batch_losses: DataFrame, max_batches: int, has_data: bool =
     """Mean over the first ``max_batches`` losses of a run; NaN without data, 0 without batches."""
     if not has_data:
         return batch_losses.select("run").distinct().withColumn("val_loss", F.lit(float("nan")))
-    first = micro_steps(batch_losses)
-    used = F.when(F.col("micro") < max_batches, F.col("loss"))
-    return first.groupBy("run").agg(F.coalesce(F.avg(used), F.lit(0.0)).alias("val_loss"), F.count(used).alias("n_batches"))
+    if max_batches <= 0:
+        none = F.lit(0).cast("bigint").alias("n_batches")
+        return batch_losses.select("run").distinct().select("run", F.lit(0.0).alias("val_loss"), none)
+    # A rank with a bound becomes a group limit before the shuffle, so a long run sends few rows.
+    place = F.row_number().over(W.partitionBy("run").orderBy("seq"))
+    first = batch_losses.select("run", "seq", "loss").withColumn("place", place).where(F.col("place") <= max_batches)
+    return first.groupBy("run").agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("val_loss"), F.count("loss").alias("n_batches"))
 
 
 def metrics_long(steps: DataFrame, names: list[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from weftline.plans.corpus import documents
 from weftline.plans.scoring import _hash
 from weftline.plans.tables import SEED
 
-PARITY_LEN = 64
-LENGTHS = (256, 512, 1024)
+PARITY_LEN = 128
+LENGTHS = (512, 1024, 2048)
 
 
 def _samples(spark, sf_dir):

@@ -24,7 +24,7 @@ from weftline.sources import results as J
 RIGHT_ABOVE = 30
 BASELINE = "view"
 CONFIGS = (16, 32, 64, 128)
-RESAMPLES = 2_000
+RESAMPLES = 10_000
 
 
 def answers(spark, sf_dir) -> DataFrame:
@@ -256,11 +256,11 @@ def pending_documents(spark, sf_dir):
 
 
 def pending_benchmarks(spark, sf_dir):
-    """Checkpoints for which not all five tasks have been reported by one seed of the last phase."""
+    """Model-and-user pairs for which not all five tasks have been reported."""
     rows = answers(spark, sf_dir)
-    tag = F.concat_ws("_", "model", F.col("step").cast("string")).alias("tag")
+    tag = F.concat_ws("_", "model", F.col("user_id").cast("string")).alias("tag")
     plan = rows.select(tag).distinct()
-    done = N.finished(rows.where("phase = 3 AND correct AND seed = 0").select(tag, "task"), "tag", R.TASKS)
+    done = N.finished(rows.select(tag, "task"), "tag", R.TASKS)
     return N.remaining(plan, done, ["tag"])
 
 
@@ -422,9 +422,9 @@ SELECT DISTINCT phase, model, step, false AS is_final, format('phase{{}}_{{}}/st
     "bench_metric_keys": f"""WITH {_ANSWERS_SQL}
 SELECT 'bench/' || task || '_acc' AS metric, round(sum(correct::INT) / count(*)::DOUBLE, 6) AS value FROM answers GROUP BY task""",
     "pending_documents": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "pending_benchmarks": f"""WITH {_ANSWERS_SQL},
-tags AS (SELECT model || '_' || step AS tag, * FROM answers)
-SELECT tag FROM tags GROUP BY tag HAVING count(DISTINCT task) FILTER (WHERE phase = 3 AND correct AND seed = 0) < 5""",
+    "pending_benchmarks": """
+WITH tags AS (SELECT event_type || '_' || user_id AS tag, json_extract_string(props, '$.k')::BIGINT % 5 AS task FROM events)
+SELECT tag FROM tags GROUP BY tag HAVING count(DISTINCT task) < 5""",
     "missing_inputs": """SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'runnable' END AS state
 FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE n_chars >= 500) d USING (doc_id)""",
 }

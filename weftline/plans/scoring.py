@@ -36,7 +36,7 @@ def last_word_requests(spark, sf_dir):
 def _last_word_scores(spark, sf_dir):
     encode, model = scorer(documents(spark, sf_dir))
     requests = R.encode_requests(R.last_word_requests(items(spark, sf_dir)), encode)
-    return X.request_scores(bigram_scores(X.continuation_targets(requests), model))
+    return X.request_scores(bigram_scores(X.continuation_targets(requests, R.MAX_LENGTH), model))
 
 
 def last_word_scores(spark, sf_dir):
@@ -68,7 +68,7 @@ def _choice_scores(spark, sf_dir):
     encode, model = scorer(documents(spark, sf_dir))
     requests = R.encode_requests(R.question_requests(_keyed_choices(spark, sf_dir)), encode)
     keep = ["item_id", "choice_idx", "label"]
-    targets = X.continuation_targets(requests, keep=keep)
+    targets = X.continuation_targets(requests, R.MAX_LENGTH, keep)
     return X.per_token(X.request_scores(bigram_scores(targets, model), keep))
 
 
@@ -153,7 +153,7 @@ def token_score_gather(spark, sf_dir):
     """A score table with two candidates per position, read back by (request, position, token)."""
     encode, model = scorer(documents(spark, sf_dir))
     requests = R.encode_requests(R.last_word_requests(items(spark, sf_dir)), encode)
-    targets = X.continuation_targets(requests)
+    targets = X.continuation_targets(requests, R.MAX_LENGTH)
     wanted = bigram_scores(targets, model)
     other = targets.select("request_id", "pos", "prev").join(wanted.select("request_id", "pos", F.col("argmax_token").alias("token")), ["request_id", "pos"])
     candidates = wanted.select("request_id", "pos", "token", "logprob").unionByName(
@@ -173,7 +173,7 @@ def task_accuracy(spark, sf_dir):
     """Several tasks in one go; a listed task without items reports 0."""
     encode, model = scorer(documents(spark, sf_dir))
     inputs = {"lambada": items(spark, sf_dir), "arc_easy": _keyed_choices(spark, sf_dir), "winogrande": _blanks(spark, sf_dir)}
-    rows = evaluate(inputs, encode, lambda targets: bigram_scores(targets, model), [*inputs, "piqa"])
+    rows = evaluate(inputs, encode, lambda targets: bigram_scores(targets, model), [*inputs, "hellaswag"])
     return rows.select("task", "total", "n_correct", *_rounded("accuracy"))
 
 
@@ -357,7 +357,7 @@ SELECT item_id, choice_idx, label, ctx AS context, cont AS continuation FROM req
     "fill_blank_scores": f"""{_SCORE_BLANK}
 SELECT item_id, choice_idx, label, n_scored, round(ll, 6) AS ll, round(score, 6) AS score FROM scores""",
     "fill_blank_accuracy": f"{_SCORE_BLANK} {_ACCURACY}",
-    "turn_loglikelihood": f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_TURNS}, {_scored(R.MAX_LENGTH)}, {_fold()}
+    "turn_loglikelihood": f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_REQS_TURNS}, {_scored(None)}, {_fold()}
 SELECT request_id, round(ll, 6) AS ll, is_greedy, n_expected, n_scored FROM folded""",
     "rolling_perplexity": _rolling_sql(None),
     "rolling_tail_perplexity": _rolling_sql(R.MAX_LENGTH),
@@ -387,7 +387,7 @@ outcomes AS (
 )
 SELECT task, count(ok) AS total, coalesce(sum(ok::INT), 0)::BIGINT AS n_correct,
        round(coalesce(sum(ok::INT), 0) / greatest(count(ok), 1), 6)::DOUBLE AS accuracy
-FROM (VALUES ('lambada'), ('arc_easy'), ('winogrande'), ('piqa')) AS listed(task) LEFT JOIN outcomes USING (task) GROUP BY task""",
+FROM (VALUES ('lambada'), ('arc_easy'), ('winogrande'), ('hellaswag')) AS listed(task) LEFT JOIN outcomes USING (task) GROUP BY task""",
     "decoded_documents": f"""WITH {IDS_SQL}
 SELECT doc_id, md5(string_agg(coalesce(token, '?'), ' ' ORDER BY i)) AS text_md5
 FROM id_rows JOIN sized USING (doc_id) LEFT JOIN vocab ON id = token_id WHERE i < n_tokens - 1 GROUP BY doc_id""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import corpus as C
 from weftline.operators.prefix import RANGE, range_cuts, with_range
+from weftline.operators.results import TASKS
 from weftline.plans import corpus as CP
 from weftline.plans import telemetry as TP
 from weftline.plans.corpus import describe_blocks, documents
@@ -17,8 +18,6 @@ from weftline.streaming import packing as P
 from weftline.streaming import pending as N
 from weftline.streaming import telemetry as T
 
-TASKS = ("lambada", "niah")
-
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
@@ -72,14 +71,15 @@ def stream_emit(spark, sf_dir):
 
 
 def stream_pending(spark, sf_dir):
-    """Runs for which the streamed reports do not yet cover both tasks."""
+    """Model-and-user pairs for which the streamed reports do not cover all five tasks; purchases have their input."""
     out = fresh_path(spark, "stream-pending")
-    events = table(spark, sf_dir, "events")
-    reports = as_answers(stream_of(spark, sf_dir, "events")).where("correct AND k < 10").select("user_id", "task")
+    tag = F.concat_ws("_", "model", F.col("user_id").cast("string")).alias("tag")
+    rows = as_answers(table(spark, sf_dir, "events"))
+    reports = as_answers(stream_of(spark, sf_dir, "events")).select(tag, "task")
     N.stream_finished(reports, f"{out}/reports", f"{out}/checkpoint").awaitTermination()
-    plan = events.select("user_id").distinct()
-    available = events.where("event_type = 'purchase'").select("user_id").distinct()
-    return N.remaining_plan(plan, N.collected(spark, f"{out}/reports"), available, "user_id", TASKS)
+    plan = rows.select(tag).distinct()
+    available = rows.where("model = 'purchase'").select(tag).distinct()
+    return N.remaining_plan(plan, N.collected(spark, f"{out}/reports"), available, "tag", TASKS)
 
 
 QUERIES = {
@@ -98,10 +98,8 @@ SELECT run, restart, sum(tokens)::BIGINT AS tokens, round((max(at_us) - min(at_u
        round(sum(tokens) / greatest((max(at_us) - min(at_us)) / 1e6, 1e-6), 4) AS tokens_per_second
 FROM t GROUP BY ALL""",
     "stream_emit": "SELECT user_id % 8 AS run, event_id AS step, value AS loss FROM events WHERE event_id % 10 = 0",
-    "stream_pending": """WITH k AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
-reports AS (SELECT DISTINCT user_id, k % 5 AS task FROM k WHERE value > 30 AND k < 10 AND k % 5 IN (0, 1)),
-done AS (SELECT user_id FROM reports GROUP BY user_id HAVING count(*) = 2),
-ready AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
-SELECT DISTINCT user_id, CASE WHEN user_id IN (SELECT user_id FROM ready) THEN 'runnable' ELSE 'missing' END AS state
-FROM events WHERE user_id NOT IN (SELECT user_id FROM done)""",
+    "stream_pending": """
+WITH tags AS (SELECT event_type || '_' || user_id AS tag, event_type, json_extract_string(props, '$.k')::BIGINT % 5 AS task FROM events)
+SELECT tag, CASE WHEN any_value(event_type) = 'purchase' THEN 'runnable' ELSE 'missing' END AS state
+FROM tags GROUP BY tag HAVING count(DISTINCT task) < 5""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SEQ_LEN = 128
+SEQ_LEN = 2048
 MICRO_BATCH = 4
 ACCUMULATE = 8
 SHARD_SIZE = 20_000
