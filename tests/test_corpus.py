@@ -32,27 +32,34 @@ def tokens(blocks):
 def test_empty_texts_are_dropped_and_end_marker_is_added(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "a b")], "doc_id long, text string")
     vocab = C.vocabulary(docs)
-    assert [(r.token, r.token_id) for r in vocab.orderBy("token_id").collect()] == [("a", 2), ("b", 3)]
+    assert [(r.token, r.token_id) for r in vocab.orderBy("token_id").collect()] == [("a", C.RESERVED), ("b", C.RESERVED + 1)]
     got = {r.doc_id: r.ids for r in C.encoded_corpus(docs, C.native_encoder(vocab)).collect()}
-    assert got == {3: [0], 4: [2, 3, 0]}
+    assert got == {3: [0], 4: [C.RESERVED, C.RESERVED + 1, 0]}
     assert C.corpus_totals(docs).first().asDict() == {"n_docs": 2, "n_tokens": 4}
 
 
-def test_unknown_tokens_and_vocabulary_cap(spark):
-    docs = spark.createDataFrame([(1, "a a b b c")], "doc_id long, text string")
-    encode = C.native_encoder(C.vocabulary(docs, size=4), size=4)
-    assert C.encoded_corpus(docs, encode).first().ids == [2, 2, 3, 3, 1, 0]
+def test_words_outside_the_vocabulary_are_spelled_out(spark):
+    docs = spark.createDataFrame([(1, "a a b b é"), (2, " "), (3, "xyz a")], "doc_id long, text string")
+    size = C.RESERVED + 2
+    vocab = C.vocabulary(docs, size)
+    encode = C.native_encoder(vocab, size)
+    a, b = C.RESERVED, C.RESERVED + 1
+    spelled = [C.SPELLED_ID, *[x + C.FIRST_BYTE_ID for x in "é".encode()]]
+    corpus = C.encoded_corpus(docs, encode)
+    got = {r.doc_id: r.ids for r in corpus.collect()}
+    assert got == {1: [a, a, b, b, *spelled, 0], 2: [0], 3: [C.SPELLED_ID, *[x + C.FIRST_BYTE_ID for x in b"xyz"], a, 0]}
+    assert C.corpus_totals(docs, encode).first().asDict() == {"n_docs": 3, "n_tokens": sum(map(len, got.values()))}
+    rows = spark.createDataFrame([(d, i, t) for d, ids in got.items() for i, t in enumerate(ids[:-1])], "doc_id long, pos int, token_id int")
+    assert {r.doc_id: r.text for r in C.decode(rows, vocab, "doc_id", "pos").collect()} == {1: "a a b b é", 3: "xyz a"}
     with pytest.raises(ValueError):
         C.native_encoder(C.vocabulary(docs), size=70_000)
 
 
-@pytest.mark.parametrize("size", [3, 4, 5, 6, 7, 50])
-def test_thinned_vocabulary_is_the_same(spark, monkeypatch, size):
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 50])
+def test_vocabulary_is_the_most_frequent(spark, size):
     docs = spark.createDataFrame([(1, "a a a b b c c d e")], "doc_id long, text string")
-    plain = C.vocabulary(docs, size).orderBy("token_id").collect()
-    monkeypatch.setattr(C, "MOST_MERGED_ROWS", 0)
-    assert C.vocabulary(docs, size).orderBy("token_id").collect() == plain
-    assert len(plain) == min(size - 2, 5)
+    got = C.vocabulary(docs, C.RESERVED + size).orderBy("token_id").collect()
+    assert [(r.token, r.n) for r in got] == [("a", 3), ("b", 2), ("c", 2), ("d", 1), ("e", 1)][:size]
 
 
 def test_custom_encoder_without_end_marker(spark):
@@ -62,8 +69,8 @@ def test_custom_encoder_without_end_marker(spark):
 
 
 def test_decode(spark):
-    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, token_id int")
-    rows = spark.createDataFrame([(1, 1, 3), (1, 0, 2), (1, 2, 9)], "case_id long, pos int, token_id int")
+    vocab = spark.createDataFrame([("a", 300), ("b", 301)], "token string, token_id int")
+    rows = spark.createDataFrame([(1, 1, 301), (1, 0, 300), (1, 2, 999)], "case_id long, pos int, token_id int")
     assert C.decode(rows, vocab, "case_id", "pos").first().text == "a b ?"
 
 

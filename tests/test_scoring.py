@@ -1,6 +1,7 @@
 """Request building and score folding on tiny inputs with known answers."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import bigrams as G

@@ -6,6 +6,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,13 +19,13 @@ from weftline.operators.prefix import RANGE, range_cuts, running_total, with_ran
 from weftline.session import stage
 
 END_ID = 0
-UNKNOWN_ID = 1
-RESERVED = 2
+#: Stands before a word that is spelled out, and the id of byte 0 in such a word.
+SPELLED_ID = 1
+FIRST_BYTE_ID = 2
+RESERVED = FIRST_BYTE_ID + 256
 # Fixed value: vocabulary size of the published token shards; ids must fit 16 bits.
 VOCABULARY_SIZE = 50_277
 LARGEST_ID = 65_535
-# A top-k sends up to k rows per task to the task that merges them; beyond this many, thin them first.
-MOST_MERGED_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -44,20 +45,21 @@ def present_documents(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").where(T.is_present(F.col("text")))
 
 
-def counted_documents(documents: DataFrame) -> DataFrame:
-    """Present documents with ``n_tokens``, the end marker included."""
-    return present_documents(documents).withColumn("n_tokens", T.word_count(F.col("text")) + 1)
+def counted_documents(documents: DataFrame, encode: Encoder | None = None) -> DataFrame:
+    """Present documents with ``n_tokens``, the end marker included: ids of ``encode``, or else native words."""
+    size = T.word_count(F.col("text")) + 1 if encode is None else F.size(encode.closed(F.col("text"))).cast("bigint")
+    return present_documents(documents).withColumn("n_tokens", size)
 
 
-def corpus_totals(documents: DataFrame) -> DataFrame:
-    return counted_documents(documents).agg(
+def corpus_totals(documents: DataFrame, encode: Encoder | None = None) -> DataFrame:
+    return counted_documents(documents, encode).agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
     )
 
 
-def total_tokens(documents: DataFrame) -> int:
-    return corpus_totals(documents).first()["n_tokens"]
+def total_tokens(documents: DataFrame, encode: Encoder | None = None) -> int:
+    return corpus_totals(documents, encode).first()["n_tokens"]
 
 
 def tokens_in(sized: DataFrame) -> int:
@@ -82,22 +84,40 @@ def vocabulary(documents: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:
 
 
 def _most_frequent(counts: DataFrame, k: int) -> DataFrame:
-    """The ``k`` rows with the highest ``n``, ties in token order."""
-    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if tasks * k > MOST_MERGED_ROWS:
-        # Find the count at which k rows are reached and drop all rows below it. There are few
-        # different counts: at most the square root of twice the number of tokens.
-        counts = stage(counts, "token-counts")
-        per_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-        reached = F.sum("m").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
-        least = per_count.withColumn("reached", reached).where(F.col("reached") >= k).agg(F.max("n")).first()[0]
-        counts = counts.where(F.col("n") >= (least or 0))
+    """The ``k`` rows with the highest ``n``, ties in token order.
+
+    A top-k alone would send ``k`` rows per task to the task that merges them. So the count at which ``k``
+    rows are reached is found first, and all rows below it are dropped. There are few different counts: at
+    most the square root of twice the number of tokens.
+    """
+    counts = stage(counts, "token-counts")
+    per_count = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
+    reached = F.sum("m").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    least = per_count.withColumn("reached", reached).where(F.col("reached") >= k).agg(F.max("n")).first()[0]
+    counts = counts.where(F.col("n") >= (least or 0))
     return counts.orderBy(F.desc("n"), "token").limit(k)
 
 
+def spelled_ids(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of ``tokens`` in a row, and how many each token has."""
+    known = pc.fill_null(pc.index_in(tokens, value_set=words), -1).to_numpy(zero_copy_only=False)
+    n_bytes = pc.binary_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    spelled = known < 0
+    n = np.where(spelled, n_bytes + 1, 1)
+    start = np.cumsum(n) - n
+    ids = np.empty(int(n.sum()), np.int32)
+    ids[start[~spelled]] = known[~spelled] + RESERVED
+    ids[start[spelled]] = SPELLED_ID
+    m = n_bytes[spelled]
+    raw = np.frombuffer("".join(tokens.filter(pa.array(spelled)).to_pylist()).encode(), np.uint8)
+    ids[np.repeat(start[spelled] + 1 - (np.cumsum(m) - m), m) + np.arange(len(raw))] = raw.astype(np.int32) + FIRST_BYTE_ID
+    return ids, n
+
+
 def native_encoder(vocab: DataFrame, size: int = VOCABULARY_SIZE) -> Encoder:
-    """Encoder over the native tokens.
+    """Encoder over the native tokens that loses none.
 
+    A word outside the vocabulary is spelled out: ``SPELLED_ID``, then one id for each of its UTF-8 bytes.
     The vocabulary has at most ``size`` rows, so it travels with the function. Splitting stays in
     the JVM; the lookup is one vectorised hash lookup per Arrow batch.
     """
@@ -107,13 +127,14 @@ def native_encoder(vocab: DataFrame, size: int = VOCABULARY_SIZE) -> Encoder:
     if len(listed) > size:
         raise ValueError(f"vocabulary has {len(listed)} rows, more than {size}")
 
+    words = pa.array(listed, pa.string())
+
     @F.arrow_udf("array<int>")
     def lookup(tokens: pa.Array) -> pa.Array:
-        known = pc.index_in(tokens.flatten(), value_set=pa.array(listed, pa.string()))
-        ids = pc.fill_null(pc.add(known, pa.scalar(RESERVED, pa.int32())), UNKNOWN_ID)
+        ids, n = spelled_ids(tokens.flatten(), words)
         sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-        ends = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
-        return pa.ListArray.from_arrays(ends, ids.cast(pa.int32()))
+        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes, dtype=np.int64))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
     return Encoder(lambda text: lookup(T.words(text)))
 
@@ -129,19 +150,30 @@ def custom_encoder(tokenize: Callable[[str], Iterable[int]], end_id: int | None)
 
 
 def decode(token_rows: DataFrame, vocab: DataFrame, group: str, order: str) -> DataFrame:
-    """Ids back to text, one row per ``group``: tokens joined by a space in ``order``."""
+    """Ids back to text, one row per ``group``: words joined by a space in ``order``; ids that stand for nothing give ``?``.
+
+    Each id becomes the hex form of what it adds to the text, so that spelled words join byte by byte.
+    """
     named = token_rows.join(vocab.select("token", "token_id"), "token_id", "left")
-    pieces = F.sort_array(F.collect_list(F.struct(order, "token")))
-    return named.groupBy(group).agg(F.array_join(F.transform(pieces, lambda p: p["token"]), " ", "?").alias("text"))
+    token_id = F.col("token_id")
+    piece = (
+        F.when(F.col("token").isNotNull(), F.hex(F.concat(F.lit(" "), "token")))
+        .when(token_id == SPELLED_ID, F.hex(F.lit(" ")))
+        .when(token_id.between(FIRST_BYTE_ID, RESERVED - 1), F.lpad(F.hex(token_id - FIRST_BYTE_ID), 2, "0"))
+        .otherwise(F.hex(F.lit(" ?")))
+    )
+    pieces = F.sort_array(F.collect_list(F.struct(order, piece.alias("piece"))))
+    joined = F.unhex(F.array_join(F.transform(pieces, lambda p: p["piece"]), ""))
+    return named.groupBy(group).agg(F.ltrim(F.make_valid_utf8(joined.cast("string"))).alias("text"))
 
 
-def token_offsets(documents: DataFrame) -> DataFrame:
+def token_offsets(documents: DataFrame, encode: Encoder | None = None) -> DataFrame:
     """``(doc_id, start, n_tokens)``: where each document begins in the global token stream.
 
     The counts are written once (two numbers per document), so the text is read a single time
     although totals and positions both need them.
     """
-    counted = stage(counted_documents(documents).select("doc_id", "n_tokens"), "sizes")
+    counted = stage(counted_documents(documents, encode).select("doc_id", "n_tokens"), "sizes")
     return running_total(counted, "doc_id", "n_tokens", "start", cuts=range_cuts(counted, "doc_id"))
 
 

@@ -17,8 +17,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def encoder(docs: DataFrame) -> C.Encoder:
+    return C.native_encoder(C.vocabulary(docs))
+
+
 def encoded(docs: DataFrame) -> DataFrame:
-    return C.encoded_corpus(docs, C.native_encoder(C.vocabulary(docs)))
+    return C.encoded_corpus(docs, encoder(docs))
+
+
+def offsets_of(docs: DataFrame) -> DataFrame:
+    return C.token_offsets(docs, encoder(docs))
 
 
 def encoded_spans(docs: DataFrame) -> DataFrame:
@@ -42,11 +50,11 @@ def describe_blocks(blocks: DataFrame) -> DataFrame:
 
 def corpus_totals(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return C.corpus_totals(docs).withColumn("n_shards", F.expr(f"(n_tokens + {SHARD_SIZE - 1}) div {SHARD_SIZE}"))
+    return C.corpus_totals(docs, encoder(docs)).withColumn("n_shards", F.expr(f"(n_tokens + {SHARD_SIZE - 1}) div {SHARD_SIZE}"))
 
 
 def token_offsets(spark, sf_dir):
-    return C.token_offsets(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens")
+    return offsets_of(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens")
 
 
 def vocab_ids(spark, sf_dir):
@@ -59,7 +67,7 @@ def encoded_documents(spark, sf_dir):
         "doc_id",
         "n_tokens",
         _digest("ids").alias("ids_md5"),
-        F.size(F.filter("ids", lambda x: x == C.UNKNOWN_ID)).cast("bigint").alias("n_unknown"),
+        F.size(F.filter("ids", lambda x: x == C.SPELLED_ID)).cast("bigint").alias("n_spelled"),
     )
 
 
@@ -68,18 +76,18 @@ def _half_budget(total: int) -> int:
 
 
 def shard_assignment(spark, sf_dir):
-    offsets = C.token_offsets(documents(spark, sf_dir))
+    offsets = offsets_of(documents(spark, sf_dir))
     return S.shard_assignment(offsets, SHARD_SIZE, _half_budget(C.tokens_in(offsets)))
 
 
 def shard_manifest(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    sizes = S.shard_sizes(S.shard_assignment(C.token_offsets(docs), SHARD_SIZE))
+    sizes = S.shard_sizes(S.shard_assignment(offsets_of(docs), SHARD_SIZE))
     return S.shard_offsets(sizes).select("shard_id", "start", "n_tokens", "n_pieces")
 
 
 def manifest_facts(spark, sf_dir):
-    offsets = C.token_offsets(documents(spark, sf_dir))
+    offsets = offsets_of(documents(spark, sf_dir))
     sizes = S.shard_sizes(S.shard_assignment(offsets, SHARD_SIZE, _half_budget(C.tokens_in(offsets))))
     facts = {"vocab_size": C.VOCABULARY_SIZE, "eos_id": C.END_ID, "dataset": "documents", "tokenizer": "native"}
     return S.manifest_row(sizes, **facts).select(
@@ -112,7 +120,7 @@ def range_read(spark, sf_dir):
 def position_shards(spark, sf_dir):
     """Which shard holds each document's first token, for shards of uneven size (one per source)."""
     docs = documents(spark, sf_dir)
-    offsets = C.token_offsets(docs)
+    offsets = offsets_of(docs)
     by_source = offsets.join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
     manifest = S.shard_offsets(
         by_source.select(F.substring("source", 4, 10).cast("bigint").alias("shard_id"), "n_tokens")
@@ -154,13 +162,15 @@ def _num_blocks(total: int) -> int:
 
 
 def epoch_batches(spark, sf_dir):
-    blocks = _num_blocks(C.total_tokens(documents(spark, sf_dir)))
+    docs = documents(spark, sf_dir)
+    blocks = _num_blocks(C.total_tokens(docs, encoder(docs)))
     plan = B.batches(B.shuffled_epochs(spark, blocks, 2, SEED), blocks, MICRO_BATCH)
     return plan.select(*[F.col(c).cast("bigint") for c in ("epoch", "batch_id", "slot", "block_id")])
 
 
 def epoch_repeat(spark, sf_dir):
-    total = C.total_tokens(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    total = C.total_tokens(docs, encoder(docs))
     blocks = _num_blocks(total)
     plan = B.training_schedule(spark, blocks, SEQ_LEN, MICRO_BATCH, ACCUMULATE, total * 5 // 2, SEED)
     columns = ("epoch", "batch_id", "slot", "block_id", "micro_step", "step")
@@ -272,7 +282,7 @@ SELECT count(*) AS n_docs, coalesce(sum(n_tokens), 0)::BIGINT AS n_tokens,
     "token_offsets": f"WITH {TOKENS_SQL} SELECT doc_id, start, n_tokens FROM offsets",
     "vocab_ids": f"WITH {IDS_SQL} SELECT token, token_id, n FROM vocab",
     "encoded_documents": f"""WITH {IDS_SQL}
-SELECT doc_id, count(*) AS n_tokens, md5(list(id ORDER BY i)::VARCHAR) AS ids_md5, count(*) FILTER (WHERE id = 1) AS n_unknown
+SELECT doc_id, count(*) AS n_tokens, md5(list(id ORDER BY i)::VARCHAR) AS ids_md5, count(*) FILTER (WHERE id = 1) AS n_spelled
 FROM id_rows GROUP BY doc_id""",
     "shard_assignment": f"WITH {TOKENS_SQL}, {_KEPT_SQL}, {_ASSIGN_SQL} SELECT * FROM assigned",
     "shard_manifest": f"""WITH {TOKENS_SQL}, kept AS (SELECT t AS k FROM total), {_ASSIGN_SQL},

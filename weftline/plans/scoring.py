@@ -11,7 +11,7 @@ from weftline.operators import scoring as X
 from weftline.operators.bigrams import Bigrams, bigram_scores, fit_bigrams, open_ids
 from weftline.operators.tasks import evaluate
 from weftline.plans.corpus import documents, encoded
-from weftline.plans.tables import IDS_SQL, SEED, table
+from weftline.plans.tables import IDS_SQL, SEED, SPELL_SQL, table
 
 DISTRACTORS = 3
 
@@ -178,7 +178,7 @@ def task_accuracy(spark, sf_dir):
 
 
 def decoded_documents(spark, sf_dir):
-    """Ids back to text through the vocabulary; unknown tokens show as ``?``."""
+    """Ids back to text: every native word of every document."""
     docs = documents(spark, sf_dir)
     vocab = C.vocabulary(docs)
     rows = open_ids(C.encoded_corpus(docs, C.native_encoder(vocab))).select("doc_id", F.posexplode("ids").alias("pos", "token_id"))
@@ -226,11 +226,13 @@ parts{at} AS (
     SELECT request_id, 0 AS part, regexp_extract_all(ctx, {_WORDS}) AS words FROM reqs{at}
     UNION ALL SELECT request_id, 1, regexp_extract_all(cont, {_WORDS}) FROM reqs{at}
 ),
-req_words{at} AS (SELECT request_id, part, unnest(words) AS token, generate_subscripts(words, 1) AS i FROM parts{at}),
+req_words{at} AS (SELECT request_id, part, unnest(words) AS token, generate_subscripts(words, 1) AS w FROM parts{at}),
+req_spelled{at} AS (SELECT request_id, part, w, {SPELL_SQL} AS ids FROM req_words{at} LEFT JOIN vocab USING (token)),
+req_rows{at} AS (SELECT request_id, part, w, unnest(ids) AS id, generate_subscripts(ids, 1) AS b FROM req_spelled{at}),
 req_ids{at} AS (
-    SELECT request_id, part, i, coalesce(token_id, 1) AS id,
-           row_number() OVER (PARTITION BY request_id ORDER BY part, i) AS p, count(*) OVER (PARTITION BY request_id) AS n_all
-    FROM req_words{at} LEFT JOIN vocab USING (token)
+    SELECT request_id, part, id, row_number() OVER (PARTITION BY request_id, part ORDER BY w, b) AS i,
+           row_number() OVER (PARTITION BY request_id ORDER BY part, w, b) AS p, count(*) OVER (PARTITION BY request_id) AS n_all
+    FROM req_rows{at}
 ),
 kept_ids{at} AS (SELECT * FROM req_ids{at} {window}),
 targets{at} AS (SELECT request_id, part, i, id AS token, lag(id) OVER (PARTITION BY request_id ORDER BY p) AS prev FROM kept_ids{at}),
@@ -248,7 +250,10 @@ def _fold(at: str = "") -> str:
 folded{at} AS (
     SELECT r.request_id, coalesce(sum(logprob), 0) AS ll, coalesce(bool_and(best = token), true) AS is_greedy,
            count(logprob) AS n_scored, any_value(ne) AS n_expected
-    FROM (SELECT request_id, len(regexp_extract_all(cont, {_WORDS}))::BIGINT AS ne FROM reqs{at}) r
+    FROM (
+        SELECT request_id, count(id) AS ne FROM reqs{at} LEFT JOIN (SELECT request_id, id FROM req_ids{at} WHERE part = 1) USING (request_id)
+        GROUP BY request_id
+    ) r
     LEFT JOIN (SELECT * FROM scored{at} WHERE part = 1) s USING (request_id)
     GROUP BY r.request_id
 )"""
@@ -389,6 +394,5 @@ SELECT task, count(ok) AS total, coalesce(sum(ok::INT), 0)::BIGINT AS n_correct,
        round(coalesce(sum(ok::INT), 0) / greatest(count(ok), 1), 6)::DOUBLE AS accuracy
 FROM (VALUES ('lambada'), ('arc_easy'), ('winogrande'), ('hellaswag')) AS listed(task) LEFT JOIN outcomes USING (task) GROUP BY task""",
     "decoded_documents": f"""WITH {IDS_SQL}
-SELECT doc_id, md5(string_agg(coalesce(token, '?'), ' ' ORDER BY i)) AS text_md5
-FROM id_rows JOIN sized USING (doc_id) LEFT JOIN vocab ON id = token_id WHERE i < n_tokens - 1 GROUP BY doc_id""",
+SELECT doc_id, md5(array_to_string(words, ' ')) AS text_md5 FROM tokens WHERE len(words) > 0""",
 }
