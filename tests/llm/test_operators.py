@@ -128,6 +128,21 @@ def test_quality_rejects_noise_and_adds_blocks(spark, monkeypatch):
     assert quality.classify(docs, labels.limit(0)).where("rejected").count() == 0
 
 
+def test_quality_limit_is_a_quantile_of_held_out_text(spark):
+    rng = random.Random(8)
+    lexicon = [words(rng, 1) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(lexicon, [1 / (k + 1) for k in range(400)], k=rng.randrange(10, 120))), "en") for i in range(1500)]
+    rows += [(1500 + k, " ".join([lexicon[-k - 1]] * 60), "en") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1500)], "doc_id bigint, quality int, toxic int")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD_OUT)) == 0
+    got = quality.classify(docs, labels).withColumn("held", fold & (F.col("doc_id") < 1500)).collect()
+    held = sorted(r.score for r in got if r.held)
+    assert len(held) > 200 and {r.threshold for r in got} == {held[int(np.ceil(quality.HIGH * len(held))) - 1]}
+    assert sum(r.rejected for r in got if r.doc_id < 1500) <= 0.01 * 1500
+    assert sum(r.rejected for r in got if r.doc_id >= 1500) >= 30  # a repeated rare word
+
+
 def test_model_probabilities_add_up(spark):
     model = quality.train(spark.createDataFrame([("abracadabra abba",), ("cab",)], "text string"))
     block = quality.Block(model.toArrow(), 0, 1)

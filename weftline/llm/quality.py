@@ -7,8 +7,10 @@ by its contexts into blocks of at most ``BLOCK_ROWS`` rows, so a position of a t
 sent to the tasks one after the other and a document's sums over blocks are added up.
 
 A document's score is its mean surprise in nats a byte, drawn towards its language's mean as ``SHRINK`` bytes of
-average text would. Held-out trusted documents set each language's threshold from two of their quantiles. Null and
-empty texts score the mean and stay. Languages (null is one) without held-out documents take the overall threshold.
+average text would. Each language's threshold is the ``HIGH`` quantile of its held-out trusted scores. Where they are too few
+to have one below their maximum, it is that maximum, or what ``HIGH`` of further scores of their mean and spread stay below if
+that is more. Null and empty texts score the mean and stay. Languages (null is one) with fewer than two held-out documents
+take the overall threshold.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ ORDER = 5
 HELD_OUT = 5
 BLOCK_ROWS = 3_000_000
 SHRINK = 100
-#: The threshold is the high quantile plus ``REACH`` times its distance from the middle one.
-MIDDLE, HIGH, REACH = 0.5, 0.95, 5.0
+#: The quantile of held-out trusted scores that is a language's threshold, and the same of a normal distribution.
+HIGH, NORMAL_HIGH = 0.995, 2.5758
 
 _MASK = [(1 << (8 * k)) - 1 for k in range(ORDER + 1)]
 
@@ -182,8 +184,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return (F.col("total") + SHRINK * mean) / (F.col("n") + SHRINK)
 
     def limit(score: Column) -> Column:
-        q = F.percentile_approx(score, [MIDDLE, HIGH], 10_000)
-        return q[1] + REACH * (q[1] - q[0])
+        n, z = F.count(score), NORMAL_HIGH
+        free = n - 1
+        student = z + (z**3 + z) / (4 * free) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * free * free)
+        further = F.avg(score) + student * F.stddev_samp(score) * F.sqrt(1 + 1 / n)
+        few = F.when(n > 1, F.greatest(F.max(score), further))
+        return F.when(n * (1 - HIGH) >= 1, F.percentile_approx(score, HIGH, 10_000)).otherwise(few)
 
     own = held.join(own, F.col("lang").eqNullSafe(F.col("of"))).select("of", "mean", drawn(F.col("mean")).alias("score"))
     own = own.groupBy("of").agg(F.first("mean").alias("mean"), limit(F.col("score")).alias("threshold"))
