@@ -253,6 +253,28 @@ def test_html(spark):
     assert {tuple(r) for r in extract(rows).collect()} == {(1, "u", want, len(want)), (2, None, "", 0)}
 
 
+PROSE = "the text of it is that which they had in the house and for this we are not on it " * 3
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "layout-sidebar", "search-results", "related-work", "notice", "widget"])
+def test_html_names_around_the_article(name):
+    side = "<div class='ad'>buy this and that of the day</div>"
+    for inner in (f"<article><h1>Head</h1><p>{PROSE}</p></article>", f"<div><p>{PROSE}</p></div>"):
+        got = main_text(f"<html lang=en><body>{side}<div class='{name}'>{inner}</div></body></html>")
+        assert PROSE.strip() in got and "buy" not in got
+    parts = "".join(f"<div class='elementor-widget-text'><p>{PROSE}{k}</p></div>" for k in range(4))
+    assert main_text(f"<html lang=en><body>{parts}").count("house") == 12
+    assert main_text(f"<html lang=en><body><form><p>{PROSE}</p></form>") == PROSE.strip()
+    comments = f"<div id=comments><article><p>{PROSE}</p></article></div>"
+    assert main_text(f"<html lang=en><body><article><p>{PROSE * 2}</p></article>{comments}") == (PROSE * 2).strip()
+
+
+@pytest.mark.parametrize("start", ["<body>", ""])
+def test_html_open_head(start):
+    page = f"<html lang=en><head><title>t</title><meta charset=utf-8><style>p{{}}</style>{start}<article><p>{PROSE}</p></article></html>"
+    assert main_text(page) == PROSE.strip()
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert substring_dedup.remove_repeats(none).count() == minhash.near_duplicates(none).count() == mix(none).count() == 0

@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
-Pass 1 looks at each block alone. Menus, headers outside the article, footers, sidebars, notices, adverts, forms and comments (by element,
-role, class or id) are bad, as is a block that is mostly links. In a page with an article or main element, only what lies in it can be
+Pass 1 looks at each block alone. Menus, headers outside the article, footers, sidebars, notices, adverts, forms and comments (by element
+or role, or by a class or id that is a telling name) are bad, as is a block that is mostly links. A name that only contains a telling
+part speaks against short blocks alone. Names and forms do not count around the page's article or around most of its text. In a page with an article or main element, only what lies in it can be
 good: a block of ``SHORT`` characters or more is, a shorter one stays open. In other pages stop-word density decides with
 length: many stop words make a long block good and a shorter one open, few make it bad, a short block without links stays open.
 
@@ -40,38 +41,50 @@ BLOCKS = frozenset(
     "address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
 SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select option button textarea".split())
-ASIDE = frozenset("nav footer aside form dialog menu".split())
+#: What may stand in a head; anything else, text too, ends it.
+HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
+ASIDE = frozenset("nav footer aside dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OPEN_ENDED = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "option": frozenset({"option"})}
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|popup|modal|overlay"
-    r"|nav\w*|menus?|breadcrumbs?|sidebar|widgets?|related|recommend\w*|share|sharing|social|footer|masthead|toolbar|pagination|login|signup|search)(?:$|[\s_-])",
-    re.I,
+_NAMES = (
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|popup|modal|overlay"
+    r"|nav\w*|menus?|breadcrumbs?|sidebar|widgets?|related|recommend\w*|share|sharing|social|footer|masthead|toolbar|pagination|login|signup|search)"
 )
+_WHOLE = re.compile(_NAMES, re.I)
+_PART = re.compile(rf"(?:^|[_-]){_NAMES}(?:$|[_-])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
 
 class _Blocks(HTMLParser):
-    """Blocks of a page in order: (text, characters in links, whether set aside, number of the article it lies in)."""
+    """Blocks of a page in order: (text, characters in links, whether set aside, number of the article it lies in).
+
+    A telling name or a form is a hint until the page's end, when it is known what text its element holds.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # element, silent, aside, article
+        self.stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # element, silent, aside, article, hints
+        self.under: list[tuple[int, ...]] = []  # the hints around each block
+        self.whole: list[bool] = []  # of each hint: a whole name or a form, not a part of a name
+        self.holds: set[int] = set()  # hints with an article in them
         self.text: list[str] = []
         self.linked = self.links = self.articles = 0
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0)
+    def _state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, ())
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, aside, article = self._state()
+            _, aside, article, hints = self._state()
             self.blocks.append((text, self.linked, aside, article))
+            self.under.append(hints)
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in HEAD_ONLY):
+            self.handle_endtag("head")
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.text.append(" ")
@@ -84,17 +97,21 @@ class _Blocks(HTMLParser):
             self._flush()
         elif tag in ("td", "th"):
             self.text.append(" ")
-        silent, aside, article = self._state()
+        silent, aside, article, hints = self._state()
         given = dict(attrs)
-        hint = f"{given.get('class') or ''} {given.get('id') or ''}"
         if tag in ("article", "main"):
+            self.holds.update(hints)
             if not article and not aside:
                 self.articles += 1
                 article = self.articles
         elif tag not in ("html", "body"):
             aside = aside or tag in ASIDE or (tag == "header" and not article) or (given.get("role") or "").lower() in _ROLES or "hidden" in given
-            aside = aside or bool(len(hint) > 1 and _HINT.search(hint))
-        self.stack.append((tag, silent or tag in SILENT, aside, article))
+            names = f"{given.get('class') or ''} {given.get('id') or ''}".split()
+            whole = tag == "form" or any(_WHOLE.fullmatch(name) for name in names)
+            if whole or any(_PART.search(name) for name in names):
+                hints = (*hints, len(self.whole))
+                self.whole.append(whole)
+        self.stack.append((tag, silent or tag in SILENT, aside, article, hints))
         self.links += tag == "a"
 
     def handle_endtag(self, tag):
@@ -107,6 +124,8 @@ class _Blocks(HTMLParser):
         del self.stack[depth:]
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.handle_endtag("head")
         if not self._state()[0]:
             self.text.append(data)
             if self.links:
@@ -115,11 +134,32 @@ class _Blocks(HTMLParser):
     def finish(self) -> list[tuple[str, int, bool, int]]:
         self.close()
         self._flush()
-        return self.blocks
+        if not self.whole:
+            return self.blocks
+        size = [0 if aside or _linked(text, linked) or len(text) < SHORT else len(text) for text, linked, aside, _ in self.blocks]
+        mine, inside = [0] * len(self.whole), [0] * len(self.whole)
+        for (_, _, _, article), n, hints in zip(self.blocks, size, self.under, strict=True):
+            for h in hints:
+                mine[h] += n
+                inside[h] += n if article else 0
+        articles = sum(n for block, n in zip(self.blocks, size, strict=True) if block[3])
+        # a hint means nothing around the page's article, or around most of its text where no article of some length is elsewhere
+        kept = [
+            not ((h in self.holds and articles - inside[h] <= mine[h]) or (2 * mine[h] > sum(size) and articles - inside[h] < LONG))
+            for h in range(len(self.whole))
+        ]
+        return [
+            (text, linked, aside or any(kept[h] and (self.whole[h] or len(text) < SHORT) for h in hints), article)
+            for (text, linked, aside, article), hints in zip(self.blocks, self.under, strict=True)
+        ]
+
+
+def _linked(text: str, linked: int) -> bool:
+    return linked > LINKS * len(text.replace(" ", ""))
 
 
 def _first_pass(text: str, linked: int, aside: bool, article: int, any_article: bool, stop: frozenset) -> str:
-    if aside or linked > LINKS * len(text.replace(" ", "")):
+    if aside or _linked(text, linked):
         return "bad"
     if any_article:
         return "bad" if not article else "good" if len(text) >= SHORT else "open"
