@@ -269,6 +269,19 @@ def test_html_names_around_the_article(name):
     assert main_text(f"<html lang=en><body><article><p>{PROSE * 2}</p></article>{comments}") == (PROSE * 2).strip()
 
 
+def test_html_classifies_blocks_on_every_page():
+    teaser = "<article><h2>More</h2><p>Read also what they had to say in the other piece of the week, out now.</p></article>"
+    body = "".join(f"<div>{PROSE}{k}</div>" for k in range(3))
+    assert main_text(f"<html lang=en><body>{body}{teaser}").count("house") == 9
+    assert main_text(f"<html lang=en><body><article><p>{PROSE}</p></article><div>Acme Widget Bolt Screw " + "Nail Hammer " * 30 + "</div>") == PROSE.strip()
+    foreign = "Det var en gang en konge som hadde tre sønner, og de bodde alle sammen i et lite slott ved sjøen langt mot nord. " * 3
+    for lang in ("lang=nb", ""):
+        got = main_text(f"<html {lang}><body><nav>Meny</nav><div>{foreign}</div><div>{foreign}</div><footer>Slutt</footer>")
+        assert got == f"{foreign.strip()}\n{foreign.strip()}"
+    linked = f"<html lang=en><body><div>{PROSE}</div><p>And so it goes, says <a href=x>he</a>.</p><div>{PROSE}</div>"
+    assert "so it goes" in main_text(linked)
+
+
 @pytest.mark.parametrize("start", ["<body>", ""])
 def test_html_open_head(start):
     page = f"<html lang=en><head><title>t</title><meta charset=utf-8><style>p{{}}</style>{start}<article><p>{PROSE}</p></article></html>"

@@ -2,13 +2,15 @@
 
 Pass 1 looks at each block alone. Menus, headers outside the article, footers, sidebars, notices, adverts, forms and comments (by element
 or role, or by a class or id that is a telling name) are bad, as is a block that is mostly links. A name that only contains a telling
-part speaks against short blocks alone. Names and forms do not count around the page's article or around most of its text. In a page with an article or main element, only what lies in it can be
-good: a block of ``SHORT`` characters or more is, a shorter one stays open. In other pages stop-word density decides with
-length: many stop words make a long block good and a shorter one open, few make it bad, a short block without links stays open.
+part speaks against short blocks alone. Names and forms do not count around the page's article or around most of its text. Stop-word density decides with length,
+and lying in an article or main element is a weight: there, some stop words make a block of ``SHORT`` characters good and few leave
+it open; elsewhere many make a long block good, some leave it open and few make it bad. Shorter blocks stay open, with
+some links too. Where the page is in none of the stop words' languages, length decides alone. Articles that hold less than half
+of the page's text are teasers and weigh nothing.
 
 Pass 2 gives open blocks the label of their nearest decided neighbours: good when the nearer one is (either, at equal
-distance). Within an article only the article's own blocks count, and with none decided an open block is good. Outside, an
-open block without decided neighbours is good if it has stop words.
+distance). Only blocks of the same article, or outside any, count. With none decided an open block is good in an article, and on
+a page without articles if it has stop words.
 
 Null and empty pages give empty text. Character references are decoded, white space becomes one blank, and blocks are
 joined by a line break. Each row is read alone, so equal rows give equal texts; extra columns are not read.
@@ -17,6 +19,7 @@ joined by a line break. Each row is read alone, so equal rows give equal texts;
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -26,6 +29,8 @@ from weftline.llm import common
 
 SHORT, LONG = 70, 200
 LINKS, LOW, HIGH = 0.5, 0.2, 0.3
+#: A page with fewer stop words is in none of their languages, whatever it says; one that says nothing, with fewer than ``LOW``.
+NONE = 0.05
 
 #: Frequent words of four languages. Fixed values.
 STOP_WORDS = {
@@ -145,7 +150,7 @@ class _Blocks(HTMLParser):
         articles = sum(n for block, n in zip(self.blocks, size, strict=True) if block[3])
         # a hint means nothing around the page's article, or around most of its text where no article of some length is elsewhere
         kept = [
-            not ((h in self.holds and articles - inside[h] <= mine[h]) or (2 * mine[h] > sum(size) and articles - inside[h] < LONG))
+            not ((h in self.holds and articles - inside[h] <= mine[h]) or (mine[h] >= LONG and 2 * mine[h] > sum(size) and articles - inside[h] < LONG))
             for h in range(len(self.whole))
         ]
         return [
@@ -158,18 +163,24 @@ def _linked(text: str, linked: int) -> bool:
     return linked > LINKS * len(text.replace(" ", ""))
 
 
-def _first_pass(text: str, linked: int, aside: bool, article: int, any_article: bool, stop: frozenset) -> str:
+def _density(text: str, stop: frozenset) -> float:
+    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+    return sum(w in stop for w in words) / len(words)
+
+
+def _first_pass(text: str, linked: int, aside: bool, article: int, stop: frozenset | None) -> str:
     if aside or _linked(text, linked):
         return "bad"
-    if any_article:
-        return "bad" if not article else "good" if len(text) >= SHORT else "open"
-    words = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
-    density = sum(w in stop for w in words) / len(words)
     if len(text) < SHORT:
-        return "bad" if linked else "open"
+        return "open"
+    if stop is None:
+        return "good" if article or len(text) >= LONG else "open"
+    density = _density(text, stop)
     if density >= HIGH:
-        return "good" if len(text) >= LONG else "open"
-    return "open" if density >= LOW else "bad"
+        return "good" if article or len(text) >= LONG else "open"
+    if density >= LOW:
+        return "good" if article else "open"
+    return "open" if article else "bad"
 
 
 def main_text(html: str | None, lang: str | None = None) -> str:
@@ -180,25 +191,40 @@ def main_text(html: str | None, lang: str | None = None) -> str:
     parser.feed(html)
     blocks = parser.finish()
     said = re.search(r"<html[^>]*\blang=[\"']?([A-Za-z]{2})", html[:2000], re.I)  # the element itself, wherever its start stands
-    stop = _WORDS.get((said[1] if said else lang or "").lower(), _EVERY)
-    label = [_first_pass(*block, parser.articles > 0, stop) for block in blocks]
-    decided = [i for i, x in enumerate(label) if x != "open" and not (parser.articles and not blocks[i][3])]
-    out, k = [], 0
-    for i, block in enumerate(blocks):
+    name = (said[1] if said else lang or "").lower()
+    stop = _WORDS.get(name, _EVERY)
+    prose = [b for b in blocks if not b[2] and not _linked(b[0], b[1]) and len(b[0]) >= SHORT]
+    listed = not name or name in _WORDS
+    inside = sum(len(b[0]) for b in blocks if b[3] and not b[2] and not _linked(b[0], b[1]))
+    outside = sum(len(b[0]) for b in prose if not b[3] and (not listed or _density(b[0], stop) >= LOW))
+    if outside >= LONG and outside > inside:
+        blocks = [(*b[:3], 0) for b in blocks]  # most of the text is elsewhere: its articles are teasers
+    has_article = any(b[3] for b in blocks)
+    foreign = not listed or (prose and _density(" ".join(b[0] for b in prose), stop) < (NONE if name else LOW))
+    known = None if foreign else stop
+    label = [_first_pass(*block, known) for block in blocks]
+    decided: dict[int, list[int]] = {}
+    for i, x in enumerate(label):
+        if x != "open":
+            decided.setdefault(blocks[i][3], []).append(i)
+    out = []
+    for i, (text, _, _, article) in enumerate(blocks):
         verdict = label[i]
         if verdict == "open":
-            while k < len(decided) and decided[k] < i:
-                k += 1
-            near = [d for d in decided[max(k - 1, 0) : k + 1] if not parser.articles or blocks[d][3] == block[3]]
+            mine = decided.get(article, [])
+            k = bisect_left(mine, i)
+            near = mine[max(k - 1, 0) : k + 1]
             least = min((abs(d - i) for d in near), default=0)
             labels = {label[d] for d in near if abs(d - i) == least}
             if not near:
-                labels = {"good"} if parser.articles or any(w.lower().strip(".,") in stop for w in block[0].split()) else {"bad"}
-            elif parser.articles and labels == {"bad"} and any(label[d] == "good" for d in near):
+                labels = {"good"} if article or (not has_article and any(w.lower().strip(".,") in stop for w in text.split())) else {"bad"}
+            elif article and labels == {"bad"} and any(label[d] == "good" for d in near):
                 labels = {"good"}  # inside an article text on either side outweighs a nearer list of links
+            elif article and len(text) >= SHORT and not any(label[d] == "good" for d in mine):
+                labels = {"good"}  # an article without any decided text keeps what is not short
             verdict = "good" if "good" in labels else "bad"
         if verdict == "good":
-            out.append(block[0])
+            out.append(text)
     return "\n".join(out)
 
 
