@@ -12,6 +12,7 @@ from weftline.llm.secrets import op3_secrets
 from weftline.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from weftline.llm.token_counts import op6_token_counts
 from weftline.llm.token_files import op4_token_files
+from weftline.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
+    "op11_whitening": op11_whitening,
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL,
