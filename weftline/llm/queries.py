@@ -8,6 +8,7 @@ from weftline.llm.html_text import op10_html_text
 from weftline.llm.minhash import OP8_SQL, op8_minhash_dedup
 from weftline.llm.mixing import op9_mixing
 from weftline.llm.quality import op2_quality
+from weftline.llm.quality_rules import OP13_SQL, op13_quality_rules
 from weftline.llm.secrets import op3_secrets
 from weftline.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from weftline.llm.token_counts import op6_token_counts
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
     "op11_whitening": op11_whitening,
+    "op13_quality_rules": op13_quality_rules,
 }
 SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op5_embedding_dedup": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_minhash_dedup": OP8_SQL,
+    "op13_quality_rules": OP13_SQL,
 }
