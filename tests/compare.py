@@ -22,6 +22,12 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def without_masks(frame: pd.DataFrame) -> pd.DataFrame:
+    """Whole numbers with nulls as floats, whichever way a reader returned them."""
+    masked = [c for c in frame.columns if pd.api.types.is_extension_array_dtype(frame[c].dtype) and frame[c].dtype.kind in "iu" and frame[c].isna().any()]
+    return frame.astype({c: "float64" for c in masked})
+
+
 def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)].copy()
     for name in frame.columns:
@@ -37,7 +43,7 @@ def differences(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | Non
         return f"columns {sorted(spark_frame.columns)} vs {sorted(sql_frame.columns)}"
     if len(spark_frame) != len(sql_frame):
         return f"rows {len(spark_frame)} vs {len(sql_frame)}"
-    left, right = canonical(spark_frame), canonical(sql_frame)
+    left, right = canonical(without_masks(spark_frame)), canonical(without_masks(sql_frame))
     kinds = [(c, str(left[c].dtype), str(right[c].dtype)) for c in left.columns if left[c].dtype.kind != right[c].dtype.kind]
     if kinds and len(left):
         return f"types {kinds}"
