@@ -7,6 +7,7 @@ from weftline.llm.embedding_dedup import OP5_SQL, op5_embedding_dedup
 from weftline.llm.html_text import op10_html_text
 from weftline.llm.minhash import OP8_SQL, op8_minhash_dedup
 from weftline.llm.mixing import op9_mixing
+from weftline.llm.periodic_runs import OP12_SQL, op12_periodic_runs
 from weftline.llm.quality import op2_quality
 from weftline.llm.quality_rules import OP13_SQL, op13_quality_rules
 from weftline.llm.secrets import op3_secrets
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
     "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_quality_rules": op13_quality_rules,
 }
 SQL = {
@@ -34,5 +36,6 @@ SQL = {
     "op5_embedding_dedup": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op8_minhash_dedup": OP8_SQL,
+    "op12_periodic_runs": OP12_SQL,
     "op13_quality_rules": OP13_SQL,
 }
