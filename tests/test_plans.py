@@ -10,7 +10,7 @@ from weftline.operators import prefix as X
 from weftline.plans.corpus import documents
 
 SF = f"{TESTDATA}/sf0.001"
-QUERIES = entry.queries()
+QUERIES = {key: query for plan in entry.plans() for key, query in plan.QUERIES.items()}
 STREAMS = [k for k in QUERIES if k.startswith("stream_")]
 
 
