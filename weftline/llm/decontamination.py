@@ -7,7 +7,11 @@ blocks in chunks of at most ``CHUNK_WORDS`` words; a block looks a window up by
 list by the term's place in the window and intersects it with the others, rarest first.
 
 Words: A-Z to lower case, then runs of letters, digits and any character from U+0080. Null and empty texts have no
-words. Repeated rows are kept apart; extra columns are not read.
+words. Repeated rows are kept apart; extra columns are not read. Without documents there are no rows; without items no
+document is hit; items without an id hit words but are not listed.
+
+Equal windows are searched once, however many items have them: a window carries the number of its set of items, and the
+sets are joined to the documents at the end.
 """
 
 from __future__ import annotations
@@ -22,10 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm import common
-from weftline.llm.ragged import LETTER_OR_DIGIT, LOWER, Words, lists, ragged_index, text_slices
+from weftline.llm.ragged import LETTER_OR_DIGIT, LOWER, Words, give_back, lists, ragged_index, text_slices
 
 #: Text in one index block.
 BLOCK_BYTES = 2_000_000
+#: Text that is cut into words at once; a block is made of such slices.
+SLICE_BYTES = 250_000
+#: Places of windows' rarest terms that are looked into at once.
+PLACES = 500_000
 #: Window words sent to all tasks at once; 8 bytes each.
 CHUNK_WORDS = 2_000_000
 _PLACE = np.int64(32)
@@ -50,30 +58,29 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ]
     )
 
+    def row(block: int, ids: list, counts: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
+        n, hashed = np.concatenate(counts), np.concatenate(hashes)
+        order = np.argsort(hashed, kind="stable").astype(np.uint32)
+        ordered = hashed[order]
+        new = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] ^ np.uint64(1))) if len(ordered) else order
+        places = (np.arange(len(hashed), dtype=np.uint32) + np.repeat(np.arange(len(n), dtype=np.uint32), n))[order]
+        bits = [ordered[new].tobytes(), np.diff(new, append=len(ordered)).astype(np.uint32).tobytes(), places.tobytes()]
+        lists_ = [pa.array([ids], pa.list_(ids.type)), pa.array([n], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists_, *[pa.array([x], pa.binary()) for x in bits]], schema.names)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0)
-            for lo, hi, data, offsets in text_slices(batch.column(1), BLOCK_BYTES):
+            first, size, counts, hashes = 0, 0, [], []
+            for _, hi, data, offsets in text_slices(batch.column(1), SLICE_BYTES):
                 words = Words(LOWER[data], offsets, LETTER_OR_DIGIT)
-                n = words.counts()
-                order = np.argsort(words.hash, kind="stable")
-                ordered = words.hash[order]
-                new = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] ^ np.uint64(1))) if len(ordered) else order
-                places = (np.arange(len(words)) + np.repeat(np.arange(hi - lo), n))[order].astype(np.uint32)
-                counts = np.diff(new, append=len(ordered)).astype(np.uint32)
-                row = [[ids.slice(lo, hi - lo).to_pylist()], [n.tolist()]]
-                bits = [ordered[new].tobytes(), counts.tobytes(), places.tobytes()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([block], pa.int64()),
-                        pa.array(row[0], pa.list_(ids.type)),
-                        pa.array(row[1], pa.list_(pa.int32())),
-                        *[pa.array([x], pa.binary()) for x in bits],
-                    ],
-                    schema.names,
-                )
-                block += 1
+                counts.append(words.counts().astype(np.int32))
+                hashes.append(words.hash)
+                size += len(data)
+                if size >= BLOCK_BYTES or hi == batch.num_rows:
+                    yield row(block, batch.column(0).slice(first, hi - first), counts, hashes)
+                    block, first, size, counts, hashes = block + 1, hi, 0, [], []
+        give_back()
 
     return common.stage(docs.select(id_col, text_col).mapInArrow(blocks, schema), "positional-index")
 
@@ -105,8 +112,8 @@ def test_windows(items: DataFrame, size: int = 13, id_col: str = "item_id", text
 class _Chunk:
     """Windows as arrays: terms by their number in ``vocabulary``, and each window's places by rising term count."""
 
-    def __init__(self, items: list[str], lengths: np.ndarray, terms: np.ndarray):
-        self.items, self.lengths = items, lengths
+    def __init__(self, sets: np.ndarray, lengths: np.ndarray, terms: np.ndarray):
+        self.sets, self.lengths = sets, lengths
         self.vocabulary, number = np.unique(terms.view(np.uint64), return_inverse=True)
         self.width = int(lengths.max())
         used = np.arange(self.width) < lengths[:, None]
@@ -120,8 +127,8 @@ class _Chunk:
         self.order = np.argsort(rank, axis=1, kind="stable").astype(np.int16)
         return self
 
-    def spans(self, terms: np.ndarray, counts: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, ...]:
-        """(window, first place, last place) of the windows' occurrences in one block."""
+    def spans(self, terms: np.ndarray, counts: np.ndarray, places: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(window, first place, last place) of the windows' occurrences in one block, some windows at a time."""
         at = np.searchsorted(terms, self.vocabulary)
         here = np.flatnonzero(terms[np.minimum(at, len(terms) - 1)] == self.vocabulary) if len(terms) else at[:0]
         there = np.full(len(self.vocabulary), -1, np.int64)
@@ -129,12 +136,19 @@ class _Chunk:
         number = np.where(self.terms >= 0, there[self.terms], -2)
         window = np.flatnonzero((number != -1).all(axis=1))
         if not len(window):
-            return window, window, window
+            return
         begin = (np.cumsum(counts, dtype=np.int64) - counts)[at[here]]
         size = counts[at[here]].astype(np.int64)
         found = places[ragged_index(begin, size)].astype(np.int64)
         keys = (np.repeat(np.arange(len(here)), size) << _PLACE) | found
         start = np.cumsum(size) - size
+        upto = np.cumsum(size[number[window, self.order[window, 0]]])
+        cuts = np.searchsorted(upto, np.arange(PLACES, upto[-1], PLACES)) + 1
+        for some in np.split(window, np.unique(cuts)):
+            if len(some):
+                yield self._occurrences(some, number, start, size, found, keys, slop)
+
+    def _occurrences(self, window: np.ndarray, number: np.ndarray, start: np.ndarray, size: np.ndarray, found: np.ndarray, keys: np.ndarray, slop: int) -> tuple[np.ndarray, ...]:
         place = self.order[window, 0].astype(np.int64)
         term = number[window, place]
         base = found[ragged_index(start[term], size[term])] - np.repeat(place, size[term])
@@ -162,30 +176,55 @@ def _chunks(windows: DataFrame) -> Iterator[_Chunk]:
     total = windows.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
     n = -(-total // CHUNK_WORDS)
     for c in range(n):
-        part = windows.where(F.pmod(F.xxhash64("item", "terms"), F.lit(n)) == c).toArrow()
+        part = windows.select("set", "terms").where(F.pmod(F.xxhash64("terms"), F.lit(n)) == c).toArrow()
         lengths = np.array([len(x) for x in part["terms"]], np.int64)
         if len(lengths):
             terms = part["terms"].combine_chunks().flatten().to_numpy()
-            yield _Chunk(part["item"].to_pylist(), lengths, terms)
+            yield _Chunk(part["set"].to_numpy(), lengths, terms)
+
+
+def window_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Different windows as (set, terms) and their items as (set, items): windows of the same items share a set."""
+    each = windows.distinct().groupBy("terms").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    each = common.stage(each, "windows")
+    sets = common.stage(each.select("items").distinct().withColumn("set", F.monotonically_increasing_id()), "window-sets")
+    return common.stage(each.join(sets, "items").select("set", "terms"), "windows"), sets
+
+
+def _hits(first: np.ndarray, found: list[tuple[np.ndarray, ...]], sets: np.ndarray) -> tuple[np.ndarray, list, list]:
+    """(documents, their window sets, their words hit) of the (window, low, high) found in a block."""
+    edge = np.zeros(first[-1] + 1, np.int32)
+    pairs = []
+    for window, low, high in found:
+        np.add.at(edge, low, 1)
+        np.add.at(edge, high + 1, -1)
+        doc = np.searchsorted(first, low, "right") - 1
+        pairs.append(np.unique(np.stack([doc, sets[window]]), axis=1))
+    doc, number = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    docs, at = np.unique(doc, return_index=True)
+    hit = np.flatnonzero(np.cumsum(edge) > 0)
+    of = np.searchsorted(first, hit, "right") - 1
+    words = np.split(hit - first[of], np.searchsorted(of, docs[1:]))
+    return docs, np.split(number, at[1:]), words
 
 
 def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
-    """Occurrences by document: (block, doc, items, hit): the items' ids and the numbers of the words that are hit.
+    """Occurrences by document: (block, doc, sets, hit): the sets of the windows found and the numbers of the words hit.
 
     ``slop`` 0 finds exact phrases. With a larger one every term must stand within ``slop`` words of its place
     in the phrase (counted from the rarest term), all in one document; the words from the first to the last
     are then hit. A document has one row for each chunk of windows that occurs in it.
     """
     spark = common.ready(index.sparkSession)
-    schema = "block bigint, doc int, items array<string>, hit array<int>"
+    schema = "block bigint, doc int, sets array<bigint>, hit array<int>"
     parts = [spark.createDataFrame([], schema)]
     for chunk in _chunks(windows):
         vocabulary = spark.sparkContext.broadcast(chunk.vocabulary)
 
         def term_counts(batches, vocabulary=vocabulary):
             for batch in batches:
-                for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    terms, counts = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.uint32)
+                for i in range(batch.num_rows):
+                    terms, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((0, np.uint64), (1, np.uint32)))
                     at = np.searchsorted(terms, vocabulary.value)
                     ok = at < len(terms)
                     ok[ok] = terms[at[ok]] == vocabulary.value[ok]
@@ -199,32 +238,29 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
 
         def look_up(batches, sent=sent):
             for batch in batches:
-                for row in batch.to_pylist():
-                    terms, counts, places = (np.frombuffer(row[k], t) for k, t in (("terms", np.uint64), ("counts", np.uint32), ("places", np.uint32)))
-                    window, low, high = sent.value.spans(terms, counts, places, slop)
-                    first = np.cumsum([0, *[n + 1 for n in row["n_words"]]])
-                    doc = np.searchsorted(first, low, "right") - 1
-                    same = high < first[doc + 1] - 1
-                    window, low, high, doc = window[same], low[same], high[same], doc[same]
-                    if not len(window):
+                for i in range(batch.num_rows):
+                    # views of the batch, no copies
+                    terms, counts, places = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in ((2, np.uint64), (3, np.uint32), (4, np.uint32)))
+                    first = np.append(0, np.cumsum(batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) + 1))
+                    found = []
+                    for window, low, high in sent.value.spans(terms, counts, places, slop):
+                        same = high < first[np.searchsorted(first, low, "right")] - 1
+                        if same.any():
+                            found.append((window[same], low[same], high[same]))
+                    if not found:
                         continue
-                    edge = np.zeros(first[-1] + 1, np.int64)
-                    np.add.at(edge, low, 1)
-                    np.add.at(edge, high + 1, -1)
-                    hit = np.flatnonzero(np.cumsum(edge) > 0)
-                    docs = np.unique(doc)
-                    of = np.searchsorted(first, hit, "right") - 1
-                    items = [sorted({sent.value.items[w] for w in window[doc == d].tolist()}) for d in docs]
-                    words = [(hit[of == d] - first[d]).tolist() for d in docs]
+                    docs, sets, words = _hits(first, found, sent.value.sets)
+                    size = lambda x: np.array([len(v) for v in x], np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([row["block"]] * len(docs), pa.int64()),
+                            pa.array(np.full(len(docs), batch.column(0)[i].as_py()), pa.int64()),
                             pa.array(docs, pa.int32()),
-                            pa.array(items, pa.list_(pa.string())),
-                            pa.array(words, pa.list_(pa.int32())),
+                            lists(np.concatenate(sets), size(sets), pa.int64()),
+                            lists(np.concatenate(words), size(words), pa.int32()),
                         ],
-                        ["block", "doc", "items", "hit"],
+                        ["block", "doc", "sets", "hit"],
                     )
+            give_back()
 
         parts.append(index.select("block", "n_words", "terms", "counts", "places").mapInArrow(look_up, schema))
     out = parts[0]
@@ -233,16 +269,23 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     return out
 
 
+def _items(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(block, doc, items): the items of each document's window sets."""
+    sent = sets.agg(F.coalesce(F.sum(F.size("items") * 40 + 40), F.lit(0))).first()[0] <= common.BROADCAST_BYTES
+    each = found.select("block", "doc", F.explode("sets").alias("set")).distinct()
+    each = each.join(F.broadcast(sets) if sent else sets, "set")
+    return each.groupBy("block", "doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, size: int = 13, slop: int = 0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row for each document: (its id, n_words, items, hit): ids of the test items found and the words hit."""
     index = build_index(docs, id_col, text_col)
-    found = matches(index, test_windows(items, size), slop)
-    found = found.groupBy("block", "doc").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"),
-    )
+    windows, sets = window_sets(test_windows(items, size))
+    found = common.stage(matches(index, windows, slop), "occurrences")
+    hit = found.groupBy("block", "doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"))
+    found = hit.join(_items(found, sets), ["block", "doc"])
     each = index.select("block", F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("n_words").alias("n"))).alias("doc", "of"))
     return each.join(found, ["block", "doc"], "left").select(
         F.col("of.id").alias(id_col),

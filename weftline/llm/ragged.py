@@ -7,7 +7,9 @@ rules in use treat every byte from 0x80 as part of a word, which is what they sa
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,12 +172,8 @@ def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False)
 
 
-def arrow_map(rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
-    """A ``mapInArrow`` function from one that takes a single batch."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield from rows(batch)
-
-    return run
+def give_back() -> None:
+    """Return what a task has freed to the system: workers live on between tasks, next to the JVM's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
