@@ -216,6 +216,14 @@ def test_mixing(docs):
     assert mixed_documents(docs).columns == docs.columns
 
 
+def test_mixed_documents_keep_columns_of_any_name(docs):
+    clash = docs.selectExpr("doc_id", "text", "source", "1 AS size", "2 AS pieces", "3 AS pass", "4 AS mine", "5 AS row", "6L AS n_chars")
+    got, plain = mixed_documents(clash), mixed_documents(docs)
+    assert got.columns == clash.columns
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, plain.select("doc_id", "text").collect()))
+    assert {tuple(r)[3:8] for r in got.collect()} == {(1, 2, 3, 4, 5)} and got.where("n_chars <> length(text)").count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(30, 16))

@@ -69,6 +69,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists_, *[pa.array([x], pa.binary()) for x in bits]], schema.names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what a worker's tasks before this one have left
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             first, size, counts, hashes = 0, 0, [], []
@@ -283,7 +284,8 @@ def contamination(
     """One row for each document: (its id, n_words, items, hit): ids of the test items found and the words hit."""
     index = build_index(docs, id_col, text_col)
     windows, sets = window_sets(test_windows(items, size))
-    found = common.stage(matches(index, windows, slop), "occurrences")
+    with common.small_batches(docs.sparkSession):
+        found = common.stage(matches(index, windows, slop), "occurrences")
     hit = found.groupBy("block", "doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"))
     found = hit.join(_items(found, sets), ["block", "doc"])
     each = index.select("block", F.posexplode(F.arrays_zip(F.col("ids").alias("id"), F.col("n_words").alias("n"))).alias("doc", "of"))

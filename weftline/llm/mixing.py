@@ -159,19 +159,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: for each pass over a row, its taken words in order, and whole texts unchanged.
 
-    A row that is read twice somewhere gives two rows. Equal rows are taken alike, by what the first of them gives.
+    A row that is read twice somewhere gives two rows. Equal rows are taken alike, by what the first of them gives. ``n_chars`` is counted
+    anew where there is one; other columns come back unchanged, whatever their names.
     """
     found = mix(docs).where("taken > 0 AND number = 0").select(common.ROW_KEY, "size", "pieces")
-    rows = docs.withColumn(common.ROW_KEY, common.row_key("doc_id", "text", "source")).join(found, common.ROW_KEY)
-    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.lit(MOST))))
-    mine = F.filter("pieces", lambda p: p["times"] >= F.col("__pass"))
-    rows = rows.withColumn("__mine", mine).where(F.size("__mine") > 0)
-    n = F.aggregate("__mine", F.lit(0).cast("long"), lambda acc, p: acc + p["to"] - p["from"])
-    words = F.regexp_extract_all("text", F.lit(f"({_WORDS})"), F.lit(1))
-    cut = F.array_join(F.flatten(F.transform("__mine", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " ")
-    rows = rows.withColumn("text", F.when(n == F.col("size"), F.col("text")).otherwise(cut))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
-    return rows.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of the input meets one of ours
+    rows = docs.select(common.row_key("doc_id", "text", "source").alias(common.ROW_KEY), row).join(found, common.ROW_KEY)
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(MOST))))
+    rows = rows.withColumn("mine", F.filter("pieces", lambda p: p["times"] >= F.col("pass"))).where(F.size("mine") > 0)
+    n = F.aggregate("mine", F.lit(0).cast("long"), lambda acc, p: acc + p["to"] - p["from"])
+    words = F.regexp_extract_all("row.text", F.lit(f"({_WORDS})"), F.lit(1))
+    cut = F.array_join(F.flatten(F.transform("mine", lambda p: F.slice(words, (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " ")
+    rows = rows.withColumn("text", F.when(n == F.col("size"), F.col("row.text")).otherwise(cut))
+    ours = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[ours.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
