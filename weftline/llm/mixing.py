@@ -137,6 +137,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a, b = F.greatest("lo", F.col("index") * F.col("block")), F.least("hi", (F.col("index") + 1) * F.col("block"))
     taken = spans.join(drawn, ["place", "index"]).select("key", "copies", ((b - a) * F.col("times")).alias("n"), F.struct((a - F.col("lo")).alias("from"), (b - F.col("lo")).alias("to"), "times").alias("piece"))
     taken = taken.groupBy("key", "copies").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list("piece")).alias("pieces"))
+    taken = common.stage(taken, "taken")  # a few numbers a row; what follows uses them again and again, and its plan stays small
     # equal rows lie one after the other: each gets the part that falls into it
     number = F.row_number().over(Window.partitionBy("key").orderBy("size")) - 1
     several = taken.where("copies > 1").select("key").join(rows, "key").withColumn("number", number)
@@ -162,7 +163,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A row that is read twice somewhere gives two rows. Equal rows are taken alike, by what the first of them gives. ``n_chars`` is counted
     anew where there is one; other columns come back unchanged, whatever their names.
     """
-    found = mix(docs).where("taken > 0 AND number = 0").select(common.ROW_KEY, "size", "pieces")
+    found = common.stage(mix(docs).where("taken > 0 AND number = 0").select(common.ROW_KEY, "size", "pieces"), "mix")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of the input meets one of ours
     rows = docs.select(common.row_key("doc_id", "text", "source").alias(common.ROW_KEY), row).join(found, common.ROW_KEY)
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(1), F.lit(MOST))))
