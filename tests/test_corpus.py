@@ -225,3 +225,34 @@ def test_blocks_between(spark):
 def test_zero_padding_never_cuts(spark):
     got = spark.createDataFrame([(7,), (12345,)], "n long").select(T.zero_padded(F.col("n"), 4)).collect()
     assert [r[0] for r in got] == ["0007", "12345"]
+
+
+def test_weighted_cuts_are_even_with_heavy_rows_at_one_end(spark):
+    """The last hundredth of the rows has half of all tokens."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "IF(id >= 19800, 10000L, 101L) AS n_tokens")
+    cuts = X.range_cuts(rows, "doc_id", 16, weight="n_tokens")
+    sizes = [r.n for r in X.with_range(rows, "doc_id", cuts).groupBy(X.RANGE).agg(F.sum("n_tokens").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) <= 1.5 * sum(sizes) / 16
+
+
+def test_clustered_corpus_opens_only_the_zones_of_a_range(spark):
+    rows = [(3 * i, 20 if i < 180 else 900, [i] * (20 if i < 180 else 900)) for i in range(200)]
+    encoded = spark.createDataFrame(rows, "doc_id long, n_tokens long, ids array<int>").repartition(5)
+    table = C.clustered_corpus(encoded, 8)
+    zones = table.zones.orderBy("zone").collect()
+    assert len(zones) > 5 and table.total_tokens == zones[-1]["last"] == 180 * 20 + 20 * 900
+    assert [z["last"] for z in zones[:-1]] == [z["first"] for z in zones[1:]] and zones[0]["first"] == 0
+    assert max(z["last"] - z["first"] for z in zones) <= 2 * table.total_tokens / len(zones) + 900
+    want = {r.doc_id: (r.start, r.n_tokens) for r in C.token_spans(encoded).collect()}
+    assert {r.doc_id: (r.start, r.n_tokens) for r in table.spans.collect()} == want
+    for low, high in [(0, 1), (3590, 3700), (5000, 9000), (21_599, 21_600)]:
+        part = table.within(low, high)
+        assert {r.doc_id for r in part.collect()} == {d for d, (s, n) in want.items() if s < high and s + n > low}
+        part.write.format("noop").mode("overwrite").save()
+        touched = {z["zone"] for z in zones if z["first"] < high and z["last"] > low}
+        opened = {r.f.split("zone=")[1].split("/")[0] for r in part.select(F.input_file_name().alias("f")).distinct().collect()}
+        assert opened <= {str(z) for z in touched}
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "PartitionFilters: [isnotnull(zone" in plan and "LessThan(start" in plan
+    assert table.within(50_000, 60_000).count() == 0
+    assert C.clustered_corpus(encoded.limit(0)).within(0, 10).count() == 0

@@ -4,6 +4,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from weftline.sources import items as I
 from weftline.sources import logs as L
 from weftline.sources import manifest as M
 from weftline.sources import results as J
+from weftline.operators import batches as B
 from weftline.sources import token_shards as K
 
 FACTS = {"vocab_size": 65536, "eos_id": 0, "dataset": "d", "tokenizer": "t"}
@@ -33,9 +35,11 @@ def spans_of(spark, sizes, first=0):
 def test_shards_round_trip(spark, tmp_path):
     path = str(tmp_path / "shards")
     K.write_shards(S.shard_pieces(spans_of(spark, [900, 1, 700, 750], 65000), 1000), path, **FACTS)
-    assert sorted(os.listdir(path)) == ["meta.txt", "shard_0000.bin", "shard_0001.bin", "shard_0002.bin"]
-    assert os.path.getsize(f"{path}/shard_0002.bin") == 2 * 351
-    flat = np.concatenate([np.fromfile(f"{path}/shard_{i:04d}.bin", "<u2") for i in range(3)])
+    now = K.version_folder(path)
+    assert sorted(os.listdir(path)) == ["meta.txt", os.path.basename(now)]
+    assert sorted(os.listdir(now)) == ["meta.txt", "shard_0000.bin", "shard_0001.bin", "shard_0002.bin"]
+    assert os.path.getsize(f"{now}/shard_0002.bin") == 2 * 351
+    flat = np.concatenate([np.fromfile(f"{now}/shard_{i:04d}.bin", "<u2") for i in range(3)])
     assert flat.tolist() == [(65000 + k) % 65536 for k in range(2351)]
     rows = K.read_shards(spark, path)
     assert rows.count() == 2351
@@ -82,6 +86,108 @@ def test_existing_shards_are_kept_unless_overwritten(spark, tmp_path):
     assert not [f for f in os.listdir(path) if f.startswith("_job")]
 
 
+def test_a_commit_broken_at_any_step_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "shards")
+    K.write_shards(S.shard_pieces(spans_of(spark, [30]), 10), path, **FACTS)
+    old = K.version_folder(path)
+
+    def written():
+        """A writer whose tasks have ended, and their messages."""
+        writer = K.ShardWriter({"path": path, **FACTS}, overwrite=True)
+        rows = [(k, 10 * k, list(range(100 + 10 * k, 110 + 10 * k))) for k in range(2)]
+        batch = pa.table(dict(zip(("shard_id", "lo", "piece"), map(list, zip(*rows, strict=True)), strict=True))).to_batches()
+        return writer, [writer.write(iter(batch))]
+
+    steps = [0]
+
+    def broken(real, at):
+        def call(*args, **more):
+            steps[0] += 1
+            if steps[0] == at:
+                raise OSError("gone")
+            return real(*args, **more)
+
+        return call
+
+    class Files:
+        """A file system that fails at its n-th change."""
+
+        def __init__(self, real, at):
+            self.real, self.at, self.type_name = real, at, real.type_name
+
+        def __getattr__(self, name):
+            real = getattr(self.real, name)
+            return broken(real, self.at) if name in ("move", "create_dir", "delete_dir", "open_output_stream") else real
+
+    for at in range(1, 9):
+        writer, messages = written()
+        real = K.open_folder
+        steps[0] = 0
+        with monkeypatch.context() as m:
+            m.setattr(K, "open_folder", lambda p, at=at: (Files(real(p)[0], at), real(p)[1]))
+            m.setattr(K, "MOVES", 1)
+            try:
+                writer.commit(messages)
+                failed = False
+            except OSError:
+                failed = True
+        now = K.version_folder(path)
+        tokens = sorted(r.token for r in K.read_shards(spark, path).collect())
+        if now == old:
+            assert failed and tokens == list(range(30))
+        else:  # it broke while clearing up, after the switch
+            assert tokens == list(range(100, 120)) and at > 5
+            K.write_shards(S.shard_pieces(spans_of(spark, [30]), 10), path, overwrite=True, **FACTS)
+            old = K.version_folder(path)
+    K.write_shards(S.shard_pieces(spans_of(spark, [7]), 10), path, overwrite=True, **FACTS)
+    assert K.read_shards(spark, path).count() == 7
+    assert len([f for f in os.listdir(path) if f.startswith("version-")]) == 2  # the one before stays for its readers
+
+
+def test_published_shards_without_versions_are_read_and_replaced(spark, tmp_path):
+    np.arange(50, dtype="<u2").tofile(tmp_path / "shard_0000.bin")
+    (tmp_path / "meta.txt").write_text("total_tokens=50\nnum_shards=1\n")
+    assert K.read_shards(spark, str(tmp_path)).count() == 50
+    K.write_shards(S.shard_pieces(spans_of(spark, [7]), 10), str(tmp_path), overwrite=True, **FACTS)
+    assert K.read_shards(spark, str(tmp_path)).count() == 7
+
+
+def test_filters_on_positions_reach_the_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    K.write_shards(S.shard_pieces(spans_of(spark, [5000]), 1000), path, **FACTS)
+    rows = lambda: K.read_shards(spark, path)
+    for where, want in [
+        ("pos >= 990 AND pos < 2010", range(990, 2010)), ("pos > 4990", range(4991, 5000)), ("pos = 17", [17]), ("pos <= 3 AND token <> 2", [0, 1, 3]),
+        ("pos < 5 AND pos > 7", []), ("pos >= 2500 AND pos <= 2500", [2500]), ("pos IN (3, 4)", [3, 4]), ("pos > 9000", []),
+    ]:
+        assert sorted(r.token for r in rows().where(where).collect()) == list(want), where
+    narrow = rows().where("pos >= 1500 AND pos < 2500")
+    assert narrow.rdd.getNumPartitions() == 1
+    reader = K.ShardReader({"path": path, "tokens_per_task": "1000"})
+    left = list(reader.pushFilters([K.GreaterThanOrEqual(("pos",), 1500), K.LessThan(("pos",), 2500), K.EqualTo(("token",), 3)]))
+    assert left == [K.EqualTo(("token",), 3)]
+    files = {os.path.basename(file) for p in reader.partitions() for file, _, _ in p.pieces}
+    assert files == {"shard_0001.bin", "shard_0002.bin"} and len(reader.partitions()) == 1
+
+
+def test_training_batches_with_tokens(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    spans = spans_of(spark, [900, 1, 700, 750])
+    K.write_shards(S.shard_pieces(spans, 500), path, **FACTS)
+    blocks = K.read_shard_blocks(spark, path, 64)
+    n = P.num_overlapping_blocks(2351, 64)
+    labelled = B.training_batches(blocks, n, 4, 3, 11)
+    assert "Exchange" not in labelled._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: [(r.epoch, r.batch_id, r.slot, r.block_id, r.input_ids, r.labels) for r in df.collect()]
+    served = rows(K.read_training_batches(spark, path, 64, 4, 3, 11, tokens_per_task=600))
+    assert served == sorted(rows(labelled)) and len(served) == 3 * (n // 4 * 4)
+    for epoch, _, _, block, ids, labels in served:
+        assert ids == [(block * 64 + k) % 65536 for k in range(64)] and labels == [x + 1 for x in ids]
+    orders = [[r[3] for r in served if r[0] == e] for e in range(3)]
+    assert len({tuple(o) for o in orders}) == 3 and all(len(set(o)) == len(o) for o in orders)
+    assert K.read_training_batches(spark, path, 64, 100, 1, 11).count() == 0
+
+
 def test_ids_beyond_16_bits_are_refused(spark, tmp_path):
     rows = spark.createDataFrame([(0, 0, [70_000])], "shard_id long, lo long, piece array<int>")
     with pytest.raises(Exception, match="16 bits"):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.draws import draw_key
+from weftline.functions.permutation import place_of
+from weftline.operators.packing import next_token_pairs
 from weftline.operators.prefix import hashed_rank
 
 
@@ -30,6 +34,35 @@ def batches(places: DataFrame, num_blocks: int, micro_batch: int) -> DataFrame:
     ).where(F.col("batch_id") < num_blocks // micro_batch)
 
 
+def training_batches(blocks: DataFrame, num_blocks: int, micro_batch: int, epochs: int, seed: int) -> DataFrame:
+    """``(epoch, batch_id, slot, block_id, input_ids, labels)`` of all whole batches of ``epochs`` passes.
+
+    Every pass is a computed permutation, so a block works its own place out where it lies: nothing is sorted, joined or
+    shuffled, whatever the number of passes. Rows stay in the blocks' order; for rows in the order of the batches see
+    ``read_training_batches``, which gives the same ones.
+    """
+
+    @F.arrow_udf("bigint")
+    def place(block: pa.Array, epoch: pa.Array) -> pa.Array:
+        block, epoch = block.to_numpy(), epoch.to_numpy()
+        out = np.empty(len(block), np.int64)
+        for e in np.unique(epoch).tolist():
+            out[epoch == e] = place_of(block[epoch == e], num_blocks, seed, e)
+        return pa.array(out)
+
+    pairs = next_token_pairs(blocks.where(F.col("block_id") < num_blocks))
+    passes = F.explode(F.array(*[F.lit(e) for e in range(epochs)]).cast("array<bigint>")).alias("epoch")
+    placed = pairs.select("*", passes).withColumn("place", place("block_id", "epoch"))
+    return placed.select(
+        "epoch",
+        F.expr(f"place div {micro_batch}").alias("batch_id"),
+        (F.col("place") % micro_batch).alias("slot"),
+        "block_id",
+        "input_ids",
+        "labels",
+    ).where(F.col("batch_id") < num_blocks // micro_batch)
+
+
 def training_schedule(
     spark: SparkSession, num_blocks: int, seq_len: int, micro_batch: int, accumulate: int, max_tokens: int, seed: int
 ) -> DataFrame:

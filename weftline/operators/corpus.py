@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators.prefix import RANGE, range_cuts, running_total, with_range
-from weftline.session import stage
+from weftline.session import fresh_path, stage
 
 END_ID = 0
 #: Stands before a word that is spelled out, and the id of byte 0 in such a word.
@@ -195,6 +195,46 @@ def token_spans(encoded: DataFrame) -> DataFrame:
     return running_total(encoded, "doc_id", "n_tokens", "start", cuts=range_cuts(encoded, "doc_id", weight="n_tokens"))
 
 
+@dataclass(frozen=True)
+class ClusteredCorpus:
+    """An encoded corpus laid out by position: ``zone`` is a folder of the table, and zones follow each other.
+
+    ``spans`` has (doc_id, start, n_tokens, ids, zone), sorted by position in each zone; ``zones`` has one row for each of them:
+    (zone, first, last), its positions ``[first, last)``.
+    """
+
+    spans: DataFrame
+    zones: DataFrame
+
+    @property
+    def total_tokens(self) -> int:
+        return self.zones.agg(F.coalesce(F.max("last"), F.lit(0))).first()[0]
+
+    def within(self, low: int, high: int) -> DataFrame:
+        """The spans that overlap positions ``[low, high)``: files of other zones are not opened, nothing is shuffled."""
+        touched = self.zones.where((F.col("first") < high) & (F.col("last") > low)).agg(F.min("zone"), F.max("zone")).first()
+        inside = F.col("zone").between(touched[0], touched[1]) if touched[0] is not None else F.lit(False)
+        spans = self.spans.where(inside & (F.col("start") < high) & (F.col("start") + F.col("n_tokens") > low))
+        return spans.drop("zone")
+
+
+def clustered_corpus(encoded: DataFrame, zones: int | None = None) -> ClusteredCorpus:
+    """Write ``encoded`` once more in the order of its documents, in zones of about equal tokens.
+
+    Positions are stored with the ids. Readers of ranges, and anything that works along the stream, take them from
+    there instead of summing up and shuffling the corpus again.
+    """
+    cuts = range_cuts(encoded, "doc_id", zones, weight="n_tokens")
+    spans = running_total(encoded, "doc_id", "n_tokens", "start", cuts=cuts)
+    laid = with_range(spans, "doc_id", cuts).withColumnRenamed(RANGE, "zone").select("doc_id", "start", "n_tokens", "ids", "zone")
+    spark = encoded.sparkSession
+    path = fresh_path(spark, "clustered")
+    laid.sortWithinPartitions("zone", "start").write.partitionBy("zone").parquet(path)
+    table = spark.read.schema(laid.schema).parquet(path)
+    zoned = table.groupBy("zone").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("n_tokens")).alias("last"))
+    return ClusteredCorpus(table, stage(zoned, "zones"))
+
+
 # Neighbouring doubles are at most this far apart for 64-bit ids.
 _DOUBLE_GAP = 2048
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.draws import DRAW_RANGE
+from weftline.functions.draws import DRAW_RANGE, draw
 
 RANGE = "_range"
 ROWS_PER_RANGE = 200_000
@@ -38,19 +38,23 @@ def _even_parts(df: DataFrame, rows: int) -> int:
 
 
 def range_cuts(df: DataFrame, key: str, ranges: int | None = None, weight: str | None = None) -> list[float]:
-    """Ascending cut points that split ``key`` into ranges of about equal row count.
+    """Ascending cut points that split ``key`` into ranges of about equal row count, or of about equal ``weight``.
 
-    ``weight`` names a size per row (tokens of a document, say): heavy rows then get more ranges, so
-    that a range stays small enough to sort in one task.
+    ``weight`` names a size per row (tokens of a document, say). The sample then holds a row as often as its weight
+    goes into a sample's share, so heavy rows lie in ranges of fewer rows wherever they are; a single row is not split.
     """
     heaviness = F.sum(weight) if weight else F.lit(0)
     rows, total = df.agg(F.count(F.lit(1)), F.coalesce(heaviness, F.lit(0))).first()
     ranges = ranges or max(_even_parts(df, rows), math.ceil(total / WEIGHT_PER_RANGE))
-    keys = df.select(F.col(key).cast("double").alias(key))
     if rows == 0 or ranges < 2:
         return []
     wanted = ranges * SAMPLES_PER_RANGE
-    if rows > wanted:
+    keys = df.select(F.col(key).cast("double").alias(key))
+    if weight and total > 0:
+        share = F.col(weight) * F.lit(wanted / total) + draw("cuts", F.col(key)) / F.lit(float(DRAW_RANGE))
+        often = F.floor(F.greatest(share, F.lit(0.0))).cast("int")
+        keys = df.select(F.col(key).cast("double").alias(key), F.explode(F.array_repeat(F.lit(0), often))).select(key)
+    elif rows > wanted:
         keys = keys.sample(wanted / rows, seed=17)
     cuts = keys.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.2 / ranges)
     return sorted(set(cuts))

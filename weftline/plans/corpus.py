@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.permutation import permuted_sql, round_keys
 from weftline.operators import batches as B
 from weftline.operators import corpus as C
 from weftline.operators import packing as P
@@ -157,6 +158,57 @@ def shard_blocks(spark, sf_dir):
     return describe_blocks(read_shard_blocks(spark, path, SEQ_LEN))
 
 
+def _written_shards(spark, sf_dir) -> tuple[str, int]:
+    """Path of fresh shards of the documents, and their tokens."""
+    from weftline.sources.token_shards import write_shards
+
+    ids = encoded(documents(spark, sf_dir))
+    path = fresh_path(spark, "shards")
+    pieces = S.shard_pieces(C.token_spans(ids), SHARD_SIZE)
+    write_shards(pieces, path, vocab_size=C.VOCABULARY_SIZE, eos_id=C.END_ID, dataset="documents", tokenizer="native")
+    return path, C.tokens_in(ids)
+
+
+def shard_range_read(spark, sf_dir):
+    """A range of positions by a filter that the shard source takes: files outside it are not opened."""
+    from weftline.sources.token_shards import read_shards
+
+    path, total = _written_shards(spark, sf_dir)
+    first, count = total // 3, total // 10
+    inside = (F.col("pos") >= first) & (F.col("pos") < first + count)
+    return read_shards(spark, path).where(inside).select("pos", F.col("token").cast("bigint").alias("token"))
+
+
+def clustered_range_read(spark, sf_dir):
+    """The same range from the table clustered by position: only the files of its zones are opened."""
+    table = C.clustered_corpus(encoded(documents(spark, sf_dir)))
+    total = table.total_tokens
+    first, count = total // 3, total // 10
+    return S.read_range(table.within(first, first + count), first, count).select("pos", F.col("token").cast("bigint").alias("token"))
+
+
+def _described_training(batches: DataFrame) -> DataFrame:
+    digests = [_digest(side).alias(f"{side}_md5") for side in ("input_ids", "labels")]
+    return batches.select("epoch", "batch_id", "slot", "block_id", *digests)
+
+
+def training_batches(spark, sf_dir):
+    """Two passes of batches with their tokens; every block finds its places itself."""
+    from weftline.sources.token_shards import read_shard_blocks
+
+    path, total = _written_shards(spark, sf_dir)
+    blocks = read_shard_blocks(spark, path, SEQ_LEN)
+    return _described_training(B.training_batches(blocks, _num_blocks(total), MICRO_BATCH, 2, SEED))
+
+
+def served_batches(spark, sf_dir):
+    """The same batches in training order, read from the shards by the tasks that serve them."""
+    from weftline.sources.token_shards import read_training_batches
+
+    path, _ = _written_shards(spark, sf_dir)
+    return _described_training(read_training_batches(spark, path, SEQ_LEN, MICRO_BATCH, 2, SEED))
+
+
 def _num_blocks(total: int) -> int:
     return P.num_overlapping_blocks(total, SEQ_LEN)
 
@@ -212,6 +264,10 @@ QUERIES = {
     "position_shards": position_shards,
     "shard_roundtrip": shard_roundtrip,
     "shard_blocks": shard_blocks,
+    "shard_range_read": shard_range_read,
+    "clustered_range_read": clustered_range_read,
+    "training_batches": training_batches,
+    "served_batches": served_batches,
     "epoch_batches": epoch_batches,
     "epoch_repeat": epoch_repeat,
     "validation_batches_head": validation_batches_head,
@@ -273,6 +329,17 @@ batched AS (
     FROM places, n WHERE place // {MICRO_BATCH} < blocks // {MICRO_BATCH}
 )"""
 
+_PERMUTED = permuted_sql(f"SELECT greatest(t - 1, 0) // {SEQ_LEN} AS n FROM total", "epoch", "rounds")
+
+#: Two passes of batches with their tokens, by the computed permutation.
+_TRAINING_SQL = f"""WITH RECURSIVE {IDS_SQL}, {_LOCAL_BLOCKS}, {_EPOCHS_SQL},
+rounds(epoch, r, f, s) AS (VALUES {", ".join(f"({e}, {r}, {f}::BIGINT, {s}::BIGINT)" for e in (0, 1) for r, (f, s) in enumerate(round_keys(SEED, e)))}),
+places AS (SELECT epoch::BIGINT AS epoch, unnest(range(blocks)) AS place FROM n, (SELECT unnest(range(2)) AS epoch)),
+{_PERMUTED}
+SELECT epoch, place // {MICRO_BATCH} AS batch_id, place % {MICRO_BATCH} AS slot, block_id,
+       md5(ids[:{SEQ_LEN}]::VARCHAR) AS input_ids_md5, md5(ids[2:]::VARCHAR) AS labels_md5
+FROM permuted JOIN blocks USING (block_id), grid WHERE place // {MICRO_BATCH} < n // {MICRO_BATCH}"""
+
 _STEP = MICRO_BATCH * SEQ_LEN * ACCUMULATE
 
 SQL = {
@@ -296,6 +363,8 @@ FROM kept""",
     "pack_blocks_streaming": f"WITH {IDS_SQL}, {_block_rows(SEQ_LEN + 1, f't // {SEQ_LEN + 1}')} {_DESCRIBE_SQL}",
     "pack_blocks_capped": f"WITH {IDS_SQL}, {_block_rows(SEQ_LEN, f'(t // 2 - 1) // {SEQ_LEN}')} {_DESCRIBE_SQL}",
     "range_read": f"WITH {IDS_SQL} SELECT pos, id AS token FROM stream, total WHERE pos >= t // 3 AND pos < t // 3 + t // 10",
+    "shard_range_read": f"WITH {IDS_SQL} SELECT pos, id AS token FROM stream, total WHERE pos >= t // 3 AND pos < t // 3 + t // 10",
+    "clustered_range_read": f"WITH {IDS_SQL} SELECT pos, id AS token FROM stream, total WHERE pos >= t // 3 AND pos < t // 3 + t // 10",
     "position_shards": f"""WITH {TOKENS_SQL},
 sources AS (
     SELECT substr(source, 4)::BIGINT AS shard_id, sum(n_tokens)::BIGINT AS n FROM sized JOIN documents USING (doc_id) GROUP BY source
@@ -307,6 +376,8 @@ SELECT pos // {SHARD_SIZE} AS shard_id, count(*) AS n_tokens, min(pos) AS first_
        sum((pos % 65536) * id)::BIGINT AS placed_sum
 FROM stream GROUP BY 1""",
     "shard_blocks": f"WITH {IDS_SQL}, {_LOCAL_BLOCKS} {_DESCRIBE_SQL}",
+    "training_batches": _TRAINING_SQL,
+    "served_batches": _TRAINING_SQL,
     "epoch_batches": f"""WITH {TOKENS_SQL}, {_EPOCHS_SQL}, epochs AS (SELECT unnest(range(2)) AS epoch), {_PLACES_SQL}
 SELECT * FROM batched""",
     "epoch_repeat": f"""WITH {TOKENS_SQL}, {_EPOCHS_SQL},
