@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import common
 from weftline.llm.components import components
-from weftline.llm.ragged import NOT_SPACE, Words, gram_hashes, lists, mix, powers, ragged_index, text_slices
+from weftline.llm.ragged import NOT_SPACE, Words, gram_hashes, lists, mix, powers, ragged_index, text_slices, tidy
 
 SHINGLE = 5
 SLOTS = 96
@@ -121,6 +121,7 @@ def weighted(text: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[head], gram[head], np.diff(head, append=len(text))
 
 
+@tidy
 def _bands(batches):
     for batch in batches:
         for lo, hi, data, offsets in text_slices(batch.column(2)):
@@ -136,6 +137,7 @@ def _bands(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), column], ["doc_id", "node", "bands"])
 
 
+@tidy
 def _members(batches):
     """The shingles of whole texts as sorted keys, the k-th copy of a shingle with a key of its own."""
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import common
-from weftline.llm.ragged import text_slices
+from weftline.llm.ragged import text_slices, tidy
 
 ORDER = 5
 HELD_OUT = 5
@@ -46,6 +46,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def gram_counts(texts: DataFrame) -> DataFrame:
     """(g, c): how often each gram ends at a byte of the texts."""
 
+    @tidy
     def count(batches):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
@@ -141,6 +142,7 @@ def _blocks(model: DataFrame):
 
 
 def _score(sent):
+    @tidy
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,3 +178,14 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A task's function over batches that gives its memory back at the end."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm import common
-from weftline.llm.ragged import NOT_SPACE, SINGLE, Words, list_parts, lists, packed, ragged_index, text_slices, unpacked
+from weftline.llm.ragged import NOT_SPACE, SINGLE, Words, list_parts, give_back, lists, packed, ragged_index, text_slices, tidy, unpacked
 from weftline.session import fresh_path
 
 END = 1
@@ -162,6 +162,7 @@ def encode_ranges(docs: DataFrame, encoder: WordEncoder, id_col: str = "doc_id",
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["part", "off", "doc_id", "low", "high", "used", "counts"]
 
+    @tidy
     def encode(batches):
         part, off, doc_type = TaskContext.get().partitionId(), 0, None
         total = np.zeros(0, np.int64)
@@ -303,8 +304,10 @@ def write_tokens(encoded: DataFrame, path: str) -> None:
     kind = encoded.schema["doc_id"].dataType.simpleString()
     schema = f"part int, off bigint, doc_ids array<{kind}>, n_tokens array<int>, n bigint, checkpoints binary, payload binary"
 
+    @tidy
     def blocks(batches):
         word_encoder.cache_clear()
+        give_back()
         for batch in batches:
             part, off = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             flat, n = unpacked(batch.column(3), "<u2")
@@ -331,7 +334,8 @@ def write_tokens(encoded: DataFrame, path: str) -> None:
                 lo = hi
 
     documents = encoded.where("used IS NULL").select("part", "off", "doc_id", "low", "high")
-    documents.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+    with common.small_batches(spark):
+        documents.mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, digest: tuple[str, str, Callable] | None = None) -> DataFrame:
@@ -346,8 +350,10 @@ def read_tokens(spark: SparkSession, path: str, digest: tuple[str, str, Callable
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
+    @tidy
     def decode(batches):
         word_encoder.cache_clear()  # a process that has encoded before needs that memory no more
+        give_back()
         for batch in batches:
             for row in range(batch.num_rows):
                 part, off, doc_ids, n_tokens, total, checkpoints, payload = (batch.column(i)[row] for i in range(7))
