@@ -107,6 +107,26 @@ def with_distractors(items: DataFrame, count: int, seed: int) -> DataFrame:
     base = items.where(T.has_last_word(F.col("text"))).select(
         "item_id", T.before_last_word(F.col("text")).alias("ctx"), T.last_word(F.col("text")).alias("word")
     )
+    return _among_others(base, count, seed)
+
+
+def with_other_endings(items: DataFrame, count: int, seed: int) -> DataFrame:
+    """Items as a choice of endings: the second half of their words among ``count`` second halves of other items.
+
+    Gives ``(item_id, ctx, endings, label)``, the label as text; an ending begins with its blank.
+    """
+    split = items.select("item_id", F.split("text", " ").alias("w")).where(F.size("w") > 1)
+    half = F.expr("size(w) div 2")
+    base = split.select(
+        "item_id",
+        F.array_join(F.slice("w", F.lit(1), half.cast("int")), " ").alias("ctx"),
+        F.concat(F.lit(" "), F.array_join(F.slice("w", (half + 1).cast("int"), F.size("w")), " ")).alias("word"),
+    )
+    listed = _among_others(base, count, seed)
+    return listed.select("item_id", "ctx", F.col("choices").alias("endings"), F.col("label").cast("string").alias("label"))
+
+
+def _among_others(base: DataFrame, count: int, seed: int) -> DataFrame:
     n = base.count()
     ranked = running_rank(base, "item_id", "place")
     slots = ranked.select(

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from weftline.functions.draws import draw
 from weftline.operators import corpus as C
 from weftline.operators import generators as G
+from weftline.operators import requests as R
+from weftline.operators.bigrams import bigram_scores
+from weftline.operators.tasks import RUNNERS, evaluate
+from weftline.plans import scoring as S
 from weftline.plans.corpus import documents
 from weftline.plans.scoring import _hash
-from weftline.plans.tables import SEED
+from weftline.plans.tables import IDS_SQL, SEED
 
 PARITY_LEN = 128
 LENGTHS = (512, 1024, 2048)
+PASSKEY_ROUNDS, CODE_ROUNDS = 20, 50  # of the constant texts; longer contexts start them over
 
 
 def _samples(spark, sf_dir):
@@ -64,8 +69,11 @@ def niah_cases_b(spark, sf_dir):
 
 
 def niah_constant_filler(spark, sf_dir):
+    """Both kinds of needle in their own constant text, at every length."""
     cases = documents(spark, sf_dir).select(F.col("doc_id").alias("case_id"))
-    return _described(G.code_word_cases(G.constant_filler(cases, G.CODE_FILLER, 50), (512,), SEED))
+    passkeys = G.passkey_cases(G.constant_filler(cases, G.PASSKEY_FILLER, PASSKEY_ROUNDS), LENGTHS, SEED)
+    code_words = G.code_word_cases(G.constant_filler(cases, G.CODE_FILLER, CODE_ROUNDS), LENGTHS, SEED)
+    return _described(passkeys).withColumn("variant", F.lit("a")).unionByName(_described(code_words).withColumn("variant", F.lit("b")))
 
 
 def niah_accuracy(spark, sf_dir):
@@ -76,6 +84,21 @@ def niah_accuracy(spark, sf_dir):
     )
 
 
+def task_accuracy(spark, sf_dir):
+    """All five tasks in one go: last words, needles, endings, questions and blanks of the given tables."""
+    encode, model = S.scorer(documents(spark, sf_dir))
+    items = S.items(spark, sf_dir)
+    inputs = {
+        "lambada": items,
+        "niah": _code_words(spark, sf_dir),
+        "hellaswag": R.with_other_endings(items, S.DISTRACTORS, SEED),
+        "arc_easy": S._keyed_choices(spark, sf_dir),
+        "winogrande": S._blanks(spark, sf_dir),
+    }
+    rows = evaluate(inputs, encode, lambda targets: bigram_scores(targets, model), RUNNERS)
+    return rows.select("task", "total", "n_correct", *S._rounded("accuracy"))
+
+
 def niah_generated(spark, sf_dir):
     """The passkey must occur in six words copied from the prompt."""
     cases = _passkeys(spark, sf_dir)
@@ -93,6 +116,7 @@ QUERIES = {
     "niah_constant_filler": niah_constant_filler,
     "niah_accuracy": niah_accuracy,
     "niah_generated": niah_generated,
+    "task_accuracy": task_accuracy,
 }
 
 # --- the same answers in SQL -------------------------------------------------------------------
@@ -118,6 +142,14 @@ _FILLER_SQL = f"""
 filler_rows AS (
     SELECT doc_id AS case_id, regexp_extract_all(text, {_W}) AS filler FROM documents WHERE text IS NOT NULL AND text <> ''
 )"""
+
+
+def _constant(text: str, rounds: int) -> str:
+    return f"""filler_rows AS (
+    SELECT doc_id AS case_id, regexp_extract_all(repeat('{text}', {rounds}), {_W}) AS filler FROM documents
+)"""
+
+
 _GRID_SQL = "grid AS (SELECT *, unnest([%s]) AS context_len FROM filler_rows WHERE len(filler) > 0)"
 
 
@@ -174,9 +206,28 @@ SELECT round(avg((p = parity)::INT), 6) AS token_acc, round(avg((p = parity)::IN
 FROM predicted""",
     "niah_cases_a": f"WITH {_FILLER_SQL}, {_grid(LENGTHS)}, {_PASSKEY_SQL} {_DESCRIBE}",
     "niah_cases_b": f"WITH {_FILLER_SQL}, {_grid(LENGTHS)}, {_CODE_SQL} {_DESCRIBE}",
-    "niah_constant_filler": f"""WITH filler_rows AS (
-    SELECT doc_id AS case_id, regexp_extract_all(repeat('{G.CODE_FILLER}', 50), {_W}) AS filler FROM documents
-), {_grid((512,))}, {_CODE_SQL} {_DESCRIBE}""",
+    "niah_constant_filler": f"""
+SELECT 'a' AS variant, * FROM (WITH {_constant(G.PASSKEY_FILLER, PASSKEY_ROUNDS)}, {_grid(LENGTHS)}, {_PASSKEY_SQL} {_DESCRIBE})
+UNION ALL SELECT 'b', * FROM (WITH {_constant(G.CODE_FILLER, CODE_ROUNDS)}, {_grid(LENGTHS)}, {_CODE_SQL} {_DESCRIBE})""",
+    "task_accuracy": f"""WITH {IDS_SQL}, {S._PAIRS_SQL}, {S._RANKED},
+{S._reqs_last("_l")}, {S._scored(R.MAX_LENGTH, "_l")}, {S._fold("_l")},
+{S._reqs_choice("_c")}, {S._scored(R.MAX_LENGTH, "_c")}, {S._fold("_c")}, {S._picked(S._PER_TOKEN, "_c")},
+{S._reqs_blank("_b")}, {S._scored(R.MAX_LENGTH, "_b")}, {S._rolled("_b")}, {S._picked(S._PER_ID, "_b")},
+{S._reqs_ending("_h")}, {S._scored(R.MAX_LENGTH, "_h")}, {S._fold("_h")}, {S._picked(S._PER_TOKEN, "_h")},
+reqs_n AS (
+    -- the scorer looks at the last token before the answer only
+    SELECT case_id || ':' || context_len AS request_id, prompt[-1] AS ctx, ' ' || answer AS cont
+    FROM (WITH {_FILLER_SQL}, {_grid(LENGTHS)}, {_CODE_SQL} SELECT * FROM cases)
+), {S._scored(None, "_n")},
+outcomes AS (
+    SELECT 'lambada' AS task, is_greedy AS ok FROM folded_l
+    UNION ALL SELECT 'niah', best = token FROM scored_n WHERE part = 1 AND pos = 0
+    UNION ALL SELECT 'hellaswag', picked = label FROM picked_h
+    UNION ALL SELECT 'arc_easy', picked = label FROM picked_c
+    UNION ALL SELECT 'winogrande', picked = label FROM picked_b
+)
+SELECT task, count(*) AS total, sum(ok::INT)::BIGINT AS n_correct, round(sum(ok::INT) / count(*), 6)::DOUBLE AS accuracy
+FROM outcomes GROUP BY task""",
     "niah_accuracy": f"""WITH {_FILLER_SQL}, {_grid(LENGTHS)}, {_CODE_SQL},
 rows_ AS (
     SELECT case_id, context_len, unnest(prompt) AS word, generate_subscripts(prompt, 1) AS i, len(prompt) AS n, prompt[-1] AS ending FROM cases

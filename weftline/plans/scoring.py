@@ -9,7 +9,6 @@ from weftline.operators import corpus as C
 from weftline.operators import requests as R
 from weftline.operators import scoring as X
 from weftline.operators.bigrams import Bigrams, bigram_scores, fit_bigrams, open_ids
-from weftline.operators.tasks import evaluate
 from weftline.plans.corpus import documents, encoded
 from weftline.plans.tables import IDS_SQL, SEED, SPELL_SQL, table
 
@@ -169,14 +168,6 @@ def token_score_gather(spark, sf_dir):
     )
 
 
-def task_accuracy(spark, sf_dir):
-    """Several tasks in one go; a listed task without items reports 0."""
-    encode, model = scorer(documents(spark, sf_dir))
-    inputs = {"lambada": items(spark, sf_dir), "arc_easy": _keyed_choices(spark, sf_dir), "winogrande": _blanks(spark, sf_dir)}
-    rows = evaluate(inputs, encode, lambda targets: bigram_scores(targets, model), [*inputs, "hellaswag"])
-    return rows.select("task", "total", "n_correct", *_rounded("accuracy"))
-
-
 def decoded_documents(spark, sf_dir):
     """Ids back to text: every native word of every document."""
     docs = documents(spark, sf_dir)
@@ -199,7 +190,6 @@ QUERIES = {
     "rolling_tail_perplexity": rolling_tail_perplexity,
     "label_validity": label_validity,
     "token_score_gather": token_score_gather,
-    "task_accuracy": task_accuracy,
     "decoded_documents": decoded_documents,
 }
 
@@ -278,18 +268,18 @@ def _hash(text: str) -> str:
     return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
 
 
-def _choice_sql(count: int, at: str = "") -> str:
+def _choice_sql(count: int, at: str = "", ranked: str = "ranked") -> str:
     return f"""
 slots{at} AS (
     SELECT item_id, ctx, place, n, {_hash(f"'{SEED}:' || item_id || ':label'")} % {count + 1} AS label, unnest(range({count + 1})) AS slot
-    FROM ranked
+    FROM {ranked}
 ),
 picks{at} AS (
     SELECT *, CASE WHEN slot = label THEN place
               ELSE (place + 1 + {_hash(f"'{SEED}:' || item_id || ':' || slot")} % (n - 1)) % n END AS wanted
     FROM slots{at}
 ),
-choices{at} AS (SELECT p.item_id, p.ctx, slot AS choice_idx, label, ranked.word FROM picks{at} p JOIN ranked ON ranked.place = wanted)"""
+choices{at} AS (SELECT p.item_id, p.ctx, slot AS choice_idx, label, r.word FROM picks{at} p JOIN {ranked} r ON r.place = wanted)"""
 
 
 _RANKED = f"{_LAST_WORD}, ranked AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM lw)"
@@ -304,6 +294,18 @@ def _reqs_choice(at: str = "") -> str:
 reqs{at} AS (SELECT item_id || ':' || choice_idx AS request_id, item_id, choice_idx, label, ctx, ' ' || word AS cont FROM choices{at})"""
 
 
+def _reqs_ending(at: str) -> str:
+    return f"""
+halves{at} AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+ranked{at} AS (
+    SELECT item_id, array_to_string(w[1:len(w) // 2], ' ') AS ctx, ' ' || array_to_string(w[len(w) // 2 + 1:], ' ') AS word,
+           row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n
+    FROM halves{at} WHERE len(w) > 1
+),
+{_choice_sql(DISTRACTORS, at, "ranked" + at)},
+reqs{at} AS (SELECT item_id || ':' || choice_idx AS request_id, item_id, choice_idx, label, ctx, word AS cont FROM choices{at})"""
+
+
 def _reqs_blank(at: str = "") -> str:
     return f"""{_choice_sql(1, at)},
 reqs{at} AS (
@@ -381,18 +383,6 @@ FROM (
     SELECT s.*, b.n AS n, t.n AS target_n FROM (SELECT * FROM scored WHERE part = 1) s
     LEFT JOIN pairs b ON b.prev = s.prev AND b.token = s.best LEFT JOIN pairs t ON t.prev = s.prev AND t.token = s.token
 )""",
-    "task_accuracy": f"""WITH {IDS_SQL}, {_PAIRS_SQL}, {_RANKED},
-{_reqs_last("_l")}, {_scored(R.MAX_LENGTH, "_l")}, {_fold("_l")},
-{_reqs_choice("_c")}, {_scored(R.MAX_LENGTH, "_c")}, {_fold("_c")}, {_picked(_PER_TOKEN, "_c")},
-{_reqs_blank("_b")}, {_scored(R.MAX_LENGTH, "_b")}, {_rolled("_b")}, {_picked(_PER_ID, "_b")},
-outcomes AS (
-    SELECT 'lambada' AS task, is_greedy AS ok FROM folded_l
-    UNION ALL SELECT 'arc_easy', picked = label FROM picked_c
-    UNION ALL SELECT 'winogrande', picked = label FROM picked_b
-)
-SELECT task, count(ok) AS total, coalesce(sum(ok::INT), 0)::BIGINT AS n_correct,
-       round(coalesce(sum(ok::INT), 0) / greatest(count(ok), 1), 6)::DOUBLE AS accuracy
-FROM (VALUES ('lambada'), ('arc_easy'), ('winogrande'), ('hellaswag')) AS listed(task) LEFT JOIN outcomes USING (task) GROUP BY task""",
     "decoded_documents": f"""WITH {IDS_SQL}
 SELECT doc_id, md5(array_to_string(words, ' ')) AS text_md5 FROM tokens WHERE len(words) > 0""",
 }
