@@ -65,6 +65,26 @@ def test_budget_stops_the_stream(spark, tmp_path):
     assert written < 6  # batches after the budget do no work
 
 
+def test_a_running_query_ends_at_its_budget(spark, tmp_path):
+    docs = documents(spark)
+    encode = C.native_encoder(C.vocabulary(docs))
+    whole = C.token_spans(C.encoded_corpus(docs, encode))
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    arrive(docs, folder, 0, 3)
+
+    def run(**trigger):
+        return SP.pack_to_budget(spark.readStream.schema(SCHEMA).parquet(folder), encode, out, f"{out}/checkpoint", 6, 50, **trigger)
+
+    assert not run()  # the stream ends first
+    arrive(docs, folder, 3, 60)
+    assert run(processingTime="1 second")  # it would go on for ever
+    assert blocks(SP.packed_blocks(spark, out, 6)) == blocks(P.disjoint_blocks(whole, 6, 50))
+    assert run(processingTime="1 second")  # nothing new arrives, and nothing is waited for
+    arrive(docs, folder, 0, 60)
+    assert run(processingTime="1 second")
+    assert blocks(SP.packed_blocks(spark, out, 6)) == blocks(P.disjoint_blocks(whole, 6, 50))
+
+
 def test_metrics_are_emitted_once(spark, tmp_path):
     logs, out = tmp_path / "logs", str(tmp_path / "out")
     logs.mkdir()

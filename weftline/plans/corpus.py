@@ -313,6 +313,12 @@ SELECT block_id, (len(ids) - 1)::BIGINT AS n_tokens,
        md5(ids[:-2]::VARCHAR) AS input_md5, md5(ids[2:]::VARCHAR) AS label_md5
 FROM blocks"""
 
+
+def streaming_blocks_sql(limit: str) -> str:
+    """Blocks that share nothing, below the number ``limit``."""
+    return f"WITH {IDS_SQL}, {_block_rows(SEQ_LEN + 1, limit)} {_DESCRIBE_SQL}"
+
+
 _LOCAL_BLOCKS = _block_rows(SEQ_LEN, f"(t - 1) // {SEQ_LEN}")
 
 _EPOCHS_SQL = f"""
@@ -360,7 +366,7 @@ SELECT k::BIGINT AS total_tokens, ((k + {SHARD_SIZE - 1}) // {SHARD_SIZE})::BIGI
        {C.VOCABULARY_SIZE}::BIGINT AS vocab_size, 0::BIGINT AS eos_id, 'uint16' AS dtype, 'documents' AS dataset, 'native' AS tokenizer
 FROM kept""",
     "pack_blocks_local": f"WITH {IDS_SQL}, {_LOCAL_BLOCKS} {_DESCRIBE_SQL}",
-    "pack_blocks_streaming": f"WITH {IDS_SQL}, {_block_rows(SEQ_LEN + 1, f't // {SEQ_LEN + 1}')} {_DESCRIBE_SQL}",
+    "pack_blocks_streaming": streaming_blocks_sql(f"t // {SEQ_LEN + 1}"),
     "pack_blocks_capped": f"WITH {IDS_SQL}, {_block_rows(SEQ_LEN, f'(t // 2 - 1) // {SEQ_LEN}')} {_DESCRIBE_SQL}",
     "range_read": f"WITH {IDS_SQL} SELECT pos, id AS token FROM stream, total WHERE pos >= t // 3 AND pos < t // 3 + t // 10",
     "shard_range_read": f"WITH {IDS_SQL} SELECT pos, id AS token FROM stream, total WHERE pos >= t // 3 AND pos < t // 3 + t // 10",

@@ -50,6 +50,22 @@ def stream_pack_resumed(spark, sf_dir):
     return describe_blocks(P.packed_blocks(spark, out, SEQ_LEN))
 
 
+def stream_pack_budget(spark, sf_dir):
+    """Half of all tokens are asked for; documents arrive in three portions, so the second one crosses the budget."""
+    docs = documents(spark, sf_dir)
+    encode = _encoder(docs)
+    budget = C.encoded_corpus(docs, encode).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // 2
+    out = fresh_path(spark, "stream-pack")
+    portions = with_range(docs, "doc_id", range_cuts(docs, "doc_id", 3))
+    arriving = f"{out}/arriving"
+    for portion in range(3):
+        portions.where(F.col(RANGE) == portion).drop(RANGE).write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(docs.schema).parquet(arriving)
+        if P.pack_to_budget(stream, encode, out, f"{out}/checkpoint", SEQ_LEN, budget):
+            break
+    return describe_blocks(P.packed_blocks(spark, out, SEQ_LEN))
+
+
 def stream_metrics(spark, sf_dir):
     """Running throughput of every run after the whole event stream."""
     out = fresh_path(spark, "stream-metrics")
@@ -85,6 +101,7 @@ def stream_pending(spark, sf_dir):
 QUERIES = {
     "stream_pack": stream_pack,
     "stream_pack_resumed": stream_pack_resumed,
+    "stream_pack_budget": stream_pack_budget,
     "stream_metrics": stream_metrics,
     "stream_emit": stream_emit,
     "stream_pending": stream_pending,
@@ -93,6 +110,7 @@ QUERIES = {
 SQL = {
     "stream_pack": CP.SQL["pack_blocks_streaming"],
     "stream_pack_resumed": CP.SQL["pack_blocks_streaming"],
+    "stream_pack_budget": CP.streaming_blocks_sql(f"least(t // {SEQ_LEN + 1}, (t // 2 + {SEQ_LEN - 1}) // {SEQ_LEN})"),
     "stream_metrics": f"""WITH {TP._TOKENS_SQL}
 SELECT run, restart, sum(tokens)::BIGINT AS tokens, round((max(at_us) - min(at_us)) / 1e6, 6) AS seconds,
        round(sum(tokens) / greatest((max(at_us) - min(at_us)) / 1e6, 1e-6), 4) AS tokens_per_second
