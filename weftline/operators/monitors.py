@@ -76,6 +76,17 @@ def monitor_keys(monitors: DataFrame) -> DataFrame:
     return monitors.select(F.inline(entries))
 
 
+def head_scales(heads: DataFrame) -> DataFrame:
+    """``(layer, head, raw)`` to the positive scale of each head: softplus of the mean of its raw values."""
+    return heads.groupBy("layer", "head").agg(softplus(F.avg("raw")).alias("scale"))
+
+
+def head_keys(scales: DataFrame) -> DataFrame:
+    """Scales per head to ``(metric, value)`` under their logged names."""
+    name = F.concat(F.lit("lambda/L"), F.col("layer").cast("string"), F.lit("_H"), F.col("head").cast("string"))
+    return scales.select(name.alias("metric"), F.col("scale").alias("value"))
+
+
 def parse_monitor_keys(metrics: DataFrame) -> DataFrame:
     """``(metric, value)`` to ``(name, layer, head, value)``; keys of other kinds are left out."""
     key = F.col("metric")
@@ -113,8 +124,8 @@ def range_status(monitors: DataFrame) -> DataFrame:
 
 
 def parameter_status(counts: DataFrame, base: str, other: str) -> DataFrame:
-    """Whether two parameter counts agree within 1%."""
-    gap = F.abs(F.col(other) - F.col(base)) / F.col(base)
+    """Whether two parameter counts agree within 1%; without a count to compare with they do not."""
+    gap = F.try_divide(F.abs(F.col(other) - F.col(base)).cast("double"), F.col(base).cast("double"))
     return counts.select(
         "*", gap.alias("gap"), F.when(gap < PARAMETER_TOLERANCE, "OK").otherwise("WARNING").alias("parameter_status")
     )

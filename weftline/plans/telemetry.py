@@ -112,9 +112,20 @@ def _monitors(spark, sf_dir):
 
 
 def monitor_metrics(spark, sf_dir):
-    """Monitor rows written under their logged keys and parsed back from them."""
-    parsed = M.parse_monitor_keys(M.monitor_keys(_monitors(spark, sf_dir)))
-    return parsed.select("name", F.col("layer").cast("bigint").alias("layer"), F.round("value", 6).alias("value"))
+    """Monitor rows of layers and of heads (a place of the vectors each), written under their logged keys and parsed back."""
+    heads = _layers(spark, sf_dir).select("layer", F.posexplode("values").alias("head", "raw"))
+    keyed = M.monitor_keys(_monitors(spark, sf_dir)).unionByName(M.head_keys(M.head_scales(heads)))
+    return M.parse_monitor_keys(keyed).select(
+        "name", *[F.col(c).cast("bigint").alias(c) for c in ("layer", "head")], F.round("value", 6).alias("value")
+    )
+
+
+def parameter_status(spark, sf_dir):
+    """Two counts of the characters of each source: the recorded one and the texts' own."""
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.sum("n_chars").cast("bigint").alias("recorded"), F.sum(F.length("text")).cast("bigint").alias("counted")
+    )
+    return M.parameter_status(counts, "recorded", "counted").withColumn("gap", F.round("gap", 9))
 
 
 def range_status(spark, sf_dir):
@@ -140,6 +151,7 @@ QUERIES = {
     "attention_entropy": attention_entropy,
     "monitor_metrics": monitor_metrics,
     "range_status": range_status,
+    "parameter_status": parameter_status,
     "finite_check": finite_check,
 }
 
@@ -216,8 +228,15 @@ p AS (SELECT layer, vec_id, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p
 h AS (SELECT layer, vec_id, sum(-p * ln(p)) AS h FROM p GROUP BY ALL)
 SELECT layer, round(avg(h), 6) AS entropy, count(*) AS n_rows FROM h GROUP BY layer""",
     "monitor_metrics": f"""WITH {_MONITORS_SQL}
-SELECT 'monitor/max_g_c' AS name, layer, round(gap, 6) AS value FROM mon
-UNION ALL SELECT 'monitor/half_life', layer, round(half, 6) FROM mon""",
+SELECT 'monitor/max_g_c' AS name, layer, NULL::BIGINT AS head, round(gap, 6) AS value FROM mon
+UNION ALL SELECT 'monitor/half_life', layer, NULL, round(half, 6) FROM mon
+UNION ALL SELECT 'lambda', layer, head, round(ln(1 + exp(avg(raw))), 6) FROM (
+    SELECT label::BIGINT AS layer, unnest(embedding)::DOUBLE AS raw, generate_subscripts(embedding, 1) - 1 AS head FROM embeddings
+) GROUP BY ALL""",
+    "parameter_status": """WITH counts AS (
+    SELECT source, sum(n_chars)::BIGINT AS recorded, sum(length(text))::BIGINT AS counted FROM documents GROUP BY source
+), gaps AS (SELECT *, abs(counted - recorded)::DOUBLE / nullif(recorded, 0)::DOUBLE AS gap FROM counts)
+SELECT source, recorded, counted, round(gap, 9) AS gap, CASE WHEN gap < 0.01 THEN 'OK' ELSE 'WARNING' END AS parameter_status FROM gaps""",
     "range_status": f"""WITH {_MONITORS_SQL}
 SELECT layer, CASE WHEN gap < 20 THEN 'OK' ELSE 'WARNING' END AS gap_status,
        CASE WHEN half > 10 AND half < 200 THEN 'OK' ELSE 'WARNING' END AS half_life_status FROM mon""",
