@@ -261,6 +261,14 @@ def test_html(spark):
     assert {tuple(r) for r in extract(rows).collect()} == {(1, "u", want, len(want)), (2, None, "", 0)}
 
 
+def test_deep_pages():
+    inner = "<p>" + "the text of it that they had " * 10
+    deep = "<div class=ad>" * 6000
+    assert main_text(f"<html lang=en><body>{deep}{inner}").startswith("the text")  # most of the page lies in it
+    page = f"<html lang=en><body><article>{inner}</p></article>{deep}<p>buy this and that of the day"
+    assert main_text(page) == ("the text of it that they had " * 10).strip()
+
+
 PROSE = "the text of it is that which they had in the house and for this we are not on it " * 3
 
 

@@ -69,22 +69,23 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, bool, int]] = []
-        self.stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # element, silent, aside, article, hints
-        self.under: list[tuple[int, ...]] = []  # the hints around each block
+        self.stack: list[tuple[str, bool, bool, int, int]] = []  # element, silent, aside, article, innermost hint
+        self.under: list[int] = []  # the innermost hint around each block, -1 for none
+        self.parent: list[int] = []  # of each hint, the one around it
         self.whole: list[bool] = []  # of each hint: a whole name or a form, not a part of a name
-        self.holds: set[int] = set()  # hints with an article in them
+        self.holds: set[int] = set()  # innermost hints around an article
         self.text: list[str] = []
         self.linked = self.links = self.articles = 0
 
-    def _state(self) -> tuple[bool, bool, int, tuple[int, ...]]:
-        return self.stack[-1][1:] if self.stack else (False, False, 0, ())
+    def _state(self) -> tuple[bool, bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, False, 0, -1)
 
     def _flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, aside, article, hints = self._state()
+            _, aside, article, hint = self._state()
             self.blocks.append((text, self.linked, aside, article))
-            self.under.append(hints)
+            self.under.append(hint)
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -102,10 +103,10 @@ class _Blocks(HTMLParser):
             self._flush()
         elif tag in ("td", "th"):
             self.text.append(" ")
-        silent, aside, article, hints = self._state()
+        silent, aside, article, hint = self._state()
         given = dict(attrs)
         if tag in ("article", "main"):
-            self.holds.update(hints)
+            self.holds.add(hint)
             if not article and not aside:
                 self.articles += 1
                 article = self.articles
@@ -114,9 +115,10 @@ class _Blocks(HTMLParser):
             names = f"{given.get('class') or ''} {given.get('id') or ''}".split()
             whole = tag == "form" or any(_WHOLE.fullmatch(name) for name in names)
             if whole or any(_PART.search(name) for name in names):
-                hints = (*hints, len(self.whole))
+                self.parent.append(hint)
+                hint = len(self.whole)
                 self.whole.append(whole)
-        self.stack.append((tag, silent or tag in SILENT, aside, article, hints))
+        self.stack.append((tag, silent or tag in SILENT, aside, article, hint))
         self.links += tag == "a"
 
     def handle_endtag(self, tag):
@@ -143,19 +145,29 @@ class _Blocks(HTMLParser):
             return self.blocks
         size = [0 if aside or _linked(text, linked) or len(text) < SHORT else len(text) for text, linked, aside, _ in self.blocks]
         mine, inside = [0] * len(self.whole), [0] * len(self.whole)
-        for (_, _, _, article), n, hints in zip(self.blocks, size, self.under, strict=True):
-            for h in hints:
+        for (_, _, _, article), n, h in zip(self.blocks, size, self.under, strict=True):
+            if h >= 0:
                 mine[h] += n
                 inside[h] += n if article else 0
+        holds = [h in self.holds for h in range(len(self.whole))]
+        for h in range(len(self.whole) - 1, -1, -1):  # an outer hint has a smaller number
+            if (up := self.parent[h]) >= 0:
+                mine[up] += mine[h]
+                inside[up] += inside[h]
+                holds[up] |= holds[h]
         articles = sum(n for block, n in zip(self.blocks, size, strict=True) if block[3])
         # a hint means nothing around the page's article, or around most of its text where no article of some length is elsewhere
         kept = [
-            not ((h in self.holds and articles - inside[h] <= mine[h]) or (mine[h] >= LONG and 2 * mine[h] > sum(size) and articles - inside[h] < LONG))
+            not ((holds[h] and articles - inside[h] <= mine[h]) or (mine[h] >= LONG and 2 * mine[h] > sum(size) and articles - inside[h] < LONG))
             for h in range(len(self.whole))
         ]
+        any_text, short_text = [], []  # of each hint: whether it or one around it sets aside all blocks, short ones
+        for h, up in enumerate(self.parent):
+            any_text.append((kept[h] and self.whole[h]) or (up >= 0 and any_text[up]))
+            short_text.append(kept[h] or (up >= 0 and short_text[up]))
         return [
-            (text, linked, aside or any(kept[h] and (self.whole[h] or len(text) < SHORT) for h in hints), article)
-            for (text, linked, aside, article), hints in zip(self.blocks, self.under, strict=True)
+            (text, linked, aside or (h >= 0 and (any_text[h] or (len(text) < SHORT and short_text[h]))), article)
+            for (text, linked, aside, article), h in zip(self.blocks, self.under, strict=True)
         ]
 
 
