@@ -7,8 +7,12 @@ chance that a slot agrees is exactly the weighted Jaccard similarity of the two
 
 Banding: ``SLOTS`` / ``ROWS`` bands of ``ROWS`` slots. At a similarity of 0.8 a pair misses every band with
 probability (1 - 0.8^4)^24 = 3e-6. Documents that share a bucket belong to a family (buckets become stars, their
-components the families). Within a family all members are compared exactly, on multisets of shingles, by matrix
-products inside tasks; a large family is dealt into blocks of about ``BLOCK`` members and a group of rows holds two of them.
+components the families). A family of more than ``BLOCK`` members, as texts make that have little but a template in common, is
+first split by prefixes: of two texts at 0.8 or more each has at most a fifth of its shingles outside the other, so
+in one order of all shingles their first fifths (and one more) share a shingle. The order puts shingles that are frequent in
+the family last, so that a template is in no prefix; what shares no prefix is apart, and no link is lost.
+Within a family all members are then compared exactly, on multisets of shingles, by matrix
+products inside tasks; one that is still large is dealt into blocks of about ``BLOCK`` members and a group of rows holds two of them.
 Tasks return only a spanning forest of the links found, so results stay linear in the number of
 documents. Exact copies are one member.
 
@@ -34,6 +38,8 @@ ROWS = 4
 SIMILAR = (4, 5)
 #: Members of a family that one group compares with each other, or with as many others.
 BLOCK = 1500
+#: A shingle that one of so many members of a family has is frequent there. It decides the order in prefixes, not what is found.
+FREQUENT = 16
 
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xD1B54A32D192ED03)
@@ -210,6 +216,77 @@ def _link(part):
     return pa.table({"a": names.take(a), "b": names.take(b)})
 
 
+def _sets(part) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in part["members"].combine_chunks()]
+
+
+def _frequent(part):
+    """The frequent shingles of one block of a family, ascending, and how often each is there."""
+    sets = _sets(part)
+    keys, often = np.unique(np.concatenate(sets), return_counts=True)
+    kept = (often > 1) & (often * FREQUENT >= len(sets))
+    row = {"family": [part["family"][0].as_py()], "keys": [keys[kept].tobytes()], "often": [often[kept].tobytes()]}
+    return pa.table(row, pa.schema([("family", pa.binary()), ("keys", pa.binary()), ("often", pa.binary())]))
+
+
+def prefix(keys: np.ndarray, frequent: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The keys that a similar set must share one of: the first in the order of (how often in the family, key)."""
+    rank = np.zeros(len(keys), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+        rank = np.where(frequent[at] == keys, often[at], 0)
+    need = -(-SIMILAR[0] * len(keys) // SIMILAR[1])
+    return keys[np.lexsort((keys, rank))][: len(keys) - need + 1]
+
+
+def _prefixes(part, table):
+    """(key, node): the prefixes of one block of a family, keys being of this family alone."""
+    if not len(part):
+        return pa.table({"key": pa.array([], pa.int64()), "node": pa.array([], pa.binary())})
+    frequent, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(table):
+        frequent, often = np.frombuffer(table["keys"][0].as_buffer(), np.uint64), np.frombuffer(table["often"][0].as_buffer(), np.int64)
+    own = np.frombuffer(part["family"][0].as_py()[:8], np.uint64)
+    first = [prefix(x, frequent, often) for x in _sets(part)]
+    nodes = part["node"].combine_chunks().take(pa.array(np.repeat(np.arange(len(first)), [len(x) for x in first])))
+    return pa.table({"key": pa.array(mix(np.concatenate(first) + own).view(np.int64)), "node": nodes})
+
+
+def _sized(families: DataFrame) -> DataFrame:
+    """(node, family, n): with the members of each family."""
+    return families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family").select("node", "family", "n")
+
+
+def _split(members: DataFrame, large: DataFrame) -> DataFrame:
+    """(node, family) of ``large`` (node, family, n) with families cut to what shares prefixes; nodes that share none are left out."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    frequent = members.join(dealt.where("block = 0"), "node").groupBy("family").applyInArrow(_frequent, "family binary, keys binary, often binary")
+    places = large.select("family", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("place")).distinct()
+    tables = common.stage(frequent, "frequent").join(places, "family").select(F.col("family").alias("of"), "place", "keys", "often").groupBy("of", "place")
+    rows = members.join(dealt, "node").groupBy("family", "block")
+    keys = common.stage(rows.cogroup(tables).applyInArrow(_prefixes, "key bigint, node binary"), "prefixes")
+    star = keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    edges = keys.join(star, "key").select(F.col("node").alias("a"), "b").where("a != b").distinct()
+    return components(edges).select("node", F.col("component").alias("family"))
+
+
+def split_families(members: DataFrame, families: DataFrame) -> DataFrame:
+    """(node, family): families above ``BLOCK`` members are split by prefixes as long as that halves them.
+
+    A part goes through another round only if it has at most half of its family's members, so rounds grow with the
+    logarithm of the largest family; whether a round is needed is all that reaches the driver.
+    """
+    sized = common.stage(_sized(families), "families")
+    done, large = sized.where(F.col("n") <= BLOCK).select("node", "family"), sized.where(F.col("n") > BLOCK)
+    while not large.isEmpty():
+        was = large.select("node", F.col("n").alias("was"))
+        now = common.stage(_sized(_split(members, large)).join(was, "node"), "families")
+        again = (F.col("n") > BLOCK) & (F.col("n") * 2 <= F.col("was"))
+        done, large = done.unionByName(now.where(~again).select("node", "family")), now.where(again).select("node", "family", "n")
+    return done
+
+
 def _links(members: DataFrame, families: DataFrame) -> DataFrame:
     """(a, b): enough links to join all similar members of each family (node, family).
 
@@ -244,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = common.stage(texts.mapInArrow(_members, "node binary, members binary"), "members")
     star = buckets.groupBy("band").agg(F.min("node").alias("b"))
     families = components(buckets.join(star, "band").select(F.col("node").alias("a"), "b"))
-    families = common.stage(families.select("node", F.col("component").alias("family")), "families")
+    families = split_families(members, families.select("node", F.col("component").alias("family")))
     label = components(_links(members, families))
     placed = signed.join(label, "node", "left").select("doc_id", F.size("bands").alias("n"), F.coalesce("component", "node").alias("component"))
     lowest = placed.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("class_id"))
