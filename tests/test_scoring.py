@@ -1,5 +1,6 @@
 """Request building and score folding on tiny inputs with known answers."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,40 @@ def test_folding_with_a_callers_scorer(spark):
     assert rows == {"a": (-3.0, True, 2, 2), "b": (0.0, True, 0, 0), "c": (-1.0, False, 1, 1)}
 
 
+def test_padded_batches_have_a_bound_and_lose_no_row():
+    lengths = np.array([1, 2, 2, 3, 9, 9, 40])
+    parts = list(X.padded_batches(lengths, 18))
+    assert [(p.start, p.stop) for p in parts] == [(0, 4), (4, 6), (6, 7)]
+    assert list(X.padded_batches(np.array([], int), 18)) == []
+
+
+@pytest.mark.parametrize("batch_ids", [1, 12, 65_536])
+def test_a_callers_model_on_padded_batches(spark, batch_ids):
+    rows = [("a", [1], [2, 3]), ("b", [1, 2], []), ("c", [], [9, 8]), ("d", [], [7]), ("e", [4] * 9, [5, 6, 7]), ("f", None, [1]), ("g", [], [])]
+    frame = requests(spark, rows)
+
+    def load():
+        def model(ids, lengths):
+            before = np.cumsum(ids, axis=1) - ids  # a score that needs all ids before
+            assert all((row[n:] == 99).all() for row, n in zip(ids, lengths, strict=True))
+            return -before.astype(float), ids * 2
+
+        return model
+
+    for cap in (None, 4):
+        scores = X.score_padded(frame.coalesce(1), load, cap, batch_ids, 99)
+        got = {(r.request_id, r.pos): (r.token, r.logprob, r.argmax_token) for r in scores.collect()}
+        want = {}
+        for name, ctx, cont in rows:
+            ids = (ctx or []) + cont if ctx is not None else []
+            ids = ids[-cap:] if cap else ids
+            begin = len(ids) - len(cont)
+            want |= {(name, i - begin): (ids[i], -float(sum(ids[:i])), 2 * ids[i]) for i in range(max(begin, 1), len(ids))}
+        assert got == want
+        found = X.request_scores(X.gather_scores(X.continuation_targets(frame, cap), scores)).collect()
+        assert {r.request_id for r in found} == {r[0] for r in rows}
+
+
 def test_normalisation_and_ties(spark):
     scores = spark.createDataFrame(
         [(1, 0, 1, -1.0), (1, 1, 1, -0.5), (1, 2, 1, -0.5)], "item_id long, choice_idx int, label int, score double"

@@ -6,14 +6,18 @@ that makes it can be used.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.math import share
 from weftline.functions.text import keep_last
+from weftline.session import ship_package
 
 SCORE_SCHEMA = "request_id string, pos int, token int, logprob double, argmax_token int"
 
@@ -66,6 +70,80 @@ def score_with(requests: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFram
     return requests.mapInPandas(run, schema)
 
 
+#: ``(ids, lengths)`` to ``(logprob, argmax)``: matrices of one row a request; what stands behind a row's length is padding.
+PaddedModel = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+_loaded: dict[str, PaddedModel] = {}
+
+
+def _model(name: str, load: Callable[[], PaddedModel]) -> PaddedModel:
+    """The model called ``name`` of this worker; later tasks of the worker find it there. One is kept at a time."""
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def padded_batches(lengths: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of ascending ``lengths`` whose padded matrix holds at most ``most`` ids; a longer row is alone."""
+    start = 0
+    for end in range(1, len(lengths) + 1):
+        if end == len(lengths) or (end + 1 - start) * int(lengths[end]) > most:
+            yield slice(start, end)
+            start = end
+
+
+def score_padded(
+    requests: DataFrame,
+    load: Callable[[], PaddedModel],
+    max_length: int | None = None,
+    batch_ids: int = 65_536,
+    pad_id: int = 0,
+) -> DataFrame:
+    """Token scores of the continuations by a caller's model that takes padded batches.
+
+    ``load`` runs once in each Python worker. Requests are ordered by length inside their partition (no shuffle),
+    so a batch holds rows of like length and little padding; ``batch_ids`` bounds its matrix. With ``max_length`` a
+    longer request keeps its last ids. ``logprob[r, i]`` and ``argmax[r, i]`` are about ``ids[r, i]`` after the
+    ids before it. Requests without a position to score (no continuation, nothing before it, null ids) have no row here;
+    ``gather_scores`` keeps them.
+    """
+    ship_package(requests.sparkSession)
+    joined = F.concat("ctx_ids", "cont_ids")
+    kept = requests.select(
+        "request_id", (joined if max_length is None else keep_last(joined, max_length)).alias("ids"), F.size("cont_ids").alias("n")
+    ).where((F.size("ids") > 1) & (F.col("n") > 0))
+    name = uuid.uuid4().hex
+    id_type = requests.schema["request_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = batch.column(1), batch.column(2).to_numpy()
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+            lengths = np.diff(ends)
+            for part in padded_batches(lengths, batch_ids):
+                size = lengths[part]
+                inside = np.arange(size.max())[None, :] < size[:, None]
+                matrix = np.full(inside.shape, pad_id, np.int32)
+                matrix[inside] = flat[ends[part.start] : ends[part.stop]]
+                logprob, argmax = _model(name, load)(matrix, size)
+                begin = size - n[part]
+                row, at = np.nonzero(inside & (np.arange(inside.shape[1])[None, :] >= np.maximum(begin, 1)[:, None]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(row + part.start)),
+                        pa.array((at - begin[row]).astype(np.int32)),
+                        pa.array(matrix[row, at]),
+                        pa.array(np.asarray(logprob, np.float64)[row, at]),
+                        pa.array(np.asarray(argmax, np.int32)[row, at]),
+                    ],
+                    ["request_id", "pos", "token", "logprob", "argmax_token"],
+                )
+
+    ordered = kept.sortWithinPartitions(F.size("ids"))
+    return ordered.mapInArrow(run, f"request_id {id_type}, pos int, token int, logprob double, argmax_token int")
+
+
 def gather_scores(targets: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores of the wanted tokens out of a table that may hold other positions and candidates."""
     wanted = scores.select("request_id", "pos", "token", "logprob", "argmax_token")

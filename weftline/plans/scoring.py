@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,30 @@ def last_word_accuracy(spark, sf_dir):
     )
 
 
+def _id_logprobs(encoded: DataFrame) -> np.ndarray:
+    """ln p of each id by its share of the corpus; as many numbers as ids fit 16 bits."""
+    counted = encoded.select(F.explode("ids").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    n = np.zeros(C.LARGEST_ID + 1, np.int64)
+    n[counted["token"]] = counted["n"]
+    return np.log((n + 1) / (n.sum() + C.VOCABULARY_SIZE))
+
+
+def padded_scores(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    encode = C.native_encoder(C.vocabulary(docs))
+    sent = spark.sparkContext.broadcast(_id_logprobs(C.encoded_corpus(docs, encode)))
+
+    def load() -> X.PaddedModel:
+        logprobs = sent.value
+        best = int(logprobs.argmax())
+        return lambda ids, lengths: (logprobs[ids], np.full(ids.shape, best))
+
+    requests = R.encode_requests(R.last_word_requests(items(spark, sf_dir)), encode)
+    scores = X.score_padded(requests, load, R.MAX_LENGTH)
+    found = X.request_scores(X.gather_scores(X.continuation_targets(requests, R.MAX_LENGTH), scores))
+    return found.select("request_id", *_rounded("ll"), "is_greedy", "n_expected", "n_scored")
+
+
 def _choices(spark, sf_dir):
     listed = R.with_distractors(items(spark, sf_dir), DISTRACTORS, SEED)
     return listed.select("item_id", F.col("ctx").alias("question"), F.struct(F.col("choices").alias("text")).alias("choices"), "label")
@@ -188,6 +213,7 @@ QUERIES = {
     "turn_loglikelihood": turn_loglikelihood,
     "rolling_perplexity": rolling_perplexity,
     "rolling_tail_perplexity": rolling_tail_perplexity,
+    "padded_scores": padded_scores,
     "label_validity": label_validity,
     "token_score_gather": token_score_gather,
     "decoded_documents": decoded_documents,
@@ -368,6 +394,15 @@ SELECT item_id, choice_idx, label, n_scored, round(ll, 6) AS ll, round(score, 6)
 SELECT request_id, round(ll, 6) AS ll, is_greedy, n_expected, n_scored FROM folded""",
     "rolling_perplexity": _rolling_sql(None),
     "rolling_tail_perplexity": _rolling_sql(R.MAX_LENGTH),
+    "padded_scores": f"""{_SCORE_LAST},
+counts AS (SELECT id, count(*) AS n FROM id_rows GROUP BY id),
+reqs_u AS (SELECT * FROM reqs), req_ids_u AS (SELECT * FROM req_ids),
+scored_u AS (
+    SELECT request_id, part, token, ln((coalesce(n, 0) + 1) / ((SELECT sum(n) FROM counts) + {C.VOCABULARY_SIZE})) AS logprob,
+           (SELECT id FROM counts ORDER BY n DESC, id LIMIT 1) AS best
+    FROM targets LEFT JOIN counts ON counts.id = token WHERE prev IS NOT NULL
+), {_fold("_u")}
+SELECT request_id, round(ll, 6) AS ll, is_greedy, n_expected, n_scored FROM folded_u""",
     "label_validity": """WITH keyed AS (
     SELECT doc_id, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN NULL ELSE 1 END
                         ELSE CASE WHEN toxic = 1 THEN 3 ELSE 2 END END AS label,
