@@ -1,5 +1,7 @@
 """Token stream, packing, shards and batches on tiny inputs with known answers."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -171,6 +173,25 @@ def test_range_read_and_shard_lookup(spark):
     assert found == {p: (0, p) if p < 7 else (2, 0) if p == 7 else (3, p - 8) for p in range(25)}
 
 
+def test_positions_and_shards_are_merged_in_ranges(spark, monkeypatch):
+    rng = random.Random(4)
+    sizes = [rng.choice([0, 1, 3, 40, 4000]) for _ in range(300)]
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    asked = [rng.randrange(-5, sum(sizes) + 50) for _ in range(2000)] + [starts[-1]] * 500 + [None, 0, sum(sizes) - 1, sum(sizes)]
+    positions = spark.createDataFrame([(p, i, "x") for i, p in enumerate(asked)], "pos long, row long, n_tokens string")
+    manifest = S.shard_offsets(spark.createDataFrame(list(enumerate(sizes)), "shard_id long, n_tokens long"))
+    want = {}
+    for row, p in enumerate(asked):
+        if p is not None and 0 <= p < sum(sizes):
+            shard = max(i for i, s in enumerate(starts) if sizes[i] and s <= p)
+            want[row] = (p, "x", shard, p - starts[shard])
+    for rows in (X.ROWS_PER_RANGE, 40):
+        monkeypatch.setattr(X, "ROWS_PER_RANGE", rows)
+        found = S.locate_positions(positions, manifest).collect()
+        assert len(found) == len(want) and {r.row: (r.pos, r.n_tokens, r.shard_id, r.local_pos) for r in found} == want
+    assert S.locate_positions(positions, manifest.limit(0)).count() == 0
+
+
 def test_every_epoch_is_a_different_permutation(spark):
     places = B.shuffled_epochs(spark, 10, 3, 7)
     orders = {}

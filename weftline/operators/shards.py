@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators.corpus import cut_at
 from weftline.operators.packing import slices
-from weftline.operators.prefix import RANGE, with_range
+from weftline.operators.prefix import RANGE, range_cuts, with_range
+from weftline.session import stage
 
 # Fixed value: tokens per published shard.
 SHARD_TOKENS = 100_000_000
@@ -61,21 +62,27 @@ def shard_offsets(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def locate_positions(positions: DataFrame, manifest: DataFrame, most_shards: int = 1_000_000) -> DataFrame:
-    """Shard and local position of each ``pos`` for shards of any size.
+def locate_positions(positions: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Shard and local position of each ``pos`` for shards of any size; positions in no shard, and null ones, are left out.
 
-    The manifest is small (its row count is checked), so its starts become the cut points of a binary
-    search per position; each position then meets exactly one shard.
+    A merge of two sides in one order: starts and positions are dealt together to ranges of ``pos``, each position
+    takes the last start before it in its range, or else the last start of the ranges before. Neither side has a
+    limit and no start reaches the driver; equal positions share a range.
     """
-    shards = manifest.where("n_tokens > 0").select("shard_id", F.col("start").alias("shard_start"), "n_tokens")
-    ends = shards.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("shard_start") + F.col("n_tokens")).alias("total")).first()
-    if ends.n > most_shards:
-        raise ValueError(f"{ends.n} shards; expected a manifest of at most {most_shards}")
-    starts = [float(r.shard_start) for r in shards.select("shard_start").orderBy("shard_start").collect()]
-    numbered = shards.withColumn(RANGE, F.row_number().over(W.orderBy("shard_start")) - 1).drop("n_tokens")
-    inside = positions.where((F.col("pos") >= 0) & (F.col("pos") < (ends.total or 0)))
-    found = with_range(inside, "pos", starts[1:]).join(F.broadcast(numbered), RANGE)
-    return found.withColumn("local_pos", F.col("pos") - F.col("shard_start")).drop(RANGE, "shard_start")
+    start, mark = F.col("start"), F.struct("start", "n_tokens", "shard_id")
+    starts = manifest.where("n_tokens > 0").select(start.cast("bigint").alias("pos"), mark.alias("_shard"))
+    both = positions.where("pos >= 0").withColumn("_place", F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    both = stage(both, "positions")  # read for the cuts, the ranges' last starts and the merge
+    ranged = with_range(both, "pos", range_cuts(both, "pos"))
+    before = W.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    last = ranged.groupBy(RANGE).agg(F.max("_shard").alias("_last"))
+    # one row a range, and range_cuts sets their number
+    carried = F.broadcast(last.select(RANGE, F.max("_last").over(before).alias("_carried")))
+    inside = W.partitionBy(RANGE).orderBy(F.col("pos"), F.col("_place").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    met = ranged.withColumn("_shard", F.last("_shard", ignorenulls=True).over(inside)).where("_place").join(carried, RANGE)
+    found = met.withColumn("_shard", F.coalesce("_shard", "_carried")).where(F.col("pos") < F.col("_shard.start") + F.col("_shard.n_tokens"))
+    placed = found.withColumns({"shard_id": F.col("_shard.shard_id"), "local_pos": F.col("pos") - F.col("_shard.start")})
+    return placed.drop(RANGE, "_shard", "_place", "_carried")
 
 
 def manifest_row(sizes: DataFrame, **facts: object) -> DataFrame:
