@@ -1,10 +1,12 @@
 """Streams in several micro-batches and restarts give what one batch gives."""
 
+import shutil
 
 from pyspark.sql import functions as F
 
 from weftline.operators import corpus as C
 from weftline.operators import packing as P
+from weftline.plans import streams as Q
 from weftline.sources import logs as L
 from weftline.streaming import packing as SP
 from weftline.streaming import pending as SN
@@ -124,3 +126,18 @@ def test_new_logs_shorten_the_plan(spark, tmp_path):
         left.append({(r.tag, r.state) for r in rows.collect()})
     assert left[0] == {("a", "runnable"), ("b", "runnable"), ("c", "missing")}
     assert left[1] == {("b", "runnable"), ("c", "missing")}
+
+
+def test_tables_of_one_file_and_of_many_are_streamed(spark, tmp_path):
+    docs = documents(spark)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(5).write.parquet(f"{tmp_path}/documents.parquet.old")
+    assert Q.stream_pack(spark, str(tmp_path)).count() == 0  # fewer tokens than a block
+    [part] = [p for p in (tmp_path / "documents.parquet.old").iterdir() if p.suffix == ".parquet"]
+    (tmp_path / "one").mkdir()
+    shutil.copy(part, tmp_path / "one" / "documents.parquet")
+    for folder, rows in ((tmp_path, 60), (tmp_path / "one", 5)):
+        seen = []
+        stream = Q.stream_of(spark, str(folder), "documents").writeStream.foreachBatch(lambda batch, _, seen=seen: seen.append(batch.count()))
+        stream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        assert sum(seen) == rows

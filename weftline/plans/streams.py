@@ -20,8 +20,9 @@ from weftline.streaming import telemetry as T
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream, be it one file or a folder of files: a stream may start at neither name, but at a pattern of it."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _encoder(docs: DataFrame) -> C.Encoder:
