@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -277,3 +278,26 @@ def test_clustered_corpus_opens_only_the_zones_of_a_range(spark):
         assert "Exchange" not in plan and "PartitionFilters: [isnotnull(zone" in plan and "LessThan(start" in plan
     assert table.within(50_000, 60_000).count() == 0
     assert C.clustered_corpus(encoded.limit(0)).within(0, 10).count() == 0
+
+
+def test_lookup_in_pieces_gives_the_same_ids(monkeypatch):
+    words = pa.array([f"w{i}" for i in range(9)])
+    rows = [None if i % 7 == 3 else [["w1", "é", "w8", "xyz", "日本"][(i + j) % 5] for j in range(i % 13)] for i in range(60)]
+    known = {w: i + C.RESERVED for i, w in enumerate(words.to_pylist())}
+    plain = [[x for w in row or [] for x in ([known[w]] if w in known else [C.SPELLED_ID, *(b + C.FIRST_BYTE_ID for b in w.encode())])] for row in rows]
+    tokens = pa.array([["w0"], *rows], pa.list_(pa.string())).slice(1)
+    largest = []
+    spelled_ids = C.spelled_ids
+    monkeypatch.setattr(C, "spelled_ids", lambda part, listed: largest.append(len(part)) or spelled_ids(part, listed))
+    for at_once in (1, 10, 1 << 18):
+        monkeypatch.setattr(C, "TOKENS_AT_ONCE", at_once)
+        largest.clear()
+        assert C.list_ids(tokens, words).to_pylist() == plain
+        assert max(largest) <= at_once
+
+
+def test_encoding_reads_small_batches(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('w ', 20000) AS text").coalesce(1)
+    sizes = F.arrow_udf(lambda texts: pa.array([[len(texts)]] * len(texts), pa.list_(pa.int32())), "array<int>")
+    ids = C.encoded_corpus(docs, C.Encoder(sizes))
+    assert ids.agg(F.max(F.get("ids", F.lit(0)))).first()[0] < 400  # 16 MB of text in more than one batch

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import ship_package, stage
+from weftline.session import ship_package, small_batches, stage
 
 __all__ = ["ROW_KEY", "anti_join", "partitions", "ready", "row_key", "semi_join", "sized", "small_batches", "stage", "table"]
 
@@ -53,17 +50,3 @@ def semi_join(rows: DataFrame, keys: DataFrame, on: str, key_bytes: int = 8) ->
 def anti_join(rows: DataFrame, keys: DataFrame, on: str, key_bytes: int = 8) -> DataFrame:
     """The rows whose ``on`` is not among ``keys`` (distinct)."""
     return rows.join(sized(keys, key_bytes), on, "left_anti")
-
-
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-@contextmanager
-def small_batches(spark: SparkSession, size: int = 8_000_000) -> Iterator[None]:
-    """While a table of long rows is staged in this block, Python gets it in batches of about ``size`` bytes."""
-    before = spark.conf.get(_BATCH_BYTES)
-    spark.conf.set(_BATCH_BYTES, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_BYTES, before)
