@@ -301,3 +301,25 @@ def test_encoding_reads_small_batches(spark, monkeypatch):
     sizes = F.arrow_udf(lambda texts: pa.array([[len(texts)]] * len(texts), pa.list_(pa.int32())), "array<int>")
     ids = C.encoded_corpus(docs, C.Encoder(sizes))
     assert ids.agg(F.max(F.get("ids", F.lit(0)))).first()[0] < 400  # 16 MB of text in more than one batch
+
+
+def test_whole_arrays_decode_as_rows_do(spark, monkeypatch):
+    monkeypatch.setattr(C, "TOKENS_AT_ONCE", 4)
+    vocab = spark.createDataFrame([("a", C.RESERVED), ("é", C.RESERVED + 1)], "token string, token_id int")
+    a, e = C.RESERVED, C.RESERVED + 1
+    ids = [[a, e, a], [C.SPELLED_ID, *(b + C.FIRST_BYTE_ID for b in "日x".encode()), a], [0, a, 60_000], [C.SPELLED_ID, C.FIRST_BYTE_ID + 0xFF, e], [a] * 9]
+    rows = spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>")
+    plain = C.decode(rows.select("doc_id", F.posexplode("ids").alias("pos", "token_id")), vocab, "doc_id", "pos")
+    whole = rows.select("doc_id", C.decoded_text(vocab)(F.col("ids")).alias("text"))
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.text for r in whole.collect()} == {r.doc_id: r.text for r in plain.collect()}
+
+
+def test_total_from_token_counts(spark):
+    docs = spark.createDataFrame([(0, "a a b é"), (1, ""), (2, None), (3, "xyz 日本 a!"), (4, " ")], "doc_id long, text string")
+    for size in (C.RESERVED + 1, C.RESERVED + 3, C.VOCABULARY_SIZE):
+        counts = C.token_counts(docs)
+        vocab = C.vocabulary_of(counts, size)
+        assert C.native_total(docs, counts, vocab) == C.total_tokens(docs, C.native_encoder(vocab))
+    empty = docs.limit(0)
+    assert C.native_total(empty, C.token_counts(empty), C.vocabulary(empty)) == 0

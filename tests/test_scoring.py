@@ -209,3 +209,21 @@ def test_distractors_come_from_other_items(spark):
         own = f"w{r.item_id}"
         assert len(r.choices) == 4 and r.choices[r.label] == own and r.choices.count(own) == 1
     assert C.VOCABULARY_SIZE - 1 <= C.LARGEST_ID
+
+
+@pytest.mark.parametrize("sent", [0, 3, 500_000])
+def test_rolling_scores_equal_the_rows_of_the_scorer(spark, monkeypatch, sent):
+    monkeypatch.setattr(G, "PAIRS_SENT", sent)
+    monkeypatch.setattr(C, "TOKENS_AT_ONCE", 5)
+    docs = [[(i * j) % 7 for j in range(i % 11)] + [0] for i in range(40)]
+    model = G.fit_bigrams(spark.createDataFrame([(i, len(d), d) for i, d in enumerate(docs)], "doc_id long, n_tokens long, ids array<int>"))
+    counted = {}
+    for d in docs:
+        for pair in zip(d[:-1], d[1:-1], strict=False):
+            counted[pair] = counted.get(pair, 0) + 1
+    assert {(r.prev, r.token): r.n for r in model.pairs.collect()} == counted
+    texts = spark.createDataFrame([(0, []), (1, [3]), (2, [1, 2, 99, 1]), (2, [5, 5]), (3, [2, 4, 6, 1, 3, 5, 0, 0] * 3)], "request_id long, ids array<int>")
+    for longest in (None, 4):
+        plain = X.request_scores(G.bigram_scores(X.rolling_targets(texts, longest), model))
+        want = {r.request_id: (round(r.ll, 9), r.n_scored) for r in plain.collect()}
+        assert {r.request_id: (round(r.ll, 9), r.n_scored) for r in G.rolling_scores(texts, model, longest).collect()} == want

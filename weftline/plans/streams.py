@@ -54,8 +54,10 @@ def stream_pack_resumed(spark, sf_dir):
 def stream_pack_budget(spark, sf_dir):
     """Half of all tokens are asked for; documents arrive in three portions, so the second one crosses the budget."""
     docs = documents(spark, sf_dir)
-    encode = _encoder(docs)
-    budget = C.encoded_corpus(docs, encode).agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] // 2
+    counts = C.token_counts(docs)
+    vocab = C.vocabulary_of(counts)
+    encode = C.native_encoder(vocab)
+    budget = C.native_total(docs, counts, vocab) // 2
     out = fresh_path(spark, "stream-pack")
     portions = with_range(docs, "doc_id", range_cuts(docs, "doc_id", 3))
     arriving = f"{out}/arriving"
