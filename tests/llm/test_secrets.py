@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import secrets as S
 
@@ -154,3 +156,21 @@ def test_candidates_are_not_plain_words():
     assert [text[a:b] for a, b in S.candidates(text, [])] == ["Tr0ub4dor&3", "correcthorse_battery", "aB3dE6gH9", "q" * 40]
     at = text.index("aB3")
     assert (at, at + 9) not in list(S.candidates(text, [(at + 8, 2, at + 20, at + 8)]))
+
+
+def test_all_labelled_windows_are_learnt_from_or_held_out(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(S, "PART", 700)
+    made = [(True, f"{i}", S.window(f"token = {drawn(rng, LETTERS, 24)} and", 8, 32)) for i in range(300)]
+    made += [(False, f"{i}", S.window(f"see the {drawn(rng, 'abcdefgh', 9)}-{drawn(rng, 'abcdefgh', 9)} here", 8, 27)) for i in range(2500)]
+    labelled = spark.createDataFrame([(k, zlib.crc32(w.encode()), w) for k, _, w in made], "known boolean, mark bigint, window string")
+    parts = labelled.withColumn("held", F.col("mark") % 4 == 0).withColumn("part", F.col("mark") % 5).groupBy("part")
+    sent = spark.sparkContext.broadcast(S.CharNet().flat())
+    passed = parts.applyInArrow(S._pass(sent, 0.5, 2), "w array<double>, n bigint").agg(F.sum("n")).first()[0]
+    learnt = labelled.where("mark % 4 != 0")
+    assert passed == learnt.where("NOT known").count() + (S.WIDENED + 2) * learnt.where("known").count()
+    net = S.train_all(labelled)
+    secret = [w for k, _, w in made if k]
+    other = [w for k, _, w in made if not k]
+    assert (net.scores(secret) >= net.threshold).mean() >= 0.97
+    assert (net.scores(other) >= net.threshold).mean() < 0.05

@@ -7,8 +7,9 @@ what is plainly a word with marks, a number or an address is not, and all else h
 finding is shown in its own context, in one of a harmless token, and there once more in letters of a wider alphabet, so
 that the string itself has to be judged and not the name before it (``WIDENED`` such forms). Every fourth finding and harmless token is held out:
 they calibrate the scores (a logistic curve), and the threshold is the highest at which ``RECALL`` of held-out findings,
-in all forms, stay found, whatever else passes it. The fit uses at most ``MOST_LABELLED`` of each label (those of the lowest
-hash, of up to ``MOST_CHARS`` characters); judged is every candidate of every text.
+in all forms, stay found, whatever else passes it. All distinct findings and harmless tokens are learnt from or held out: they are dealt by
+hash to parts of about ``PART``, each pass goes on from the same weights in every part, and the weights of the parts
+are averaged, by Spark, into those of the next pass. Judged is every candidate of every text.
 
 Without two findings and two harmless tokens nothing can be both learnt and held out: base findings only. Places are code
 points, ends exclusive; null is empty; repeated rows give repeated results, an empty table none; other columns are not
@@ -18,7 +19,6 @@ read, whatever their names.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,9 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm import common
+from weftline.operators.prefix import running_rank
 
 #: The base kinds and the least length of what each one names, in order. Fixed values.
 KINDS = ("assign", "access", "hex")
@@ -47,7 +49,7 @@ _HARMLESS = re.compile(
 
 LEAST_CHARS, AROUND, WIDTH = 8, 24, 5
 EDGE = AROUND + WIDTH // 2  # what stands beside a candidate, and nothing, so that no filter sees two windows
-MOST_LABELLED, MOST_CHARS, WIDENED = 1000, 400, 6
+PART, STEPS, WIDENED = 20_000, 600, 6
 RECALL = 0.99
 _WIDER = ("0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-")
 
@@ -117,6 +119,16 @@ def _flat(windows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.stack([first[:-1], first[:-1] + EDGE, first[1:] - EDGE], axis=1).ravel()
 
 
+def _batches(order: np.ndarray, sizes: np.ndarray, batch: int) -> Iterator[np.ndarray]:
+    """Stretches of ``order`` of up to ``batch`` windows and ``_STRETCH`` characters; a longer window is alone."""
+    for i in range(0, len(order), batch):
+        at = order[i : i + batch]
+        while len(at):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at]), _STRETCH, "right")))
+            yield at[:n]
+            at = at[n:]
+
+
 class CharNet:
     """One convolution over characters and their shapes, maxima and means of three parts, one output; trained with Adam."""
 
@@ -172,14 +184,22 @@ class CharNet:
         slope, shift = self.curve
         return 1 / (1 + np.exp(-np.clip(slope * np.concatenate(out) + shift, -500, 500)))
 
-    def fit(self, windows: list[str], y: np.ndarray, rounds: int = 6, batch: int = 64) -> CharNet:
-        r = np.random.Generator(np.random.PCG64(2))
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.w])
+
+    def load(self, flat: np.ndarray) -> CharNet:
+        ends = np.cumsum([w.size for w in self.w])[:-1]
+        self.w = [part.reshape(w.shape).copy() for part, w in zip(np.split(flat, ends), self.w, strict=True)]
+        return self
+
+    def fit(self, windows: list[str], y: np.ndarray, rounds: int = 6, batch: int = 64, secrets: float | None = None, seed: int = 2) -> CharNet:
+        """``secrets``: their share among all windows, where these are a part of them only."""
+        r = np.random.Generator(np.random.PCG64(seed))
         m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
-        share = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+        part = y.mean() if secrets is None else secrets
+        share, sizes = np.where(y == 1, 0.5 / max(part, 1e-9), 0.5 / max(1 - part, 1e-9)), np.array([len(w) for w in windows])
         for _ in range(rounds):
-            order = r.permutation(len(windows))
-            for i in range(0, len(windows), batch):
-                at = order[i : i + batch]
+            for at in _batches(r.permutation(len(windows)), sizes, batch):
                 t += 1
                 for k, g in enumerate(self._gradients([windows[n] for n in at], y[at], share[at])):
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -214,11 +234,16 @@ class CharNet:
         """The logistic curve over held-out scores, by Newton's steps on counts shrunk by one of each label."""
         x = np.concatenate([self.scores(secret), self.scores(other)])
         x = np.log(np.clip(x, 1e-12, 1 - 1e-12) / (1 - np.clip(x, 1e-12, 1 - 1e-12)))
-        aim = np.concatenate([np.full(len(secret), (len(secret) + 1) / (len(secret) + 2)), np.full(len(other), 1 / (len(other) + 2))])
+        self.bend(x, np.repeat([True, False], [len(secret), len(other)]), np.ones(len(x)))
+
+    def bend(self, x: np.ndarray, known: np.ndarray, count: np.ndarray) -> None:
+        """The curve from uncalibrated logits ``x``, each met ``count`` times."""
+        n = [count[known].sum(), count[~known].sum()]
+        aim = np.where(known, (n[0] + 1) / (n[0] + 2), 1 / (n[1] + 2))
         z, w = np.stack([x, np.ones_like(x)], axis=1), np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (p - aim))
+            step = np.linalg.solve((z * (count * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (count * (p - aim)))
             w -= step * min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
         self.curve = (max(float(w[0]), 1e-3), float(w[1]))
 
@@ -233,12 +258,12 @@ def _forms(findings: list[str], others: list[str]) -> list[str]:
     alphabet: as long or shorter, behind a short name, or in two pieces."""
     out = []
     for i, one in enumerate(findings):
-        value, there = one[EDGE:-EDGE], others[i % len(others)]
+        value = one[EDGE:-EDGE]
         out.append(one)
-        if _plain(value) or _HARMLESS.fullmatch(value) or len(value) < LEAST_CHARS:
+        if not others or _plain(value) or _HARMLESS.fullmatch(value) or len(value) < LEAST_CHARS:
             continue  # a word or a number is a secret by its name only
         r = np.random.Generator(np.random.PCG64(zlib.crc32(value.encode("utf-8", "surrogatepass"))))
-        made = [value]
+        there, made = others[i % len(others)], [value]
         for k in range(WIDENED):
             again = _lettered(r, int(r.integers(min(16, len(value)), len(value) + 1)))
             mark = "_-."[int(r.integers(3))]
@@ -266,26 +291,81 @@ def train(findings: list[str], others: list[str]) -> CharNet:
 
 
 def _labelled(batches):
-    """(label, mark, window) of findings and of harmless tokens: of each batch and label those of the lowest marks."""
+    """(label, mark, window) of all findings and harmless tokens, those of a batch once."""
     for batch in batches:
         seen = {True: set(), False: set()}
         for item in batch.column(0):
             text = item.as_py() or ""
             findings = _findings(text)
-            seen[True].update(window(text, value, b) for _, _, b, value in findings if b - value <= MOST_CHARS)
-            seen[False].update(window(text, a, b) for a, b in candidates(text, findings) if b - a <= MOST_CHARS and _HARMLESS.fullmatch(text, a, b))
-            for known in seen:
-                if len(seen[known]) > 2 * MOST_LABELLED:
-                    seen[known] = {w for _, w in _least(seen[known])}
-        rows = [(known, mark, w) for known in seen for mark, w in _least(seen[known])]
+            seen[True].update(window(text, value, b) for _, _, b, value in findings)
+            seen[False].update(window(text, a, b) for a, b in candidates(text, findings) if _HARMLESS.fullmatch(text, a, b))
+        rows = [(known, zlib.crc32(w.encode("utf-8", "surrogatepass")), w) for known in seen for w in sorted(seen[known])]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
             ["known", "mark", "window"],
         )
 
 
-def _least(windows: set[str]) -> list[tuple[int, str]]:
-    return heapq.nsmallest(MOST_LABELLED, ((zlib.crc32(w.encode("utf-8", "surrogatepass")), w) for w in windows))
+def _of(part: pa.Table, known: bool, held: bool) -> list[str]:
+    """Windows of a part in the order of their marks."""
+    rows = zip(*[part.column(name).to_pylist() for name in ("known", "held", "mark", "window")], strict=True)
+    return [w for _, w in sorted((mark, w) for k, h, mark, w in rows if k == known and h == held)]
+
+
+def _pass(sent, secrets: float, seed: int):
+    """One pass over a part: (weights, windows)."""
+
+    def run(part: pa.Table) -> pa.Table:
+        others = _of(part, False, False)
+        forms = _forms(_of(part, True, False), others)
+        net = CharNet().load(sent.value)
+        if forms or others:
+            net.fit(forms + others, np.array([1.0] * len(forms) + [0.0] * len(others)), 1, secrets=secrets, seed=seed)
+        return pa.table({"w": pa.array([net.flat()], pa.list_(pa.float64())), "n": pa.array([len(forms) + len(others)], pa.int64())})
+
+    return run
+
+
+def _held_scores(sent):
+    """(known, score) of a part's held-out windows, findings in all forms."""
+
+    def run(part: pa.Table) -> pa.Table:
+        others = _of(part, False, True)
+        forms = _forms(_of(part, True, True), others)
+        return pa.table({"known": pa.array([True] * len(forms) + [False] * len(others), pa.bool_()), "score": sent.value.scores(forms + others)})
+
+    return run
+
+
+def train_all(labelled: DataFrame) -> CharNet:
+    """The network from all of (known, mark, window), distinct rows: learnt, calibrated and held to ``RECALL`` part by part."""
+    spark, net = labelled.sparkSession, CharNet()
+    held = F.row_number().over(W.partitionBy("part", "known").orderBy("mark", "window")) % 4 == 1
+    count = {r["known"]: r["n"] for r in labelled.groupBy("known").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if count.get(True, 0) < 2 or count.get(False, 0) < 2:
+        return net
+    findings, others = count[True] * (WIDENED + 2), count[False]
+    n = -(-(findings + others) // PART)
+    dealt = labelled.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(n))).withColumn("held", held)
+    parts = common.stage(dealt, "labelled-parts").groupBy("part")
+    steps = 0.75 * (findings + others) / n / 64
+    for k in range(min(6, max(2, -(-STEPS // max(1, int(steps)))))):
+        sent = spark.sparkContext.broadcast(net.flat())
+        passed = parts.applyInArrow(_pass(sent, findings / (findings + others), 2 + k), "w array<double>, n bigint")
+        each = passed.select("n", F.posexplode("w").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
+        net.load(np.array([r["w"] for r in each.orderBy("at").collect()]))
+    scored = parts.applyInArrow(_held_scores(spark.sparkContext.broadcast(net)), "known boolean, score double")
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("score")))
+    x = F.log(p / (1 - p))
+    # steps of 1/64 of a logit, each at its mean: at most 3,540 rows a label, whatever the corpus
+    bins = scored.select("known", x.alias("x")).groupBy("known", F.floor(F.col("x") * 64)).agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).toPandas()
+    net.bend(bins["x"].to_numpy(float), bins["known"].to_numpy(bool), bins["n"].to_numpy(float))
+    again = parts.applyInArrow(_held_scores(spark.sparkContext.broadcast(net)), "known boolean, score double").where("known")
+    found = common.stage(again, "held-scores")
+    place = int((1 - RECALL) * found.count())
+    cut = running_rank(found, "score", "place").where(F.col("place") == place).first()
+    net.threshold = cut["score"] if cut else 2.0
+    return net
 
 
 def _judge(sent):
@@ -326,12 +406,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = common.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(text_col).mapInArrow(_labelled, "known boolean, mark bigint, window string").distinct()
-    staged = common.stage(found, "labelled")
-    by_label = []
-    for known in (True, False):
-        rows = staged.where(F.col("known") == known).orderBy("mark", "window").limit(MOST_LABELLED).collect()
-        by_label.append([r["window"] for r in rows])
-    sent = spark.sparkContext.broadcast(train(*by_label))
+    with common.small_batches(spark):
+        staged = common.stage(found, "labelled")
+    sent = spark.sparkContext.broadcast(train_all(staged))
     schema = f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
     return docs.select(id_col, text_col).mapInArrow(_judge(sent), schema)
 
